@@ -138,12 +138,9 @@ def bucket_rank(df: DataFrame, by, bucket, order, name="rank") -> DataFrame:
         W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select(*by, "_b", before.alias("_before"))
     local = F.row_number().over(W.partitionBy(*by, "_b").orderBy(*order))
-    return (rows.withColumn("_r", local).join(totals, [*by, "_b"])
-            .withColumn(name, (F.col("_before") + F.col("_r")).cast("long"))
-            .drop("_b", "_r", "_before"))
-
-
-HASH_BUCKETS = 1024
+    return (rows.withColumn("_local", local).join(totals, [*by, "_b"])
+            .withColumn(name, (F.col("_before") + F.col("_local")).cast("long"))
+            .drop("_b", "_local", "_before"))
 
 
 def shuffled_rank(df: DataFrame, by, key, seed, name="rank") -> DataFrame:
