@@ -27,34 +27,30 @@ def spread(f, step):
 def plane_distance(pdf: pd.DataFrame) -> pd.DataFrame:
     """Squared in-plane distance to the set voxels of each z plane, one row per (z, y)."""
     first = pdf.iloc[0]
+    zs, at = np.unique(pdf.z.to_numpy(), return_inverse=True)
     ny, nx = int(first.ny), int(first.nx)
-    out = []
-    for z, p in pdf.groupby("z"):
-        g = np.full((ny, nx), np.inf)
-        g[p.y.to_numpy(), p.x.to_numpy()] = 0.0
-        g = spread(spread(g.T.copy(), first.dx).T.copy(), first.dy)
-        out.append(pd.DataFrame({"case_id": first.case_id, "label": first.label, "z": z,
-                                 "y": np.arange(ny, dtype="int32"), "g": list(g)}))
-    # plain object strings: chunked string columns do not pass back through Arrow
-    return pd.concat(out, ignore_index=True).astype({"case_id": object})
+    g = np.full((nx, len(zs), ny), np.inf)
+    g[pdf.x.to_numpy(), at, pdf.y.to_numpy()] = 0.0
+    g = spread(g, first.dx)
+    g = spread(np.ascontiguousarray(g.transpose(2, 1, 0)), first.dy)
+    rows = np.ascontiguousarray(g.transpose(1, 0, 2)).reshape(-1, nx)
+    return pd.DataFrame({
+        "case_id": np.full(len(rows), first.case_id, dtype=object), "label": int(first.label),
+        "z": np.repeat(zs, ny), "y": np.tile(np.arange(ny, dtype="int32"), len(zs)), "g": list(rows)})
 
 
 def column_distance(points: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """Distance of each query point from the per-plane squared distances of its y planes."""
-    if not len(points):
-        return pd.DataFrame({"case_id": [], "label": [], "z": [], "y": [], "x": [], "dist": []})
     out = points[["case_id", "label", "z", "y", "x"]].astype({"case_id": object})
     out["dist"] = np.nan
-    if not len(rows):
+    if not len(points) or not len(rows):
         return out
     first = rows.iloc[0]
-    for y, r in rows.groupby("y"):
-        at = (out.y == y).to_numpy()
-        if at.any():
-            g = np.full((int(first.nz), int(first.nx)), np.inf)
-            g[r.z.to_numpy()] = np.stack(r.g.to_numpy())
-            d = np.sqrt(spread(g, first.dz))
-            out.loc[at, "dist"] = d[out.z[at].to_numpy(), out.x[at].to_numpy()]
+    low, high = int(rows.y.min()), int(rows.y.max())
+    g = np.full((int(first.nz), high - low + 1, int(first.nx)), np.inf)
+    g[rows.z.to_numpy(), rows.y.to_numpy() - low] = np.stack(rows.g.to_numpy())
+    d = np.sqrt(spread(g, first.dz))
+    out["dist"] = d[out.z.to_numpy(), out.y.to_numpy() - low, out.x.to_numpy()]
     return out
 
 

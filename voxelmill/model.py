@@ -53,6 +53,15 @@ def attach(rows: DataFrame, params: DataFrame, volumes: DataFrame = None,
     return out.join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def python_partitions(df: DataFrame, *keys) -> DataFrame:
+    """Hash partitions for a Python stage: a fixed count, so that small but costly groups
+    are not coalesced into one task."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def expand_offsets(df: DataFrame, offsets, sign=1) -> DataFrame:
     """One row per voxel and neighbour offset; the literal offset table never grows."""
     arr = F.array(*[F.struct(*[F.lit(int(v)).alias(n) for v, n in zip(o, ("dz", "dy", "dx"))])

@@ -1,6 +1,6 @@
 """Index geometry: mirror, crop, pad, tiles, patches and resampling."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelmill.model import AXES, CASE, VOXEL, attach
 
@@ -38,9 +38,11 @@ def crop_to(df: DataFrame, box: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def _zero_rows(ranges: DataFrame, size, value) -> DataFrame:
-    """Grid rows of ``size`` outside the kept range lo..hi of each axis, as zeros.
+    """Grid rows of ``size`` (columns or numbers) outside the kept range lo..hi of each
+    axis, as zeros.
 
     Cases that need no padding produce nothing."""
+    size = [s if isinstance(s, Column) else F.lit(s) for s in size]
     short = None
     for a, s in zip(AXES, size):
         c = (F.col(f"lo_{a}") > 0) | (F.col(f"hi_{a}") < s)
@@ -48,7 +50,7 @@ def _zero_rows(ranges: DataFrame, size, value) -> DataFrame:
     d = ranges.filter(short)
     inside = F.lit(True)
     for a, s in zip(AXES, size):
-        d = d.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
+        d = d.withColumn(a, F.explode(F.sequence(F.lit(0), s - 1)))
         inside = inside & (F.col(a) >= F.col(f"lo_{a}")) & (F.col(a) < F.col(f"hi_{a}"))
     return d.filter(~inside).select(*VOXEL, F.lit(0.0).alias(value))
 
@@ -84,12 +86,13 @@ def pad_to(vox: DataFrame, volumes: DataFrame, size, value="value") -> DataFrame
     d = volumes.select(CASE, *SHAPE)
     for a, s in zip(AXES, size):
         before = F.expr(f"cast(greatest({s} - n{a}, 0) div 2 as int)")
-        d = (d.withColumn(f"lo_{a}", before).withColumn(f"hi_{a}", F.col(f"lo_{a}") + F.col(f"n{a}")))
-    d = d.drop(*SHAPE)
-    kept = attach(vox.select(*VOXEL, value), d, volumes)
+        d = (d.withColumn(f"lo_{a}", before).withColumn(f"hi_{a}", F.col(f"lo_{a}") + F.col(f"n{a}"))
+             .withColumn(f"m{a}", F.greatest(F.col(f"n{a}"), F.lit(s))))
+    kept = attach(vox.select(*VOXEL, value), d.select(CASE, "lo_z", "lo_y", "lo_x"), volumes)
     for a in AXES:
         kept = kept.withColumn(a, F.col(a) + F.col(f"lo_{a}"))
-    return kept.select(*VOXEL, value).unionByName(_zero_rows(d, size, value))
+    zeros = _zero_rows(d, [F.col(f"m{a}") for a in AXES], value)
+    return kept.select(*VOXEL, value).unionByName(zeros)
 
 
 def unpad(pred: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -144,6 +147,14 @@ def stack_slices(vox: DataFrame, volumes: DataFrame, edge="repeat") -> DataFrame
     return d.withColumn("prev", F.coalesce("prev", "cur")).withColumn("next", F.coalesce("next", "cur"))
 
 
+def _clamped(step, last):
+    return lambda i: F.least(i * step, last)
+
+
+def _covers(axis, length):
+    return lambda start: (start <= F.col(axis)) & (F.col(axis) < start + length)
+
+
 def tile_starts(volumes: DataFrame, roi, overlap=0.5) -> DataFrame:
     """Window starts per axis: step int(roi * (1 - overlap)), the last one clamped to the end."""
     d = volumes.select(CASE, *SHAPE)
@@ -151,9 +162,8 @@ def tile_starts(volumes: DataFrame, roi, overlap=0.5) -> DataFrame:
         step = max(1, int(r * (1 - overlap)))
         last = F.greatest(F.col(f"n{a}") - r, F.lit(0))
         count = F.ceil(last / step).cast("int")
-        starts = F.array_distinct(F.transform(
-            F.sequence(F.lit(0), count), lambda i, last=last, step=step: F.least(i * step, last)))
-        d = d.withColumn(f"{a}s", starts)
+        steps = F.sequence(F.lit(0), count)
+        d = d.withColumn(f"{a}s", F.array_distinct(F.transform(steps, _clamped(step, last))))
     return d.select(CASE, "zs", "ys", "xs")
 
 
@@ -170,8 +180,7 @@ def tile_voxels(vox: DataFrame, volumes: DataFrame, roi, overlap=0.5) -> DataFra
     """Each voxel once per tile that covers it, found by arithmetic on the start lists."""
     d = attach(vox, tile_starts(volumes, roi, overlap), volumes)
     for a, r in zip(AXES, roi):
-        hit = F.filter(f"{a}s", lambda s, a=a, r=r: (s <= F.col(a)) & (F.col(a) < s + r))
-        d = d.withColumn(f"{a}0", F.explode(hit)).drop(f"{a}s")
+        d = d.withColumn(f"{a}0", F.explode(F.filter(f"{a}s", _covers(a, r)))).drop(f"{a}s")
     return d
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxelmill.functions import arrays
 from voxelmill.model import (CASE, VOXEL, attach, clip_to_grid, ensure_checkpoint_dir,
-                             expand_offsets)
+                             expand_offsets, python_partitions)
 
 KEYS = [CASE, "label", "z", "y", "x"]
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -95,7 +95,7 @@ def components(mask: DataFrame, volumes: DataFrame, block=16) -> DataFrame:
     lin = ((F.col("z").cast("long") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x"))
     d = (attach(mask.select(*KEYS), volumes.select(CASE, "ny", "nx"), volumes)
          .withColumn("lin", lin).withColumn("zb", F.floor(F.col("z") / block)))
-    local = d.groupBy(CASE, "label", "zb").applyInPandas(
+    local = python_partitions(d, CASE, "label", "zb").groupBy(CASE, "label", "zb").applyInPandas(
         arrays.label_block,
         f"{CASE} string, label int, z int, y int, x int, comp long").checkpoint()
     low = local.filter(F.col("z") % block == block - 1).select(
@@ -176,11 +176,13 @@ def nearest_distance(a: DataFrame, b: DataFrame, volumes: DataFrame, spacing=Tru
     group = lambda axis, cells: F.expr(
         f"cast({axis} div greatest(1, {arrays.BLOCK_CELLS} div ({cells})) as int)")
     bz = attach(b.select(*KEYS), grid, volumes).withColumn("blk", group("z", "ny * nx"))
-    rows = bz.groupBy(CASE, "label", "blk").applyInPandas(
+    keys = (CASE, "label", "blk")
+    rows = python_partitions(bz, *keys).groupBy(*keys).applyInPandas(
         arrays.plane_distance, f"{CASE} string, label int, z int, y int, g array<double>")
     side = grid.select(CASE, "nz", "nx", "dz")
     rows = attach(rows, side, volumes).withColumn("blk", group("y", "nz * nx"))
     points = attach(a.select(*KEYS), side, volumes).withColumn("blk", group("y", "nz * nx"))
-    out = points.groupBy(CASE, "label", "blk").cogroup(rows.groupBy(CASE, "label", "blk")).applyInPandas(
+    points, rows = (python_partitions(d, *keys).groupBy(*keys) for d in (points, rows))
+    out = points.cogroup(rows).applyInPandas(
         arrays.column_distance, f"{CASE} string, label int, z int, y int, x int, dist double")
     return out.withColumn("dist", F.when(~F.isnan("dist"), F.col("dist")))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from voxelmill.model import CASE, wide_quantiles
+from voxelmill.session import ensure_checkpoint_dir
 from voxelmill.operators.morphology import nearest_distance, surface
 
 
@@ -14,7 +15,9 @@ def hd95(labels: DataFrame, pred: DataFrame, volumes: DataFrame, spacing=False,
     either mask of the class is empty.
     """
     wanted = F.col("label").isin(list(classes))
-    a, b = surface(labels.filter(wanted)), surface(pred.filter(wanted))
+    # both surfaces are read twice, so they are written once
+    ensure_checkpoint_dir(labels.sparkSession)
+    a, b = (surface(m.filter(wanted)).checkpoint() for m in (labels, pred))
     there = nearest_distance(a, b, volumes, spacing).withColumn("side", F.lit("ab"))
     back = nearest_distance(b, a, volumes, spacing).withColumn("side", F.lit("ba"))
     both = there.unionByName(back).filter("dist is not null")
