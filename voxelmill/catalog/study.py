@@ -70,8 +70,8 @@ class Study:
         d = (d.withColumn("zc", zz - F.expr("cast(nz div 2 as int)"))
              .withColumn("xc", F.col("x") - F.expr("cast(nx div 2 as int)"))
              .withColumn("step", F.expr("cast((4 * (y - 6)) div (ny - 12) as int)")))
-        femur = F.expr("k % 23 <> 11 and 3*zc*zc + 4*(y-4)*(y-4) + 3*xc*xc <= 110 "
-                       "and not (abs(zc) <= 2 and y >= 6 and xc between -3 and 3)")
+        femur = F.expr("k % 23 <> 11 and 3*zc*zc + 3*(y-5)*(y-5) + 3*xc*xc <= 130 "
+                       "and not (abs(zc) <= 2 and 2*y + xc >= 13 and xc between -3 and 3)")
         tibia = F.expr("k % 19 <> 7 and 48*zc*zc + 9*(4*(y-(ny-3)) + tilt*xc)*(4*(y-(ny-3)) + tilt*xc) + 32*xc*xc <= 1760")
         acl = F.expr("k % 17 <> 5 and y between 6 and ny - 6 "
                      "and (zc + 2 - step)*(zc + 2 - step) + (xc + 2 - step)*(xc + 2 - step) <= 2")
@@ -140,8 +140,8 @@ grid AS (
   WHERE z < nz AND y < ny AND x < nx),
 shaped AS (
   SELECT g.*, s.q, CASE
-      WHEN g.k % 23 <> 11 AND 3*zc*zc + 4*(g.y-4)*(g.y-4) + 3*xc*xc <= 110
-           AND NOT (abs(zc) <= 2 AND g.y >= 6 AND xc BETWEEN -3 AND 3) THEN 2
+      WHEN g.k % 23 <> 11 AND 3*zc*zc + 3*(g.y-5)*(g.y-5) + 3*xc*xc <= 130
+           AND NOT (abs(zc) <= 2 AND 2*g.y + xc >= 13 AND xc BETWEEN -3 AND 3) THEN 2
       WHEN g.k % 19 <> 7 AND 48*zc*zc + 9*(4*(g.y-(ny-3)) + tilt*xc)*(4*(g.y-(ny-3)) + tilt*xc) + 32*xc*xc <= 1760 THEN 3
       WHEN g.k % 17 <> 5 AND g.y BETWEEN 6 AND ny - 6
            AND (zc + 2 - step)*(zc + 2 - step) + (xc + 2 - step)*(xc + 2 - step) <= 2 THEN 1

@@ -111,8 +111,9 @@ def spacing_zyx(header_spacing: Column) -> Column:
 
 
 def clip(c, lo, hi) -> Column:
-    return F.least(F.greatest(c, lo if isinstance(lo, Column) else F.lit(lo)),
-                   hi if isinstance(hi, Column) else F.lit(hi))
+    """Clamp; NULL stays NULL (least and greatest alone would skip it)."""
+    lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, lo), hi))
 
 
 def round_index(c) -> Column:
