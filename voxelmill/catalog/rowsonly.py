@@ -1 +1,260 @@
-"""pending"""
+"""Sources, sinks, validation, resampling, sampling and user functions."""
+
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from voxelmill.catalog import query
+from voxelmill.catalog.manifests import META_SQL, meta
+from voxelmill.catalog.study import study, vox_ctes, vox_sql
+from voxelmill.catalog.volumes import voxel_sum, sum_sql
+from voxelmill.functions import nifti
+from voxelmill.model import CASE, VOXEL
+from voxelmill.operators import geometry as g, inference, intensity as it, manifests as mf, sampling as sm
+from voxelmill.plans.validate import validate_pairs, validation_summary
+from voxelmill.session import ensure_checkpoint_dir
+from voxelmill.sources import volumes as src
+
+
+def scratch(spark, name):
+    """A new folder next to the checkpoints: shared storage on a cluster."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+# --- validation ---------------------------------------------------------------------------
+
+VALID = """raw AS (SELECT case_id, k, CASE WHEN k % 13 = 6 AND q % 10 = 0 THEN 4 ELSE label END AS label, CASE WHEN k % 29 = 3 AND q = 49 THEN 1 ELSE 0 END AS bad FROM vox),
+mk AS (SELECT case_id, any_value(k) AS k, list(DISTINCT label) AS s, max(bad) = 1 AS bad FROM raw GROUP BY 1),
+iss AS (SELECT case_id, CASE WHEN k % 43 = 1 THEN 'load' ELSE concat_ws(',', CASE WHEN k % 31 = 4 OR k % 41 = 9 THEN 'shape' END, CASE WHEN k % 37 = 8 THEN 'affine' END,
+  CASE WHEN list_contains(s, 4) THEN 'foreign_label' END, CASE WHEN len(s) < 4 THEN 'missing_label' END, CASE WHEN bad THEN 'non_finite' END, CASE WHEN k % 41 = 9 THEN 'ndim' END) END AS issues FROM mk WHERE k % 7 <> 5)"""
+
+
+def manifests(s):
+    vol, k = s.volumes, F.col("k")
+    v = s.voxels().withColumn("value", F.when((k % 29 == 3) & (F.col("q") == 49), F.lit(float("nan"))).otherwise(F.col("value")))
+    raw = v.withColumn("label", F.when((k % 13 == 6) & (F.col("q") % 10 == 0), 4).otherwise(F.col("label")))
+    stats = raw.groupBy(CASE).agg(F.collect_set("label").alias("labels"),
+                                  F.bool_or(F.isnan("value") | (F.abs("value") == float("inf"))).alias("bad_values"))
+    shape = F.array("nz", "ny", "nx")
+    affine = lambda d: F.array("sz", F.lit(0.0), F.lit(0.0), F.lit(0.0) + d, F.lit(0.0), "sy", F.lit(0.0), F.lit(0.0),
+                               F.lit(0.0), F.lit(0.0), "sx", F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    base = vol.join(stats, CASE)
+    img = base.select(CASE, F.when(k % 41 == 9, F.concat(shape, F.array(F.lit(1)))).otherwise(shape).alias("shape"),
+                      affine(F.lit(0.0)).alias("affine"), "bad_values",
+                      F.when(k % 43 == 1, "bad header").alias("error"))
+    msk = base.filter(k % 7 != 5).select(
+        CASE, F.when(k % 31 == 4, F.array(F.col("nz") + 1, "ny", "nx")).otherwise(shape).alias("shape"),
+        affine(F.when(k % 37 == 8, 0.01).otherwise(0.0005)).alias("affine"), "labels", F.lit(None).cast("string").alias("error"))
+    return img, msk
+
+
+@query("agg_validate_pairs", vox_ctes(VALID, select="SELECT * FROM iss"))
+def agg_validate_pairs(spark, sf):
+    return validate_pairs(*manifests(study(spark, sf))).withColumn("issues", F.array_join("issues", ","))
+
+
+@query("agg_validate_summary", vox_ctes(VALID, select="""SELECT count(*) AS pairs, sum(CASE WHEN issues = '' THEN 1 ELSE 0 END) AS clean,
+  sum(CASE WHEN issues <> '' THEN 1 ELSE 0 END) AS with_problems, (SELECT count(*) FROM volumes WHERE k % 7 = 5) AS images_without_mask FROM iss"""))
+def agg_validate_summary(spark, sf):
+    img, msk = manifests(study(spark, sf))
+    return validation_summary(img, msk, validate_pairs(img, msk))
+
+
+# --- files ------------------------------------------------------------------------------------
+
+def volume_files(s, broken=False):
+    """The study as NIfTI files, one row per file like the binaryFile source."""
+    def pack(pdf):
+        f = pdf.iloc[0]
+        import numpy as np
+        a = np.zeros((int(f.nz), int(f.ny), int(f.nx)))
+        a[pdf.z, pdf.y, pdf.x] = pdf.value
+        return pd.DataFrame({"path": [f"/data/{f.case_id}.nii.gz"], "content": [nifti.encode(a, (f.sz, f.sy, f.sx))]})
+    v = s.voxels().join(F.broadcast(s.volumes.select(CASE, "nz", "ny", "nx", "sz", "sy", "sx")), CASE)
+    files = v.groupBy(CASE).applyInPandas(pack, "path string, content binary")
+    if broken:
+        files = files.withColumn("content", F.when(F.substring(F.regexp_replace("path", ".nii.gz$", ""), -1, 1).isin("3", "7"), F.lit(b"junk")).otherwise(F.col("content")))
+    return files
+
+
+@query("src_volume_files", vox_sql(sum_sql("vox")))
+def src_volume_files(spark, sf):
+    return voxel_sum(src.explode_slices(src.decode_volumes(volume_files(study(spark, sf)))))
+
+
+@query("src_recursive", vox_sql("SELECT case_id, count(*) AS n_slices FROM (SELECT DISTINCT case_id, z FROM vox) GROUP BY 1"))
+def src_recursive(spark, sf):
+    files = volume_files(study(spark, sf))
+    notes = files.withColumn("path", F.concat("path", F.lit(".txt")))
+    both = files.unionByName(notes).filter(F.col("path").rlike(r"\.nii(\.gz)?$"))
+    return src.decode_volumes(both).groupBy(CASE).agg(F.count("*").alias("n_slices"))
+
+
+@query("src_tolerant", vox_sql("SELECT case_id, k % 10 IN (3, 7) AS failed FROM volumes"))
+def src_tolerant(spark, sf):
+    d = src.decode_volumes(volume_files(study(spark, sf), True), on_error="keep")
+    return d.groupBy(CASE).agg(F.bool_or(F.col("error").isNotNull()).alias("failed"))
+
+
+CUST = "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS weight FROM customer"
+
+
+def _cust(spark, sf):
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{sf}/customer.parquet").select(
+        k.alias("k"), F.col("c_name").alias("name"), F.when(k % 4 != 0, F.col("c_acctbal")).alias("weight"))
+
+
+@query("src_csv", CUST)
+@query("snk_csv_overwrite", CUST)
+def src_csv(spark, sf):
+    path = scratch(spark, "csv")
+    src.write_report(_cust(spark, sf).limit(5), path)
+    src.write_report(_cust(spark, sf), path)
+    return src.read_csv(spark, path, "k long, name string, weight double")
+
+
+@query("snk_append", f"WITH c AS ({CUST}) SELECT * FROM c WHERE k % 2 = 0 UNION ALL SELECT * FROM c WHERE k % 2 = 1")
+@query("udf_callback", f"{CUST}")
+def snk_append(spark, sf):
+    path = scratch(spark, "append")
+    for r in (0, 1):
+        src.append_results(_cust(spark, sf).filter(F.col("k") % 2 == r), path)
+    return spark.read.parquet(path)
+
+
+@query("snk_split", META_SQL + "SELECT count(*) AS n_meta, count(*) AS n_map, 3 AS n_splits FROM metas")
+def snk_split(spark, sf):
+    path = scratch(spark, "split")
+    d = mf.stratified_split(meta(spark, sf), "sex", "k").withColumn("path", F.concat(F.lit("p"), F.col("k").cast("string")))
+    src.write_splits(d, path, ["k", "sex"], ["k", "path"])
+    a, b = (spark.read.parquet(f"{path}/{n}") for n in ("metadata", "mapping"))
+    return a.agg(F.count("*").alias("n_meta"), F.count_distinct("split").alias("n_splits")).join(
+        F.broadcast(b.agg(F.count("*").alias("n_map"))))
+
+
+@query("snk_masks", vox_sql("SELECT * FROM labels"))
+def snk_masks(spark, sf):
+    s = study(spark, sf)
+    path = scratch(spark, "masks")
+    src.write_masks(s.labels(), s.volumes, path)
+    return spark.read.parquet(f"{path}/labels").select(*VOXEL, "label")
+
+
+# --- resampling: rows only -----------------------------------------------------------------------
+
+@query("geo_resize")
+def geo_resize(spark, sf):
+    s = study(spark, sf)
+    return voxel_sum(g.resize(s.image(), s.volumes, (8, 8, 8)))
+
+
+@query("geo_rotate")
+def geo_rotate(spark, sf):
+    s = study(spark, sf)
+    return voxel_sum(g.rotate(s.image(), s.volumes, 10.0))
+
+
+@query("geo_affine")
+def geo_affine(spark, sf):
+    s = study(spark, sf)
+    pts = g.affine_points(s.volumes, g.random_affine(s.volumes))
+    return g.sample_nearest(pts, s.labels()).groupBy(CASE, "label").agg(F.count("*").alias("n"))
+
+
+@query("geo_warp")
+def geo_warp(spark, sf):
+    s = study(spark, sf)
+    disp = s.voxels().select(*VOXEL, F.lit(0.0).alias("dz"), (F.col("z") % 2 - 0.5).alias("dy"), F.lit(0.25).alias("dx"))
+    return voxel_sum(g.warp(s.image(), s.volumes, disp))
+
+
+@query("geo_hflip")
+def geo_hflip(spark, sf):
+    s = study(spark, sf)
+    return g.random_flip(s.labels(), s.volumes).groupBy(CASE, "z").agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
+
+
+@query("fn_reorient", vox_sql("""SELECT l.case_id, CASE WHEN k % 2 = 0 THEN ny - 1 - y ELSE y END AS z, nx - 1 - x AS y, nz - 1 - z AS x, label FROM labels l JOIN volumes v ON l.case_id = v.case_id"""))
+def fn_reorient(spark, sf):
+    s = study(spark, sf)
+    z, one = F.lit(0.0), F.lit(1.0)
+    # dim0 -> right, dim1 -> anterior (posterior for odd cases), dim2 -> superior
+    affine = F.array(one, z, z, z, z, F.when(F.col("k") % 2 == 0, 1.0).otherwise(-1.0), z, z, z, z, one, z, z, z, z, one)
+    return g.reorient(s.labels(), s.volumes.withColumn("affine", affine), "PIL")
+
+
+@query("join_resample_nn", vox_sql("""SELECT l.case_id, z - 1 AS z, y, x, label FROM labels l WHERE z >= 1"""))
+def join_resample_nn(spark, sf):
+    s = study(spark, sf)
+    row = lambda shift: F.array("sz", F.lit(0.0), F.lit(0.0), shift, F.lit(0.0), "sy", F.lit(0.0), F.lit(0.0),
+                                F.lit(0.0), F.lit(0.0), "sx", F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    src_ = s.volumes.withColumn("affine", row(F.lit(0.0)))
+    ref = s.volumes.withColumn("affine", row(F.col("sz")))
+    return g.resample_nearest(s.labels(), src_, ref)
+
+
+@query("int_noise")
+def int_noise(spark, sf):
+    return voxel_sum(it.add_noise(study(spark, sf).image(), p=0.9))
+
+
+@query("int_mult_noise")
+def int_mult_noise(spark, sf):
+    return voxel_sum(it.mult_noise(study(spark, sf).image()))
+
+
+# --- sampling ---------------------------------------------------------------------------------------
+
+@query("smp_fg_patch")
+def smp_fg_patch(spark, sf):
+    s = study(spark, sf)
+    return sm.sample_patches(s.labels().filter("label = 1"), s.volumes, (8, 8, 8), 4 * s.volumes.count())
+
+
+@query("smp_pos_neg")
+def smp_pos_neg(spark, sf):
+    s = study(spark, sf)
+    return sm.pos_neg_crops(s.labels().filter("label = 1"), s.volumes, (8, 8, 8))
+
+
+@query("smp_slices")
+def smp_slices(spark, sf):
+    s = study(spark, sf)
+    return sm.sample_slices(s.labels().filter("label = 1"), s.volumes, 8 * s.volumes.count(), margin=3)
+
+
+@query("smp_val_slices")
+def smp_val_slices(spark, sf):
+    s = study(spark, sf)
+    return sm.sample_val_slices(s.labels().filter("label = 1"), s.volumes, 4 * s.volumes.count())
+
+
+@query("smp_weighted")
+def smp_weighted(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("w"))
+    return sm.weighted_sample(p, "p_partkey", "w")
+
+
+# --- user functions ------------------------------------------------------------------------------------
+
+def _stub(patch):
+    import numpy as np
+    return np.stack([np.full(patch.shape, 20.0), patch - 30.0, 60.0 - np.abs(patch - 85.0), patch * 0.25])
+
+
+@query("udf_predictor", vox_sql("""SELECT case_id, z, y, x, label FROM (SELECT case_id, z, y, x, CASE WHEN m = 20 THEN 0 WHEN m = value - 30 THEN 1 WHEN m = 60 - abs(value - 85) THEN 2 ELSE 3 END AS label
+  FROM (SELECT *, greatest(20, value - 30, 60 - abs(value - 85), value * 0.25) AS m FROM vox)) WHERE label > 0"""))
+def udf_predictor(spark, sf):
+    s = study(spark, sf)
+    return inference.segment(s.image(), s.volumes, (8, 8, 16), _stub)
+
+
+@query("udf_case_classifier", vox_sql("""SELECT case_id, CASE WHEN k % 9 = 4 THEN 'ERROR' WHEN sum(label) > 1500 THEN 'Right' ELSE 'Left' END AS side FROM vox GROUP BY case_id, k"""))
+def udf_case_classifier(spark, sf):
+    s = study(spark, sf)
+    d = s.voxels().groupBy(CASE, "k").agg(F.sum("label").cast("double").alias("n"))
+    d = d.select(CASE, F.when(F.col("k") % 9 != 4, F.array("n")).alias("f"))
+    return inference.classify_cases(d, "f", lambda v: v[0] - 1500)

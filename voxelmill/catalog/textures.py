@@ -40,7 +40,7 @@ def tex_discretise(spark, sf):
   "qm AS (SELECT q.*, (SELECT avg(value) FROM lv WHERE lv.case_id = q.case_id AND value >= a AND value <= e) AS mid FROM q)",
   """mo AS (SELECT l.case_id, sum(value * value) AS en, min(value) AS lo, max(value) AS hi, avg(abs(value - m)) AS mad, avg(CASE WHEN value >= a AND value <= e THEN abs(value - mid) END) AS rmad,
     avg(pow(value - m, 2)) AS m2, avg(pow(value - m, 3)) AS m3, avg(pow(value - m, 4)) AS m4 FROM lv l JOIN qm ON l.case_id = qm.case_id GROUP BY 1)""",
-  """hh AS (SELECT h.case_id, -sum(c / n * log2(c / n)) AS ent, sum(c / n * c / n) AS uni FROM (SELECT case_id, g, CAST(count(*) AS DOUBLE) AS c FROM lv GROUP BY 1, 2) h JOIN q ON h.case_id = q.case_id GROUP BY 1)""",
+  """hh AS (SELECT h.case_id, -sum(h.c / n * log2(h.c / n)) AS ent, sum(h.c / n * h.c / n) AS uni FROM (SELECT case_id, g, CAST(count(*) AS DOUBLE) AS c FROM lv GROUP BY 1, 2) h JOIN q ON h.case_id = q.case_id GROUP BY 1)""",
   select="""SELECT v.case_id, round(en, 3) AS "Energy", round(en * sz * sy * sx, 3) AS "TotalEnergy", round(ent, 5) AS "Entropy", round(lo, 4) AS "Minimum", round(a, 4) AS "10Percentile", round(e, 4) AS "90Percentile",
   round(hi, 4) AS "Maximum", round(m, 4) AS "Mean", round(c, 4) AS "Median", round(d - b, 4) AS "InterquartileRange", round(hi - lo, 4) AS "Range", round(mad, 4) AS "MeanAbsoluteDeviation",
   round(rmad, 4) AS "RobustMeanAbsoluteDeviation", round(sqrt(en / n), 4) AS "RootMeanSquared", round(m3 / pow(m2, 1.5), 4) AS "Skewness", round(m4 / (m2 * m2), 4) AS "Kurtosis", round(m2, 4) AS "Variance", round(uni, 5) AS "Uniformity"
