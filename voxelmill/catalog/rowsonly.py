@@ -9,7 +9,7 @@ from voxelmill.catalog import query
 from voxelmill.catalog.manifests import META_SQL, meta
 from voxelmill.catalog.study import study, vox_ctes, vox_sql
 from voxelmill.catalog.volumes import voxel_sum, sum_sql
-from voxelmill.functions import nifti
+from voxelmill.functions.nifti import encode
 from voxelmill.model import CASE, VOXEL
 from voxelmill.operators import geometry as g, inference, intensity as it, manifests as mf, sampling as sm
 from voxelmill.plans.validate import validate_pairs, validation_summary
@@ -71,7 +71,7 @@ def volume_files(s, broken=False):
         import numpy as np
         a = np.zeros((int(f.nz), int(f.ny), int(f.nx)))
         a[pdf.z, pdf.y, pdf.x] = pdf.value
-        return pd.DataFrame({"path": [f"/data/{f.case_id}.nii.gz"], "content": [nifti.encode(a, (f.sz, f.sy, f.sx))]})
+        return pd.DataFrame({"path": [f"/data/{f.case_id}.nii.gz"], "content": [encode(a, (f.sz, f.sy, f.sx))]})
     v = s.voxels().join(F.broadcast(s.volumes.select(CASE, "nz", "ny", "nx", "sz", "sy", "sx")), CASE)
     files = v.groupBy(CASE).applyInPandas(pack, "path string, content binary")
     if broken:

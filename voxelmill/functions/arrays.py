@@ -1,13 +1,7 @@
 """Numpy helpers that run inside tasks on one bounded block of a volume."""
 
-import sys
-
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-
-# shipped with the task, so workers need no installed package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_CELLS = 1 << 18
 

@@ -2,12 +2,8 @@
 
 import gzip
 import struct
-import sys
 
 import numpy as np
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Datatype codes of the public NIfTI-1 header.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}

@@ -6,7 +6,6 @@ from voxelmill.functions.scalars import clip
 from voxelmill.model import AXES, CASE, VOXEL, attach, wide_quantiles
 from voxelmill.operators.metrics import mean_std, percentiles
 
-V = F.col("value")
 BAND = (("p_low", 0.005), ("p_high", 0.995))
 
 
@@ -18,45 +17,45 @@ def _with(vox, stats, volumes, value):
 def pct_scale(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
     """Percentile band to 0..1, clipped (public MONAI rule; an empty band only shifts)."""
     lo, hi = F.col("p_low"), F.col("p_high")
-    scaled = F.when(hi > lo, clip((V - lo) / (hi - lo), 0.0, 1.0)).otherwise(V - lo)
+    scaled = F.when(hi > lo, clip((F.col("value") - lo) / (hi - lo), 0.0, 1.0)).otherwise(F.col("value") - lo)
     return _with(vox, percentiles(vox, band), volumes, scaled)
 
 
 def nonzero_zscore(vox: DataFrame, volumes: DataFrame) -> DataFrame:
     """z-score over non-zero voxels; zeros stay, a zero deviation divides by 1."""
-    s = mean_std(vox.filter(V != 0))
+    s = mean_std(vox.filter(F.col("value") != 0))
     sd = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     keep = vox.columns
     d = attach(vox, s, volumes, "left")
-    return d.withColumn("value", F.when(V != 0, (V - F.col("mean")) / sd).otherwise(V)).select(*keep)
+    return d.withColumn("value", F.when(F.col("value") != 0, (F.col("value") - F.col("mean")) / sd).otherwise(F.col("value"))).select(*keep)
 
 
 def clipped(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
-    return _with(vox, percentiles(vox, band), volumes, clip(V, F.col("p_low"), F.col("p_high")))
+    return _with(vox, percentiles(vox, band), volumes, clip(F.col("value"), F.col("p_low"), F.col("p_high")))
 
 
 def clip_zscore(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
     """Clip to the band, then (v - mean) / (std + 1e-8) of the clipped values."""
     c = clipped(vox, volumes, band)
-    return _with(c, mean_std(c), volumes, (V - F.col("mean")) / (F.col("std") + 1e-8))
+    return _with(c, mean_std(c), volumes, (F.col("value") - F.col("mean")) / (F.col("std") + 1e-8))
 
 
 def guarded_zscore(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
     c = clipped(vox, volumes, band)
-    d = V - F.col("mean")
+    d = F.col("value") - F.col("mean")
     return _with(c, mean_std(c), volumes, F.when(F.col("std") > 1e-8, d / F.col("std")).otherwise(d))
 
 
 def pct_minmax(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
     lo, hi = F.col("p_low"), F.col("p_high")
-    scaled = F.when(hi - lo < 1e-8, 0.0).otherwise((clip(V, lo, hi) - lo) / (hi - lo))
+    scaled = F.when(hi - lo < 1e-8, 0.0).otherwise((clip(F.col("value"), lo, hi) - lo) / (hi - lo))
     return _with(vox, percentiles(vox, band), volumes, scaled)
 
 
 def minmax(vox: DataFrame, volumes: DataFrame) -> DataFrame:
     s = vox.groupBy(CASE).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
-    return _with(vox, s, volumes, F.when(hi > lo, (V - lo) / (hi - lo)).otherwise(0.0))
+    return _with(vox, s, volumes, F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(0.0))
 
 
 # Histogram percentiles; 25 and 75 are trained but the map does not use them.
@@ -66,7 +65,7 @@ MAPPED = (1, 10, 20, 30, 40, 50, 60, 70, 80, 90, 99)
 
 def hist_landmarks(ref: DataFrame, where=None) -> DataFrame:
     """Percentiles of the reference voxels (default value > 0) scaled so that 1 -> 0, 99 -> 100."""
-    q = percentiles(ref, [(f"l{p}", p / 100.0) for p in LANDMARKS], V > 0 if where is None else where)
+    q = percentiles(ref, [(f"l{p}", p / 100.0) for p in LANDMARKS], F.col("value") > 0 if where is None else where)
     lo, hi = F.col("l1"), F.col("l99")
     return q.select(CASE, *[((F.col(f"l{p}") - lo) * 100.0 / (hi - lo)).alias(f"l{p}") for p in LANDMARKS])
 
@@ -84,8 +83,8 @@ def hist_match(vox: DataFrame, landmarks: DataFrame, volumes: DataFrame, only=No
         cut.append(F.col(f"l{a}") - k * F.col(f"p{a}"))
     inner = MAPPED[1:-1]
     q = q.select(CASE, F.array(*slope).alias("_k"), F.array(*cut).alias("_c"), *[f"p{p}" for p in inner])
-    seg = sum(((V >= F.col(f"p{p}")).cast("int") for p in inner), F.lit(1))
-    value = F.element_at("_k", seg) * V + F.element_at("_c", seg)
+    seg = sum(((F.col("value") >= F.col(f"p{p}")).cast("int") for p in inner), F.lit(1))
+    value = F.element_at("_k", seg) * F.col("value") + F.element_at("_c", seg)
     return _with(vox if only is None else only, q, volumes, value)
 
 
@@ -100,27 +99,27 @@ def add_noise(vox, p=0.2, sd=0.1, seed=42) -> DataFrame:
     """Gaussian noise in a share p of the cases (Box-Muller on voxel hashes)."""
     u1 = 1.0 - uniform(seed, 1, *VOXEL)
     g = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * uniform(seed, 2, *VOXEL))
-    return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, V + sd * g).otherwise(V))
+    return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, F.col("value") + sd * g).otherwise(F.col("value")))
 
 
 def gamma(vox: DataFrame, volumes: DataFrame, g=None, seed=42, p=1.0, span=(0.7, 1.3)) -> DataFrame:
     """(v - min + 1e-5) ** g + min; g drawn per case unless given."""
     low = vox.groupBy(CASE).agg(F.min("value").alias("lo"))
     power = F.lit(float(g)) if g is not None else span[0] + (span[1] - span[0]) * uniform(seed, 1, CASE)
-    v = F.pow(V - F.col("lo") + 1e-5, power) + F.col("lo")
-    return _with(vox, low, volumes, v if p >= 1 else F.when(uniform(seed, 0, CASE) < p, v).otherwise(V))
+    v = F.pow(F.col("value") - F.col("lo") + 1e-5, power) + F.col("lo")
+    return _with(vox, low, volumes, v if p >= 1 else F.when(uniform(seed, 0, CASE) < p, v).otherwise(F.col("value")))
 
 
 def brightness(vox, shift=None, seed=42, p=0.9, span=0.1) -> DataFrame:
     if shift is not None:
-        return vox.withColumn("value", V + float(shift))
+        return vox.withColumn("value", F.col("value") + float(shift))
     s = (2.0 * uniform(seed, 1, CASE) - 1.0) * span
-    return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, V + s).otherwise(V))
+    return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, F.col("value") + s).otherwise(F.col("value")))
 
 
 def mult_noise(vox, seed=42, p=0.2, span=(0.9, 1.1)) -> DataFrame:
     m = span[0] + (span[1] - span[0]) * uniform(seed, 1, CASE)
-    return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, V * m).otherwise(V))
+    return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, F.col("value") * m).otherwise(F.col("value")))
 
 
 def bias_powers(order=3):
@@ -146,9 +145,9 @@ def bias_field(vox: DataFrame, volumes: DataFrame, coefficients, order=3) -> Dat
             for _ in range(n):
                 term = term * F.col(f"t{a}")
         poly = poly + term
-    return d.withColumn("value", V * F.exp(poly)).select(*cols)
+    return d.withColumn("value", F.col("value") * F.exp(poly)).select(*cols)
 
 
 def diff_map(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*VOXEL, F.col("value").alias("_b")), VOXEL).select(
-        *VOXEL, (V - F.col("_b")).alias("value"))
+        *VOXEL, (F.col("value") - F.col("_b")).alias("value"))

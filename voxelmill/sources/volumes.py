@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.functions import nifti
+from voxelmill.functions.nifti import decode
 from voxelmill.functions.scalars import case_id
 
 SLICE_SCHEMA = ("path string, t int, z int, shape array<int>, spacing array<double>, "
@@ -24,7 +24,7 @@ def _decode_batches(batches):
         for path, content in zip(pdf.path, pdf.content):
             for last in (False, True):  # one retry, then the file is reported
                 try:
-                    data, spacing, affine = nifti.decode(bytes(content))
+                    data, spacing, affine = decode(bytes(content))
                     frames = data if data.ndim == 4 else data[..., None]
                     rows = [(path, t, z, list(data.shape), spacing, affine, frames[z, :, :, t].ravel(), None)
                             for t in range(frames.shape[3]) for z in range(frames.shape[0])]
