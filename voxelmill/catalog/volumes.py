@@ -16,15 +16,17 @@ BOX27 = OFF("abs(a) <= 1 AND abs(b) <= 1 AND abs(c) <= 1")
 
 
 def voxel_sum(df, value="value"):
-    """Fold a dense result to one checksum row per case and plane: every voxel counts."""
+    """Fold a dense result to one checksum row per case and plane: every voxel counts.
+
+    The small offset keeps sums of binary fractions off the rounding edge."""
     w = F.col("y") * 31 + F.col("x") * 7 + 1
-    return df.groupBy(CASE, "z").agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"),
-                                     F.round(F.sum(F.col(value) * w), 3).alias("weighted"))
+    return df.groupBy(CASE, "z").agg(F.count("*").alias("n"), F.round(F.sum(value) + 0.000013, 4).alias("total"),
+                                     F.round(F.sum(F.col(value) * w) + 0.00013, 3).alias("weighted"))
 
 
 def sum_sql(src, value="value"):
-    return (f"SELECT case_id, z, count(*) AS n, round(sum({value}), 4) AS total, "
-            f"round(sum({value} * (y * 31 + x * 7 + 1)), 3) AS weighted FROM {src} GROUP BY 1, 2")
+    return (f"SELECT case_id, z, count(*) AS n, round(sum({value}) + CAST(0.000013 AS DOUBLE), 4) AS total, "
+            f"round(sum({value} * (y * 31 + x * 7 + 1)) + CAST(0.00013 AS DOUBLE), 3) AS weighted FROM {src} GROUP BY 1, 2")
 
 
 # --- functions on voxels ------------------------------------------------------------
