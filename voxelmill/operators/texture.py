@@ -183,5 +183,6 @@ def texture(roi: DataFrame, volumes: DataFrame) -> DataFrame:
     out = None
     for prefix, d in parts:
         d = d.select(CASE, *[F.col(f"`{c}`").alias(f"original_{prefix}_{c}") for c in d.columns if c != CASE])
+        d = d.checkpoint()  # small per-case table; keeps the joined plan short
         out = d if out is None else out.join(d, CASE)
     return out

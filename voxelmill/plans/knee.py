@@ -303,7 +303,11 @@ def staubli(labels: DataFrame, volumes: DataFrame, feet: DataFrame, plane: DataF
 
 
 def measures(labels: DataFrame, volumes: DataFrame) -> DataFrame:
-    """All geometric measures in one row per case."""
+    """All geometric measures in one row per case.
+
+    Each part is a small table written on its own: one plan over all of them would be
+    re-optimised as a whole after every stage.
+    """
     feet = footprints(labels, volumes).checkpoint()
     plane = tibial_plane(labels, volumes).checkpoint()
     line = blumensaat(labels, volumes, feet)
@@ -314,7 +318,7 @@ def measures(labels: DataFrame, volumes: DataFrame) -> DataFrame:
              impingement(labels, volumes), notch_width(labels, volumes, feet)]
     out = volumes.select(CASE)
     for p in parts:
-        out = out.join(p, CASE, "left")
+        out = out.join(p.checkpoint(), CASE, "left")
     return out
 
 
