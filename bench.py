@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from voxelmill.catalog import load_all
@@ -20,6 +21,7 @@ def main():
         start = time.time()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 2)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_wall_clock", "value": round(sum(times.values()), 2), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
 

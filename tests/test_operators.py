@@ -154,6 +154,15 @@ def test_plane_fit_matches_svd(spark):
     assert abs(abs(np.dot(n, [r.nz, r.ny, r.nx])) - 1) < 1e-9
 
 
+def test_plateau_of_degenerate_and_missing_tibia(spark):
+    a = np.zeros((NZ, NY, NX), bool)
+    a[3, 2, 1] = True
+    b = np.zeros((NZ, NY, NX), bool)
+    p = knee.tibial_plane(mask_df(spark, [a, b], 3), volumes(spark, 2)).orderBy("case_id").collect()
+    assert (p[0].nz, p[0].ny, p[0].nx) == (0, -1, 0) and p[0].gz == 1.5
+    assert (p[1].nz, p[1].ny, p[1].nx) == (0, 1, 0)
+
+
 def test_dice_of_itself_and_empty(spark):
     a = [RNG.random((NZ, NY, NX)) < 0.3, np.zeros((NZ, NY, NX), bool)]
     df, vol = mask_df(spark, a), volumes(spark, 2)

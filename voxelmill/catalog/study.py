@@ -108,7 +108,7 @@ class Study:
 
 def study(spark, sf) -> Study:
     """One Study per session and folder, so the manifest is counted once."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, id(spark), sf)
     if key not in _studies:
         _studies[key] = Study(spark, sf)
     return _studies[key]

@@ -67,7 +67,7 @@ def hist_landmarks(ref: DataFrame, where=None) -> DataFrame:
     """Percentiles of the reference voxels (default value > 0) scaled so that 1 -> 0, 99 -> 100."""
     q = percentiles(ref, [(f"l{p}", p / 100.0) for p in LANDMARKS], F.col("value") > 0 if where is None else where)
     lo, hi = F.col("l1"), F.col("l99")
-    return q.select(CASE, *[((F.col(f"l{p}") - lo) * 100.0 / (hi - lo)).alias(f"l{p}") for p in LANDMARKS])
+    return q.select(CASE, *[F.try_divide((F.col(f"l{p}") - lo) * 100.0, hi - lo).alias(f"l{p}") for p in LANDMARKS])
 
 
 def hist_match(vox: DataFrame, landmarks: DataFrame, volumes: DataFrame, only=None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelmill.model import CASE, VOXEL, attach, exact_quantiles, wide_quantiles
+from voxelmill.model import CASE, VOXEL, attach, wide_quantiles
 
 STRUCTURES = {1: "ACL", 2: "Femur", 3: "Tibia"}
 
@@ -261,7 +261,3 @@ def arg_extreme(points, projection, mode="min", by=(CASE,)) -> DataFrame:
         F.min_by(F.struct("z", "y", "x", "_p"),
                  F.struct(key.alias("k"), "z", "y", "x")).alias("b")).select(
         *by, "b.z", "b.y", "b.x", F.col("b._p").alias("projection"))
-
-
-def quantiles(df, by, value, probs):
-    return exact_quantiles(df, by, value, probs)

@@ -4,6 +4,8 @@ Every measure is an aggregate over label voxels with the few per-case scalars it
 attached; NULL stands for a measure that cannot be taken.
 """
 
+import math
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxelmill.functions import scalars as fn
@@ -151,28 +153,28 @@ def top_fraction(points: DataFrame, fraction=0.15, least=3) -> DataFrame:
     return whole.select(*cols).unionByName(part.select(*cols))
 
 
-def smallest_axis(czz, cyy, cxx, czy, czx, cyx):
-    """Unit eigenvector of the smallest eigenvalue of a symmetric 3x3 matrix, closed form.
-
-    Eigenvalue by the trigonometric formula; vector as the longest cross product of two
-    rows of C - l*I. NULL for a matrix without a direction."""
+def smallest_eigenvalue(czz, cyy, cxx, czy, czx, cyx):
+    """Of a symmetric 3x3 matrix, by the trigonometric closed form; NULL for a multiple
+    of the identity, which has no direction."""
     q = (czz + cyy + cxx) / 3.0
     off = czy * czy + czx * czx + cyx * cyx
     dev = F.sqrt(((czz - q) * (czz - q) + (cyy - q) * (cyy - q) + (cxx - q) * (cxx - q) + 2.0 * off) / 6.0)
-    b = [c / dev for c in (czz - q, cyy - q, cxx - q, czy, czx, cyx)]
+    b = [F.try_divide(c, dev) for c in (czz - q, cyy - q, cxx - q, czy, czx, cyx)]
     det = (b[0] * (b[1] * b[2] - b[5] * b[5]) - b[3] * (b[3] * b[2] - b[5] * b[4])
            + b[4] * (b[3] * b[5] - b[1] * b[4]))
-    low = q + 2.0 * dev * F.cos(F.acos(fn.clip(det / 2.0, -1.0, 1.0)) / 3.0 + 2.0943951023931953)
-    return q, dev, low
+    third_turn = 2.0 * math.pi / 3.0
+    return q + 2.0 * dev * F.cos(F.acos(fn.clip(det / 2.0, -1.0, 1.0)) / 3.0 + third_turn)
 
 
 def plane_fit(points: DataFrame, by=(CASE,)) -> DataFrame:
-    """Centroid and normal (direction of least variance) of physical points pz, py, px."""
+    """Centroid and normal (direction of least variance) of physical points pz, py, px.
+
+    The normal is the longest cross product of two rows of C - l*I."""
     c = lambda a, b: F.covar_pop(f"p{a}", f"p{b}").alias(f"c{a}{b}")
     d = points.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(f"p{a}").alias(f"g{a}") for a in AXES],
                                 c("z", "z"), c("y", "y"), c("x", "x"), c("z", "y"), c("z", "x"), c("y", "x"))
     col = F.col
-    _, _, low = smallest_axis(*[col(f"c{k}") for k in ("zz", "yy", "xx", "zy", "zx", "yx")])
+    low = smallest_eigenvalue(*[col(f"c{k}") for k in ("zz", "yy", "xx", "zy", "zx", "yx")])
     d = d.withColumn("low", low)
     rows = [(col("czz") - col("low"), col("czy"), col("czx")), (col("czy"), col("cyy") - col("low"), col("cyx")),
             (col("czx"), col("cyx"), col("cxx") - col("low"))]
