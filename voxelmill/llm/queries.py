@@ -46,3 +46,10 @@ def op2_decontamination(spark, sf_dir):
     from voxelmill.llm.decontamination import digests, find_hits
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(find_hits(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query("op5_packing")
+def op5_packing(spark, sf_dir):
+    """Every document's pieces in sequences of 4096 tokens."""
+    from voxelmill.llm.packing import pack, tokenized_pieces
+    return pack(tokenized_pieces(table(spark, sf_dir, "documents")))
