@@ -23,7 +23,7 @@ from voxelmill.llm.tokens import WORD_BPE, vocabulary_path, word_bpe
 CAPACITY = 4096
 END = 1
 #: Pieces of one length ranked in one task.
-RANKED = 20_000
+RANKED = 2_000
 
 
 def tokenized_pieces(docs: DataFrame, doc_id="doc_id", text="text", capacity=CAPACITY, end=END,
@@ -42,7 +42,7 @@ def tokenized_pieces(docs: DataFrame, doc_id="doc_id", text="text", capacity=CAP
     def run(batches):
         model = word_bpe(path)
         for b in text_batches(batches):
-            ids, counts = model.encode(b.column("text").to_pylist())
+            ids, counts = model.encode(b.column("text"))
             last = np.cumsum(counts + 1) - 1
             flat = np.full(len(ids) + len(counts), end, "<u4")
             inside = np.ones(len(flat), bool)

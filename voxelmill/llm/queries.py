@@ -53,3 +53,10 @@ def op5_packing(spark, sf_dir):
     """Every document's pieces in sequences of 4096 tokens."""
     from voxelmill.llm.packing import pack, tokenized_pieces
     return pack(tokenized_pieces(table(spark, sf_dir, "documents")))
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    """Tokens of every document, counted in flat token files."""
+    from voxelmill.llm.token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))
