@@ -60,3 +60,20 @@ def op1_token_counts(spark, sf_dir):
     """Tokens of every document, counted in flat token files."""
     from voxelmill.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark, sf_dir):
+    """Class and number of links of every document at Jaccard 0.8 on five-word n-grams."""
+    from voxelmill.llm.ngram_jaccard import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    """Language of every document by the byte network, learned outside the held-out fold."""
+    from voxelmill.llm.language_id import fit, predict
+    docs = table(spark, sf_dir, "documents")
+    net = fit(docs.filter(fold("doc_id") != 0).select("doc_id", "text", "lang"))
+    scored = predict(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
