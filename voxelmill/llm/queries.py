@@ -77,3 +77,13 @@ def op4_language_id(spark, sf_dir):
     net = fit(docs.filter(fold("doc_id") != 0).select("doc_id", "text", "lang"))
     scored = predict(docs.select("doc_id", "text"), net)
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    """Toxicity of every document; labels of fold 0 are never seen, those of fold 4 calibrate."""
+    from voxelmill.llm.toxicity import fit, predict, with_labels
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = with_labels(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = fit(docs, labelled.filter(fold("doc_id").isin(1, 2, 3)), labelled.filter(fold("doc_id") == 4))
+    return predict(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
