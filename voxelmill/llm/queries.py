@@ -87,3 +87,10 @@ def op8_toxicity(spark, sf_dir):
     labelled = with_labels(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     model = fit(docs, labelled.filter(fold("doc_id").isin(1, 2, 3)), labelled.filter(fold("doc_id") == 4))
     return predict(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_nearest")
+def op7_nearest(spark, sf_dir):
+    """The ten nearest vectors of every hundredth embedding."""
+    from voxelmill.llm.kmeans_tree import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
