@@ -66,8 +66,10 @@ def _likely_edges(members: DataFrame, threshold, hashes) -> DataFrame:
     """Spanning edges (a, b) of band partners whose signatures do not rule the threshold out."""
     # five standard deviations below the expected number of equal signature values
     least = threshold * hashes - 5 * (threshold * (1 - threshold) * hashes) ** 0.5
-    banded = members.select(F.explode("keys").alias("key"), "cls", "low")
-    dealt = _spread(dealt_groups(banded, "key", "cls").drop("_blocks", "_own"), "key", "_part")
+    banded = members.select(F.explode("keys").alias("key"), "cls")
+    met = dealt_groups(banded, "key", "cls").select("key", "_part", "cls")
+    # signatures join late: most band keys have one member only
+    dealt = _spread(met.join(members.select("cls", "low"), "cls"), "key", "_part")
 
     def run(batches):
         for t in runs(batches, ["key", "_part"]):
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, th
     clusters = components(_likely_edges(members, threshold, bands * rows))
     clusters = written(clusters.select(F.col("node").alias("cls"), "root"), "clusters")
     chosen = classes.join(clusters, "cls").select("rep", "cls", "root", "copies")
-    grams = _grams(kept.join(chosen.withColumnRenamed("rep", "row"), "row"), size)
+    grams = written(_grams(kept.join(chosen.withColumnRenamed("rep", "row"), "row"), size), "grams")
     links = written(_verified(grams, threshold), "links")
     groups = components(links.filter("kind = 'e'").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = (classes.join(groups, classes["cls"] == groups["node"], "left")

@@ -94,3 +94,12 @@ def op7_nearest(spark, sf_dir):
     """The ten nearest vectors of every hundredth embedding."""
     from voxelmill.llm.kmeans_tree import search
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_kneser_ney")
+def op6_kneser_ney(spark, sf_dir):
+    """Score of every document by the bigram model learned outside the held-out fold."""
+    from voxelmill.llm.kneser_ney import fit, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs.filter(fold("doc_id") != 1))
+    return score(docs, model).withColumn("held_out", fold("doc_id") == 1)
