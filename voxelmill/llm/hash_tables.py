@@ -88,3 +88,31 @@ def find(table, keys):
     have = table["key"]
     at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
     return at, have[at] == keys
+
+
+def save_rows(rows, folder):
+    """Row numbers (monotonically_increasing_id of a scan) as one sorted array per scan partition.
+
+    A second pass over the same scan finds the rows it wants without moving any text.
+    """
+    from pyspark.sql import functions as F
+
+    from voxelmill.llm.common import record_batch
+
+    def write(batches):
+        held = [b.column("row").to_numpy() for b in batches if b.num_rows]
+        if held:
+            row = np.unique(np.concatenate(held))
+            cut = [0, *(np.flatnonzero(np.diff(row >> 33)) + 1).tolist(), len(row)]
+            for a, b in zip(cut, cut[1:]):
+                save(folder, f"rows-{row[a] >> 33}", key=row[a:b])
+        yield record_batch(n=pa.array([sum(map(len, held))], pa.int64()))
+
+    part = F.shiftright("row", 33)
+    rows.select("row").repartition(part).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def wanted(folder, row):
+    """Places in ``row`` (one partition's, increasing) of the rows saved."""
+    table = load(folder, f"rows-{row[0] >> 33}") if len(row) else None
+    return np.flatnonzero(find(table, row)[1]) if table else np.zeros(0, np.int64)

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, text_batches, written
+from voxelmill.llm.common import record_batch, shared_path, text_batches, written
 from voxelmill.llm.components import components
+from voxelmill.llm.hash_tables import save_rows, wanted
 from voxelmill.llm.minhash import band_keys, bands_for, dealt_groups, roots, run_bounds, runs, signatures
 from voxelmill.llm.text import ngrams, words
 
@@ -176,7 +177,8 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, th
     clusters = components(_likely_edges(members, threshold, bands * rows))
     clusters = written(clusters.select(F.col("node").alias("cls"), "root"), "clusters")
     chosen = classes.join(clusters, "cls").select("rep", "cls", "root", "copies")
-    grams = written(_grams(kept.join(chosen.withColumnRenamed("rep", "row"), "row"), size), "grams")
+    chosen = written(chosen.withColumnRenamed("rep", "row"), "chosen")
+    grams = written(_grams(kept, chosen, size).join(chosen, "row").drop("row"), "grams")
     links = written(_verified(grams, threshold), "links")
     groups = components(links.filter("kind = 'e'").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = (classes.join(groups, classes["cls"] == groups["node"], "left")
@@ -191,13 +193,15 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, th
                       F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _grams(rows: DataFrame, size) -> DataFrame:
+def _grams(docs: DataFrame, chosen: DataFrame, size) -> DataFrame:
+    """(row, grams) of the chosen rows, in a second pass that leaves the texts where they are."""
+    folder = shared_path(docs.sparkSession, "chosen")
+    save_rows(chosen, folder)
+
     def run(batches):
         for b in text_batches(batches):
-            h, bounds, own = _sets(b.column("text"), size)
-            sets = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-            assert len(own) == b.num_rows
-            yield record_batch(cls=b.column("cls"), root=b.column("root"), copies=b.column("copies"),
-                               grams=pa.array(sets, pa.binary()))
-    return rows.select("cls", "root", "copies", "text").mapInArrow(
-        run, "cls binary, root binary, copies long, grams binary")
+            at = wanted(folder, b.column("row").to_numpy())
+            h, bounds, own = _sets(b.column("text").take(pa.array(at)), size)
+            yield record_batch(row=b.column("row").take(pa.array(at[own])),
+                               grams=pa.array([h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary()))
+    return docs.select("row", "text").mapInArrow(run, "row long, grams binary")

@@ -103,3 +103,10 @@ def op6_kneser_ney(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs.filter(fold("doc_id") != 1))
     return score(docs, model).withColumn("held_out", fold("doc_id") == 1)
+
+
+@query("op9_paragraph_dedup")
+def op9_paragraph_dedup(spark, sf_dir):
+    """Passages that each document shares with others, and what of it is removed."""
+    from voxelmill.llm.paragraph_dedup import shared_passages
+    return shared_passages(table(spark, sf_dir, "documents")).drop("row")
