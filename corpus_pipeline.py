@@ -1,17 +1,73 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
 
-from pyspark.sql import DataFrame
+Every stage works on all rows its predecessor kept. The first four return the columns of the
+documents, the last the packed sequences.
+"""
 
-from voxelmill.llm.common import written
+from pyspark.sql import DataFrame, functions as F
 
-STAGES = []
+from voxelmill.llm.common import fold, table, written
+
+#: Documents whose language is less likely than this are rejected, as are those without a letter.
+LEAST_LANGUAGE_SCORE = 0.3
+#: The key of the surrogates; a run on real data sets its own secret.
+PII_KEY = b"corpus pipeline"
+
+
+def language(spark, docs, sf_dir) -> DataFrame:
+    """Rejects documents in no recognisable language; ``lang`` becomes the predicted one.
+
+    Learns from the rows that have a language, outside fold 0.
+    """
+    from voxelmill.llm.language_id import UNKNOWN, fit, predict
+    net = fit(docs.filter(fold("doc_id") != 0).select("doc_id", "text", "lang"))
+    known = predict(docs, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return known.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir) -> DataFrame:
+    """Keeps one document of each group of copies and near copies: the least id, then the first row."""
+    from voxelmill.llm.ngram_jaccard import near_duplicates as join
+    found = written(join(docs), "classes")
+    kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("kept"))
+    gone = found.join(kept, found["class_id"].eqNullSafe(kept["class_id"])).filter("row != kept.row").select("row")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    return numbered.join(gone, "row", "left_anti").drop("row")
+
+
+def decontamination(spark, docs, sf_dir) -> DataFrame:
+    """Rejects documents of which a twentieth of the words or more lies in benchmark passages."""
+    from voxelmill.llm.decontamination import contaminated, find_hits
+    hits = find_hits(docs, table(spark, sf_dir, "benchmark"))
+    return hits.filter(~contaminated()).select(docs.columns)
+
+
+def private_data(spark, docs, sf_dir) -> DataFrame:
+    """Replaces personal data; n_chars follows the text."""
+    from voxelmill.llm.pii import pseudonymize
+    replaced = pseudonymize(docs, PII_KEY)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        replaced = replaced.withColumn("n_chars", F.length("text").cast(kind))
+    return replaced.select(docs.columns)
+
+
+def packing(spark, docs, sf_dir) -> DataFrame:
+    """Packs all documents into sequences of 4096 tokens."""
+    from voxelmill.llm.packing import pack, tokenized_pieces
+    return pack(tokenized_pieces(docs))
+
+
+STAGES = [("language", language), ("near duplicates", near_duplicates), ("decontamination", decontamination),
+          ("private data", private_data), ("packing", packing)]
+#: The stages learn, hash and tokenize: SQL cannot state them.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir) -> DataFrame:
     """All stages on ``documents``; each stage's rows are written before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, "stage")

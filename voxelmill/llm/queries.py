@@ -110,3 +110,15 @@ def op9_paragraph_dedup(spark, sf_dir):
     """Passages that each document shares with others, and what of it is removed."""
     from voxelmill.llm.paragraph_dedup import shared_passages
     return shared_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
+#: The key of the registered query; a run on real data passes its own secret.
+PII_KEY = b"registered query"
+
+
+@query("op10_pii_surrogates")
+def op10_pii_surrogates(spark, sf_dir):
+    """Every document with its personal data replaced, and where the replacements stand."""
+    from voxelmill.llm.pii import pseudonymize
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, PII_KEY).withColumn("n_entities", F.size("entities"))
