@@ -4,9 +4,11 @@ Every stage works on all rows its predecessor kept. The first four return the co
 documents, the last the packed sequences.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import fold, table, written
+from voxelmill.llm.common import fold, shared_path, table, written
 
 #: Documents whose language is less likely than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -27,12 +29,18 @@ def language(spark, docs, sf_dir) -> DataFrame:
 
 def near_duplicates(spark, docs, sf_dir) -> DataFrame:
     """Keeps one document of each group of copies and near copies: the least id, then the first row."""
+    from voxelmill.llm.hash_tables import save_rows, wanted
     from voxelmill.llm.ngram_jaccard import near_duplicates as join
-    found = written(join(docs), "classes")
-    kept = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "row")).alias("kept"))
-    gone = found.join(kept, found["class_id"].eqNullSafe(kept["class_id"])).filter("row != kept.row").select("row")
+    folder = shared_path(spark, "dropped")
+    save_rows(join(docs).filter("row != class_row"), folder)
+
+    def keep(batches):
+        for b in batches:
+            gone = np.zeros(b.num_rows, bool)
+            gone[wanted(folder, b.column("row").to_numpy())] = True
+            yield b.filter(pa.array(~gone))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return numbered.join(gone, "row", "left_anti").drop("row")
+    return numbered.mapInArrow(keep, numbered.schema).select(docs.columns)
 
 
 def decontamination(spark, docs, sf_dir) -> DataFrame:

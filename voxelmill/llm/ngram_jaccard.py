@@ -157,10 +157,10 @@ def _verified(cluster: DataFrame, threshold) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, threshold=THRESHOLD,
                     recall=RECALL) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, copy_id, class_id, n_links.
+    """One row per row of ``docs``: row, doc_id, copy_id, class_id, class_row, n_links.
 
     copy_id: least id of the rows with the same n-gram set; class_id: least id connected by links
-    of at least ``threshold``; n_links: other rows with such a similarity to this one. ``row`` numbers
+    of at least ``threshold``; class_row: its row (the first); n_links: other rows with such a similarity to this one. ``row`` numbers
     the rows of ``docs`` (monotonically_increasing_id of its scan, so read it from stored files).
 
     Texts that are null, empty or without words have no n-grams: their own class, no links. A text of
@@ -171,25 +171,26 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, th
     kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
                        F.col(text).cast("string").alias("text"))
     sketch = written(sketches(kept, size, bands, rows), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = written(sketch.filter("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min("row").alias("rep")), "classes")
-    members = sketch.join(classes.select(F.col("rep").alias("row"), "copies"), "row").select("cls", "keys", "low")
+        F.min(first).alias("least"), F.count("*").alias("copies"), F.min("row").alias("row")), "classes")
+    members = sketch.join(classes.select("row"), "row").select("cls", "keys", "low")
     clusters = components(_likely_edges(members, threshold, bands * rows))
-    clusters = written(clusters.select(F.col("node").alias("cls"), "root"), "clusters")
-    chosen = classes.join(clusters, "cls").select("rep", "cls", "root", "copies")
-    chosen = written(chosen.withColumnRenamed("rep", "row"), "chosen")
+    chosen = written(classes.join(clusters, classes["cls"] == clusters["node"]).select("row", "cls", "root", "copies"), "chosen")
     grams = written(_grams(kept, chosen, size).join(chosen, "row").drop("row"), "grams")
     links = written(_verified(grams, threshold), "links")
     groups = components(links.filter("kind = 'e'").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = (classes.join(groups, classes["cls"] == groups["node"], "left")
-             .select("cls", "copy_id", "copies", F.coalesce("root", "cls").alias("root")))
-    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+             .select("cls", "least", "copies", F.coalesce("root", "cls").alias("root")))
+    leader = named.groupBy("root").agg(F.min("least").alias("leader"))
     counts = links.filter("kind = 'n'").groupBy("cls").agg(F.sum("n").alias("n"))
-    per_class = (named.join(least, "root").join(counts, "cls", "left")
-                 .select("cls", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n")))
+    per_class = (named.join(leader, "root").join(counts, "cls", "left")
+                 .select("cls", "least", "leader", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n")))
     out = sketch.select("row", "doc_id", "cls").join(per_class, "cls", "left")
-    return out.select("row", "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"),
-                      F.coalesce("class_id", "doc_id").alias("class_id"),
+    known = F.col("cls").isNotNull()
+    return out.select("row", "doc_id", F.when(known, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("copy_id"),
+                      F.when(known, F.col("leader.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+                      F.when(known, F.col("leader.row")).otherwise(F.col("row")).alias("class_row"),
                       F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
 
 

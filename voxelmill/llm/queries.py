@@ -66,7 +66,7 @@ def op1_token_counts(spark, sf_dir):
 def op3_ngram_jaccard(spark, sf_dir):
     """Class and number of links of every document at Jaccard 0.8 on five-word n-grams."""
     from voxelmill.llm.ngram_jaccard import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row", "class_row")
 
 
 @query("op4_language_id")
