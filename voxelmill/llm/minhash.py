@@ -19,7 +19,7 @@ def bands_for(threshold, recall, hashes=HASHES):
     best = None
     for rows in range(1, hashes + 1):
         p = threshold ** rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
         if bands * rows <= hashes:
             best = bands, rows
     return best

@@ -7,8 +7,8 @@ entities of the same form: a Feistel network over its letters and digits, each s
 are permuted within the list of their gender and script. A permutation cannot send two entities to
 one surrogate, and the same entity gets the same surrogate wherever and however it is written.
 
-A collision check over all distinct entities still verifies this, and draws again where a surrogate
-equals its own original.
+A collision check over all distinct entities still verifies this; an entity that would be its own
+surrogate exchanges it with another one.
 """
 
 import hmac
@@ -41,7 +41,7 @@ ALPHABETS = {"digit": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "uppe
              "LAT": "ÀÁÂÄÇÈÉÊÑÖÓÚÜ", "lat": "àáâäçèéêñöóúü"}
 _CLASS = {c: k for k in ("digit", "lower", "upper", "CYR", "cyr", "GRE", "gre", "LAT", "lat") for c in ALPHABETS[k]}
 ROUNDS = 8
-#: Further draws tried for an entity that is its own surrogate.
+#: Partners tried for an entity that is its own surrogate.
 DRAWS = 20
 
 _NAME = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩЁА-Я](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
@@ -121,18 +121,17 @@ def find(texts: pa.Array):
 
 
 class Surrogates:
-    """Keyed permutations of entities; ``redrawn`` maps (kind, canonical form) to another draw."""
+    """Keyed permutations of entities; ``swapped`` are pairs that exchange their surrogates."""
 
-    def __init__(self, key: bytes, redrawn=None):
+    def __init__(self, key: bytes, swapped=None):
         self.key = key
-        self.redrawn = redrawn or {}
+        self.swapped = swapped or {}
 
     def __call__(self, kind, text):
-        draw = self.redrawn.get((kind, canonical(kind, text))) if self.redrawn else None
-        return self.drawn(draw)(kind, text) if draw else getattr(self, f"_{kind}")(text)
-
-    def drawn(self, draw):
-        return Surrogates(hmac.digest(self.key, b"draw %d" % draw, "sha256"))
+        if self.swapped:
+            other = self.swapped.get((kind, canonical(kind, text)))
+            text = respelled(kind, text, other) if other else text
+        return getattr(self, f"_{kind}")(text)
 
     def _number(self, tag, data, n):
         return int.from_bytes(hmac.digest(self.key, f"{tag}|{data}".encode(), "sha256")[:16], "big") % n
@@ -231,6 +230,15 @@ def canonical(kind, text):
     return text.lower() if kind == "email" else text
 
 
+def respelled(kind, text, other):
+    """The entity ``other``, in canonical form, written the way ``text`` is."""
+    if kind in ("phone", "card"):
+        return _refill(text, other)
+    if kind == "name":
+        return text[:len(text) - len(canonical(kind, text))] + other
+    return "".join(n.upper() if o.isupper() else n for n, o in zip(other, text)) if kind == "email" else other
+
+
 def replace(texts: pa.Array, surrogates):
     """The texts with their entities replaced, and for each the (kind, start, length) in the new text."""
     found = find(texts)
@@ -264,33 +272,27 @@ def entities(docs: DataFrame, key: bytes, text="text") -> DataFrame:
             .mapInArrow(run, "kind string, original string, surrogate string").distinct())
 
 
-def redraws(docs: DataFrame, key: bytes, text="text") -> dict:
-    """The collision check: another draw for each entity whose surrogate would be itself.
+def swaps(docs: DataFrame, key: bytes, text="text") -> dict:
+    """The collision check: entities that must exchange surrogates so that none is its own.
 
-    Fails if two entities share a surrogate, which a permutation rules out. A permutation has one
-    fixed point on average, however large its set; so what comes to the driver is about one entity
-    for each form, not a share of the data. A new surrogate is one that no other entity has. An
-    entity without any letter or digit to permute stays as it is.
+    Fails if two entities share a surrogate, which a permutation rules out. An entity that is its own
+    surrogate swaps with another entity of its form, in the text or not; the result is a permutation
+    again. A permutation has one fixed point on average, however large its set, so what comes to the
+    driver is about one entity for each form, not a share of the data. An entity without any letter
+    or digit to permute stays as it is.
     """
     found = written(entities(docs, key, text), "entities")
     shared = found.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).filter("n > 1").first()
     if shared:
         raise ValueError(f"two entities of kind {shared['kind']} share a surrogate")
-    same = [(r["kind"], r["original"]) for r in found.filter("original = surrogate").toLocalIterator()]
-    s = Surrogates(key)
-    draws = [(k, e, d, canonical(k, s.drawn(d)(k, e))) for k, e in same for d in range(1, DRAWS + 1)]
-    draws = [x for x in draws if x[3] != x[1]]
-    if not draws:
-        return {}
-    wanted = docs.sparkSession.createDataFrame(
-        pa.table({"kind": [x[0] for x in draws], "surrogate": [x[3] for x in draws]}))
-    taken = {(r["kind"], r["surrogate"]) for r in found.join(F.broadcast(wanted), ["kind", "surrogate"], "left_semi")
-             .select("kind", "surrogate").toLocalIterator()}
     out = {}
-    for kind, entity, draw, surrogate in draws:
-        if (kind, entity) not in out and (kind, surrogate) not in taken:
-            out[kind, entity] = draw
-            taken.add((kind, surrogate))
+    for kind, entity in sorted((r["kind"], r["original"]) for r in found.filter("original = surrogate").toLocalIterator()):
+        for draw in range(DRAWS):
+            other = Surrogates(hmac.digest(key, b"draw %d" % draw, "sha256"))
+            partner = canonical(kind, other(kind, entity))
+            if partner != entity and not {(kind, entity), (kind, partner)} & out.keys():
+                out[kind, entity], out[kind, partner] = partner, entity
+                break
     return out
 
 
@@ -304,11 +306,11 @@ def pseudonymize(docs: DataFrame, key: bytes, text="text", check=True) -> DataFr
     names = docs.columns
     if "entities" in names:
         raise ValueError("column in the way: entities")
-    other = redraws(docs, key, text) if check else {}
+    swapped = swaps(docs, key, text) if check else {}
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches):
-        s = Surrogates(key, other)
+        s = Surrogates(key, swapped)
         for b in text_batches(batches, text):
             new, spans = replace(b.column(names.index(text)), s)
             yield record_batch(**{c: pa.array(new, pa.string()) if c == text else b.column(i) for i, c in enumerate(names)},
