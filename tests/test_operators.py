@@ -227,3 +227,88 @@ def test_strict_positional_pairing_refuses_unequal_lists(spark):
     assert mf.pair_by_rank(a, b).count() == 2
     with pytest.raises(ValueError):
         mf.pair_by_rank(a, b, strict=True)
+
+
+# --- no data lost or merged at scale ---------------------------------------------------
+
+def test_padding_never_cuts(spark):
+    from voxelmill.functions.scalars import zero_padded
+    keys = [5, 999_999, 1_000_000, 12_345_678]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select(zero_padded(F.col("k"), 6).alias("s"))
+    assert [r["s"] for r in df.collect()] == ["000005", "999999", "1000000", "12345678"]
+
+
+@pytest.mark.parametrize("depth", [0, 6, 40])
+def test_find_key_at_any_depth(spark, depth):
+    text = '{"x": {"n": 1}, "a": ' * depth + '{"age": "7Y"}' + "}" * depth
+    df = spark.createDataFrame([("h", text), ("none", '{"b": [1, 2]}'), ("null", None)], "id string, j string")
+    got = {r["id"]: r["value"] for r in mf.find_key(df, "id", "j", "age").collect()}
+    assert got == {"h": "7Y", "none": None, "null": None}
+
+
+def test_slices_redraw_in_both_modes(spark):
+    """Half of the cases have no positive plane: eleven draws nearly always find one that has."""
+    masks = [np.zeros((NZ, NY, NX), int) for _ in range(8)]
+    for a in masks[:4]:
+        a[4, 4, 4] = 1
+    labels, vols = mask_df(spark, masks), volumes(spark, 8)
+    for draw in (sm.sample_slices, sm.sample_val_slices):
+        cases = [r["case_id"] for r in draw(labels, vols, 200).collect()]
+        assert len(cases) == 200 and set(cases) <= {"c0", "c1", "c2", "c3"}
+
+
+def test_weighted_draws_all_land(spark):
+    rows = spark.createDataFrame([(i, 0.1 * (i % 7)) for i in range(300)], "k long, w double")
+    got = sm.weighted_sample(rows, "k", "w", n=5000).collect()
+    assert len(got) == 5000 and all(r["k"] is not None and r["k"] % 7 for r in got)
+
+
+def test_texture_keeps_isolated_voxels(spark):
+    from voxelmill.operators.texture import texture
+    roi = spark.createDataFrame([("c0", 1, 1, x, 30.0 * x) for x in range(4)] + [("c1", 1, 1, 1, 60.0)],
+                                "case_id string, z int, y int, x int, value double")
+    got = {r["case_id"]: r.asDict() for r in texture(roi, volumes(spark)).collect()}
+    assert set(got) == {"c0", "c1"}
+    assert got["c1"]["original_firstorder_Mean"] == 60.0 and got["c1"]["original_glcm_Contrast"] is None
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_matching_needs_one_reference(spark, n):
+    image = image_df(spark, [RNG.random((NZ, NY, NX)) * 100])
+    marks = it.hist_landmarks(image.withColumn("value", F.col("value") + 1))
+    marks = marks.limit(0) if n == 0 else marks.union(marks)
+    with pytest.raises(Exception, match="exactly one volume"):
+        it.hist_match(image, marks, volumes(spark, 1)).collect()
+
+
+def test_argmax_ties_go_to_the_lower_class(spark):
+    logits = {(0, 0, 0): [1, 1, 0, 0], (0, 0, 1): [0, 1, 3, 3], (0, 0, 2): [0, 0, 0, 1]}
+    rows = [("c0", *p, c, float(v)) for p, vs in logits.items() for c, v in enumerate(vs)]
+    df = m.argmax_class(spark.createDataFrame(rows, "case_id string, z int, y int, x int, cls int, logit double"))
+    assert {r["x"]: r["label"] for r in df.collect()} == {0: 0, 1: 2, 2: 3}
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from voxelmill.session import ensure_checkpoint_dir
+    named = []
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=named.append)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+    ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: "hdfs:///shared")))
+    assert named == ["hdfs:///shared"]
+
+
+def test_salted_branch_gives_the_same(spark, monkeypatch):
+    from voxelmill import model
+    mask = RNG.random((2, NZ, NY, NX)) < 0.4
+    labels, vols, image = mask_df(spark, mask), volumes(spark), image_df(spark, RNG.random((2, NZ, NY, NX)))
+
+    def results():
+        return [sorted(map(tuple, d.collect())) for d in (
+            mo.clean_mask(labels, vols), it.minmax(image, vols), g.slice_at(image, vols, "z", flip="y"))]
+    plain = results()
+    monkeypatch.setattr(model, "BROADCAST_CASES", 0)
+    assert results() == plain

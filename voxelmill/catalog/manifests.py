@@ -15,12 +15,12 @@ def table(spark, sf, name):
 
 
 IMAGES_SQL = """images AS (
-  SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, 'knee_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')
+  SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, 'knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')
          || CASE WHEN c_custkey % 4 = 0 THEN '.nii' ELSE '.nii.gz' END AS name FROM customer WHERE c_custkey % 10 <> 3),
 img AS (SELECT *, dir || '/' || name AS path FROM images)"""
 MASKS_SQL = """masks AS (
   SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'mask_' END || 'knee_'
-         || lpad(CAST(c_custkey AS VARCHAR), 7, '0') || CASE WHEN c_custkey % 4 = 0 THEN '.nii' ELSE '.nii.gz' END AS name
+         || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || CASE WHEN c_custkey % 4 = 0 THEN '.nii' ELSE '.nii.gz' END AS name
   FROM customer WHERE c_custkey % 7 <> 2),
 msk AS (SELECT *, dir || '/' || name AS path FROM masks)"""
 FILES = f"WITH {IMAGES_SQL}, {MASKS_SQL}\n"
@@ -29,7 +29,7 @@ FILES = f"WITH {IMAGES_SQL}, {MASKS_SQL}\n"
 def _named(df, name):
     k = F.col("c_custkey")
     ext = F.when(k % 4 == 0, ".nii").otherwise(".nii.gz")
-    stem = F.concat(F.lit("knee_"), F.lpad(k.cast("string"), 7, "0"), ext)
+    stem = F.concat(F.lit("knee_"), fn.zero_padded(k, 7), ext)
     d = F.concat(F.lit("site_"), F.col("c_nationkey").cast("string"))
     full = F.concat(name, stem)
     return df.select(k.alias("k"), d.alias("dir"), full.alias("name"),
@@ -394,7 +394,7 @@ def join_meta_mapping(spark, sf):
 
 
 @query("join_wildcard", FILES + """, b AS (SELECT dir, name, regexp_replace(name, '\\.nii(\\.gz)?$', '') AS base FROM img),
-s AS (SELECT 'site_' || c_nationkey AS dir, 'x' || (c_custkey % 2) || '_knee_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') || '_h' || j || '.mat' AS sidecar
+s AS (SELECT 'site_' || c_nationkey AS dir, 'x' || (c_custkey % 2) || '_knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '_h' || j || '.mat' AS sidecar
   FROM customer, (SELECT range AS j FROM range(2)) WHERE c_custkey % 6 <> 1)
 SELECT b.dir, b.name, coalesce(min(sidecar), '_' || b.base || '_dicom_header.mat') AS sidecar
 FROM b LEFT JOIN s ON b.dir = s.dir AND contains(s.sidecar, b.base) GROUP BY b.dir, b.name, b.base""")
@@ -403,17 +403,17 @@ def join_wildcard(spark, sf):
     side = table(spark, sf, "customer").filter(k % 6 != 1).select(
         F.concat(F.lit("site_"), F.col("c_nationkey").cast("string")).alias("dir"),
         F.explode(F.array(*[F.concat(F.lit("x"), (k % 2).cast("string"), F.lit("_knee_"),
-                                     F.lpad(k.cast("string"), 7, "0"), F.lit(f"_h{j}.mat"))
+                                     fn.zero_padded(k, 7), F.lit(f"_h{j}.mat"))
                             for j in range(2)])).alias("name"))
     return mf.find_sidecar(images(spark, sf), side)
 
 
 @query("join_exists", FILES + """, f AS (SELECT DISTINCT name, regexp_replace(name, '\\.nii(\\.gz)?$', '') AS id FROM img)
-SELECT 'knee_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS case_id,
-  (SELECT max(name) FROM f WHERE f.id = 'knee_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')) AS file FROM customer""")
+SELECT 'knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS case_id,
+  (SELECT max(name) FROM f WHERE f.id = 'knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')) AS file FROM customer""")
 def join_exists(spark, sf):
     cases = table(spark, sf, "customer").select(
-        F.concat(F.lit("knee_"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("case_id"))
+        F.concat(F.lit("knee_"), fn.zero_padded(F.col("c_custkey"), 7)).alias("case_id"))
     found, missing = mf.existing_file(cases, images(spark, sf))
     return found.unionByName(missing, allowMissingColumns=True)
 

@@ -235,5 +235,5 @@ def knee_record(spark, sf):
     ensure_checkpoint_dir(spark)
     vox = s.voxels().checkpoint()  # stands for the stored table that every measure scans
     img = vox.select(CASE, "z", "y", "x", "value")
-    ref = vox.filter("k = 0").select(CASE, "z", "y", "x", "value")
+    ref = vox.filter(F.col("k") == s.reference()).select(CASE, "z", "y", "x", "value")
     return record(img, vox.filter("label > 0").select(CASE, "z", "y", "x", "label"), ref, s.volumes)

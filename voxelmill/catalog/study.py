@@ -8,6 +8,7 @@ in the mask and disturbs the prediction. Work grows with supplier and lineitem.
 
 from pyspark.sql import DataFrame, functions as F
 
+from voxelmill.functions import scalars as fn
 from voxelmill.model import CASE
 
 _studies = {}
@@ -26,7 +27,7 @@ class Study:
         if self._volumes is None:
             k = F.col("s_suppkey")
             self._volumes = self.table("supplier").select(
-                k.alias("k"), F.concat(F.lit("case_"), F.lpad(k.cast("string"), 6, "0")).alias(CASE),
+                k.alias("k"), F.concat(F.lit("case_"), fn.zero_padded(k, 6)).alias(CASE),
                 (12 + k % 3).cast("int").alias("nz"), (18 + k % 4).cast("int").alias("ny"),
                 (14 + k % 3).cast("int").alias("nx"),
                 (0.5 + 0.25 * (k % 3)).alias("sz"), (0.5 + 0.25 * (k % 2)).alias("sy"),
@@ -34,6 +35,13 @@ class Study:
                 (F.floor(F.abs("s_acctbal")) % 3).cast("int").alias("tilt"))
         return self._volumes
 
+    def reference(self) -> int:
+        """Key of the first case, on whose volume histograms are trained."""
+        first = self.volumes.agg(F.min("k")).first()[0]
+        if first is None:
+            raise ValueError("the study has no case to train histograms on")
+        return first
+
     def slices(self) -> DataFrame:
         """One row per case and z plane, with the specks of that plane as a map."""
         vol = self.volumes
@@ -47,7 +55,6 @@ class Study:
             ((F.col("l_partkey") % F.col("ny")) * F.col("nx")
              + (F.floor(F.col("l_orderkey") / F.col("nz")) + 7 * F.col("l_linenumber"))
              % F.col("nx")).cast("int").alias("p"), "q")
-            .repartition("k", "z")  # one exchange serves both aggregates
             .groupBy("k", "z", "p").agg(F.sum("q").cast("int").alias("q"))
             .groupBy("k", "z").agg(F.map_from_entries(F.collect_list(F.struct("p", "q"))).alias("specks")))
         planes = vol.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)))
@@ -59,7 +66,8 @@ class Study:
 
     def voxels(self) -> DataFrame:
         """Dense rows (case_id, k, z, y, x, q, label, pred, value)."""
-        parts = 2 * self.spark.sparkContext.defaultParallelism
+        parts = max(2 * self.spark.sparkContext.defaultParallelism,
+                    int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         d = (self.slices().repartition(parts)
              .select("*", F.posexplode(F.transform(
                  F.sequence(F.lit(0), F.col("ny") * F.col("nx") - 1),
@@ -116,7 +124,7 @@ def study(spark, sf) -> Study:
 
 VOLUMES_SQL = """
 volumes AS (
-  SELECT s_suppkey AS k, 'case_' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS case_id,
+  SELECT s_suppkey AS k, 'case_' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(6, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS case_id,
          CAST(12 + s_suppkey % 3 AS INTEGER) AS nz, CAST(18 + s_suppkey % 4 AS INTEGER) AS ny,
          CAST(14 + s_suppkey % 3 AS INTEGER) AS nx,
          CAST(0.5 + 0.25 * (s_suppkey % 3) AS DOUBLE) AS sz,

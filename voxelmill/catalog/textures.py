@@ -17,7 +17,7 @@ def levels(spark, sf):
     ensure_checkpoint_dir(spark)
     vox = s.voxels().checkpoint()  # the image is read for percentiles, landmarks and the region
     img = vox.select(*VOXEL, "value")
-    roi = acl_region(img, vox.filter("label > 0"), vox.filter("k = 0").select(*VOXEL, "value"), s.volumes)
+    roi = acl_region(img, vox.filter("label > 0"), vox.filter(F.col("k") == s.reference()).select(*VOXEL, "value"), s.volumes)
     return tx.discretise(roi, s.volumes).checkpoint(), s
 
 

@@ -68,9 +68,7 @@ def fn_slice(spark, sf):
 
 # --- voxel joins -------------------------------------------------------------------------
 
-@query("join_voxel", vox_sql("""
-SELECT a.case_id, a.z, a.y, a.x, a.label AS label, b.label AS pred FROM labels a
-JOIN preds b ON a.case_id = b.case_id AND a.z = b.z AND a.y = b.y AND a.x = b.x"""))
+@query("join_voxel", vox_sql("SELECT case_id, z, y, x, label, pred FROM vox WHERE label > 0 AND pred > 0"))
 def join_voxel(spark, sf):
     s = study(spark, sf)
     return s.labels().join(s.preds().withColumnRenamed("label", "pred"), VOXEL)
@@ -224,22 +222,28 @@ def morph_close(spark, sf):
     return mo.close3(s.preds(), s.volumes)
 
 
-def _comps_sql(rounds=8):
-    """Minimum linear index over whole x, y and z runs, ``rounds`` times: enough for every
-    component of these masks (the result is stable from the fourth round on)."""
+def _comps_sql(rounds=5):
+    """Minimum linear index over whole x, y and z runs, ``rounds`` times and once more: the oracle
+    fails if that last round still changes an index."""
     ctes = ["""m AS MATERIALIZED (SELECT c.*, (CAST(c.z AS BIGINT) * ny + c.y) * nx + c.x AS lin,
     c.x - row_number() OVER (PARTITION BY c.case_id, label, c.z, c.y ORDER BY c.x) AS rx,
     c.y - row_number() OVER (PARTITION BY c.case_id, label, c.z, c.x ORDER BY c.y) AS ry,
     c.z - row_number() OVER (PARTITION BY c.case_id, label, c.y, c.x ORDER BY c.z) AS rz
   FROM closed c JOIN volumes v ON c.case_id = v.case_id)"""]
     prev = "m"
-    for i in range(rounds):
+    for i in range(rounds + 1):
+        before = ", lin AS before" if i == rounds else ""
+        if before:
+            ctes.append(f"settled AS (SELECT *{before} FROM {prev})")
+            prev = "settled"
         for part in ("z, y, rx", "z, x, ry", "y, x, rz"):
             name = f"r{len(ctes)}"
-            ctes.append(f"{name} AS (SELECT case_id, label, z, y, x, rx, ry, rz, "
+            kept = ", before" if i == rounds else ""
+            ctes.append(f"{name} AS (SELECT case_id, label, z, y, x, rx, ry, rz{kept}, "
                         f"min(lin) OVER (PARTITION BY case_id, label, {part}) AS lin FROM {prev})")
             prev = name
-    ctes.append(f"comps AS MATERIALIZED (SELECT case_id, label, z, y, x, lin AS comp FROM {prev})")
+    ctes.append(f"comps AS MATERIALIZED (SELECT case_id, label, z, y, x, "
+                f"CASE WHEN lin = before THEN lin ELSE error('more rounds needed') END AS comp FROM {prev})")
     return ",\n".join(ctes)
 
 
@@ -464,7 +468,7 @@ def int_bias_diff(spark, sf):
 
 _LM = ", ".join(f"quantile_cont(value, {p / 100}) AS l{p}" for p in it.LANDMARKS)
 _LMS = ", ".join(f"(l{p} - l1) * 100 / (l99 - l1) AS l{p}" for p in it.LANDMARKS)
-TRAIN = f"lm0 AS (SELECT {_LM} FROM vox WHERE k = 0 AND value > 0), lm AS (SELECT {_LMS} FROM lm0)"
+TRAIN = f"lm0 AS (SELECT {_LM} FROM vox WHERE k = (SELECT min(k) FROM volumes) AND value > 0), lm AS (SELECT {_LMS} FROM lm0)"
 _MP = ", ".join(f"quantile_cont(value, {p / 100}) AS p{p}" for p in it.MAPPED)
 _SEG = "CASE " + " ".join(
     f"WHEN value < p{b} THEN (value - p{a}) * coalesce((l{b} - l{a}) / nullif(p{b} - p{a}, 0), 0) + l{a}"
@@ -475,8 +479,8 @@ matched AS (SELECT v.case_id, z, y, x, label, {_SEG} AS value FROM vox v JOIN mp
 
 
 def landmarks(s):
-    """Landmarks of the reference volume, the case of supplier 0."""
-    return it.hist_landmarks(s.voxels().filter("k = 0").select(*VOXEL, "value"))
+    """Landmarks of the reference volume, the case of the least supplier."""
+    return it.hist_landmarks(s.voxels().filter(F.col("k") == s.reference()).select(*VOXEL, "value"))
 
 
 @query("int_hist_train", vox_ctes(TRAIN, select="SELECT " + ", ".join(f"round(l{p}, 6) AS l{p}" for p in it.LANDMARKS) + " FROM lm"))

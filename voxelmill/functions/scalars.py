@@ -10,6 +10,12 @@ def case_id(name: Column, is_mask=False) -> Column:
     return F.regexp_replace(base, "^mask_", "") if is_mask else base
 
 
+def zero_padded(number: Column, width: int) -> Column:
+    """The number as text of at least ``width`` digits; longer ones keep all of theirs."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def digit_id(name: Column) -> Column:
     """First run of digits as text; NULL where the name has none."""
     return F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit(""))
@@ -20,9 +26,7 @@ def patient_id(name: Column) -> Column:
     parts = F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
     ok = ((F.size(parts) == 2) & parts[1].rlike(r"^\d+$")
           & F.lower(name).startswith("pacient"))
-    return F.when(ok, F.concat(F.lit("pacient_"), F.lpad(
-        parts[1].cast("bigint").cast("string"),
-        F.greatest(F.lit(2), F.length(parts[1].cast("bigint").cast("string"))), F.lit("0"))))
+    return F.when(ok, F.concat(F.lit("pacient_"), zero_padded(parts[1].cast("bigint"), 2)))
 
 
 def extension(name: Column) -> Column:

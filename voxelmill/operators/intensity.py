@@ -74,7 +74,12 @@ def hist_match(vox: DataFrame, landmarks: DataFrame, volumes: DataFrame, only=No
     """Piecewise linear map of each case's percentiles to the landmarks (one row); the end
     segments extrapolate. Percentiles use all voxels of ``vox``; ``only`` maps a subset."""
     q = wide_quantiles(vox, [CASE], "value", [(f"p{p}", p / 100.0) for p in MAPPED])
-    q = q.join(F.broadcast(landmarks.drop(CASE)))  # landmarks: one reference volume
+    # an aggregate is one row even of an empty table, so a wrong number of landmarks is seen
+    names = [f"l{p}" for p in MAPPED]
+    one = landmarks.agg(F.count("*").alias("_n"), *[F.first(n).alias(n) for n in names])
+    wrong = F.raise_error(F.lit("histogram matching needs the landmarks of exactly one volume"))
+    one = one.select(*[F.when(F.col("_n") == 1, F.col(n)).otherwise(wrong).alias(n) for n in names])
+    q = q.join(F.broadcast(one))
     slope, cut = [], []
     for a, b in zip(MAPPED, MAPPED[1:]):
         run = F.col(f"p{b}") - F.col(f"p{a}")

@@ -5,10 +5,12 @@ from pyspark.sql import DataFrame, functions as F
 from voxelmill.model import exact_quantiles, running
 
 
-def running_best(log: DataFrame, by, order="epoch", value="score", mode="max") -> DataFrame:
+def running_best(log: DataFrame, by, order="epoch", value="score", mode="max", more=None) -> DataFrame:
     """Best value before and including each row, and whether the row is a new best
-    (strictly better; scores start at -1, losses at infinity)."""
-    out = running(log, by, order, {"_prior": (mode, value, False), "best": (mode, value, True)})
+    (strictly better; scores start at -1, losses at infinity). ``more``: further running aggregates of
+    the same pass; they may use _one, which is 1 in every row."""
+    out = running(log.withColumn("_one", F.lit(1)), by, order, {
+        "_prior": (mode, value, False), "best": (mode, value, True), **(more or {})}).drop("_one")
     start = -1.0 if mode == "max" else float("inf")
     prior = F.coalesce("_prior", F.lit(start))
     new = F.col(value) > prior if mode == "max" else F.col(value) < prior
@@ -24,8 +26,7 @@ def early_stop(log: DataFrame, by, patience, interval=1, unit="evaluations", ord
     "evaluations" counts evaluations; "scaled" compares them with patience // interval.
     """
     by = list(by)
-    d = running_best(log, by, order, value, mode).withColumn("_one", F.lit(1))
-    d = running(d, by, order, {"_idx": ("sum", "_one", True)}).drop("_one")
+    d = running_best(log, by, order, value, mode, {"_idx": ("sum", "_one", True)})
     d = d.withColumn("_hit", F.when(F.col("new_best"), F.col("_idx")))
     d = running(d, by, order, {"_last": ("max", "_hit", True)}).drop("_hit")
     evals = F.col("_idx") - F.coalesce("_last", F.lit(0))
@@ -33,9 +34,9 @@ def early_stop(log: DataFrame, by, patience, interval=1, unit="evaluations", ord
     wait = evals * (interval if unit == "epochs" else 1)
     d = d.withColumn("wait", wait.cast("long")).drop("_idx", "_last")
     d = d.withColumn("stop", F.col("wait") >= limit)
-    d = d.withColumn("_stop_at", F.when(F.col("stop"), F.col(order)))
-    d = running(d, by, order, {"_stopped": ("min", "_stop_at", False)})
-    return d.filter(F.col("_stopped").isNull()).drop("_stopped", "_stop_at")
+    first = d.filter("stop").groupBy(*by).agg(F.min(order).alias("_stop_at"))
+    d = d.join(first, by, "left")
+    return d.filter(F.col("_stop_at").isNull() | (F.col(order) <= F.col("_stop_at"))).drop("_stop_at")
 
 
 def best_epoch(log: DataFrame, by, loss="val_loss", order="epoch") -> DataFrame:

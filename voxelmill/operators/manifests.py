@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxelmill.functions import scalars as fn
 from voxelmill.model import SALTS, global_rank, shuffled_rank
+from voxelmill.session import ensure_checkpoint_dir
 
 
 # --- series -----------------------------------------------------------------
@@ -47,15 +48,17 @@ def assign_case_ids(files: DataFrame) -> DataFrame:
         "case_id", F.concat(F.lit("case_"), padded)).drop("_n")
 
 
-def find_key(headers: DataFrame, id_col: str, json_col: str, key: str, depth=6) -> DataFrame:
-    """First non-null value of ``key`` in a nested header, depth first.
+def find_key(headers: DataFrame, id_col: str, json_col: str, key: str) -> DataFrame:
+    """First non-null value of ``key`` in a nested header, depth first, at any depth.
 
     A level that holds the key is not searched deeper; one-element arrays are looked
-    through. Each nesting level is one explode, siblings keep document order.
+    through. Each nesting level is one explode, siblings keep document order. Levels are
+    written one by one until none is left to search.
     """
+    ensure_checkpoint_dir(headers.sparkSession)
     level = headers.select(id_col, F.col(json_col).alias("_j"), F.lit("").alias("_rank"))
     found = []
-    for _ in range(depth):
+    while True:
         one = F.from_json("_j", "array<string>")
         text = F.when(F.col("_j").startswith("[") & (F.size(one) == 1), one[0]).otherwise(F.col("_j"))
         node = level.withColumn("_m", F.from_json(text, "map<string,string>"))
@@ -65,8 +68,10 @@ def find_key(headers: DataFrame, id_col: str, json_col: str, key: str, depth=6)
         level = (node.filter(~has)
                  .select(id_col, "_rank", F.posexplode("_m").alias("_p", "_k", "_j"))
                  .filter(F.col("_j").rlike(r"^\s*[\[{]"))
-                 .select(id_col, "_j", F.concat("_rank", F.lpad(F.col("_p").cast("string"), 6, "0"))
-                         .alias("_rank")))
+                 .select(id_col, "_j", F.concat("_rank", F.lpad(F.col("_p").cast("string"), 10, "0"))
+                         .alias("_rank"))).checkpoint()  # ten digits hold every position
+        if level.isEmpty():
+            break
     hits = reduce(DataFrame.unionByName, found)
     best = hits.groupBy(id_col).agg(F.min_by("value", "_rank").alias("value"))
     return headers.select(id_col).join(best, id_col, "left")

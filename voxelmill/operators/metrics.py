@@ -177,10 +177,14 @@ def weighted_dice_ce(scores, weights=(0.1, 5.0, 1.0, 1.0), smooth=1e-5) -> DataF
                     (dice + F.col("num") / F.col("den")).alias("loss"))
 
 
-def argmax_class(scores) -> DataFrame:
-    """Class of the highest logit per voxel, lowest class on ties."""
-    return scores.groupBy(*VOXEL).agg(
-        F.max_by("cls", F.struct("logit", (-F.col("cls")).alias("tie"))).alias("label"))
+def argmax_class(scores, classes=(0, 1, 2, 3)) -> DataFrame:
+    """Class of the highest logit per voxel, lowest class on ties.
+
+    Plain maxima side by side: a maximum by a struct would sort every voxel.
+    """
+    side = scores.groupBy(*VOXEL).agg(*[F.max(F.when(F.col("cls") == c, F.col("logit"))).alias(f"l{c}") for c in classes])
+    top = F.greatest(*[F.col(f"l{c}") for c in classes])
+    return side.select(*VOXEL, F.coalesce(*[F.when(F.col(f"l{c}") == top, F.lit(c)) for c in classes]).alias("label"))
 
 
 def accuracy(scores, cls=1, by=(CASE,)) -> DataFrame:

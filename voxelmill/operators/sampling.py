@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from voxelmill.model import AXES, CASE, bucket_rank, shuffled_rank
 from voxelmill.operators.intensity import uniform
 from voxelmill.operators.metrics import positive_slices
+from voxelmill.session import ensure_checkpoint_dir
 
 SHAPE = ["nz", "ny", "nx"]
 
@@ -92,11 +93,12 @@ def _slice_table(labels, volumes, margin):
     return d.select(CASE, "nz", "slices", near.alias("near"))
 
 
-def sample_slices(labels: DataFrame, volumes: DataFrame, n, seed=42, margin=15, tries=10,
+def sample_slices(labels: DataFrame, volumes: DataFrame, n, seed=42, margin=15, redraws=10,
                   positive=0.7, nearby=0.2) -> DataFrame:
     """Slice draws: positive planes, planes within the margin of them, or any plane.
 
-    A volume without positives is redrawn up to ``tries`` times."""
+    A volume without positives is redrawn up to ``redraws`` times, in training and validation alike."""
+    tries = 1 + redraws
     spark = volumes.sparkSession
     table = _slice_table(labels, volumes, margin)
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn(
@@ -119,7 +121,7 @@ def sample_slices(labels: DataFrame, volumes: DataFrame, n, seed=42, margin=15,
 
 
 def sample_val_slices(labels, volumes, n, seed=42) -> DataFrame:
-    return sample_slices(labels, volumes, n, seed, tries=1, positive=0.5, nearby=0.0)
+    return sample_slices(labels, volumes, n, seed, positive=0.5, nearby=0.0)
 
 
 def weighted_sample(df: DataFrame, key: str, weight: str, n=None, seed=42) -> DataFrame:
@@ -130,14 +132,19 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n=None, seed=42) -> Da
     rows = df.filter(F.col(weight) > 0).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(256)))
     per = rows.groupBy("_b").agg(F.sum(weight).alias("_w"))
     end = F.sum("_w").over(W.orderBy("_b"))  # 256 rows
-    per = per.withColumn("_hi", end).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    # written once: float sums may differ in another order, and bounds must be the same for all draws
+    ensure_checkpoint_dir(df.sparkSession)
+    per = per.withColumn("_hi", end).checkpoint()
+    before = F.coalesce(F.lag("_hi").over(W.orderBy("_b")), F.lit(0.0))
+    last = F.lead("_hi").over(W.orderBy("_b")).isNull()
+    per = per.withColumn("_lo", before).withColumn("_to", F.when(last, float("inf")).otherwise(F.col("_hi")))
     start = F.coalesce(F.sum(weight).over(
         W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.select("_b", F.col(key).alias("_key"), start.alias("_t"), F.lit(None).cast("long").alias("draw"))
     total = per.agg(F.max("_hi").alias("_all"))
     count = df.sparkSession.range(n if n is not None else df.count()).withColumnRenamed("id", "draw")
     draws = count.join(F.broadcast(total)).withColumn("_u", uniform(seed, 0, "draw") * F.col("_all"))
-    draws = draws.join(F.broadcast(per), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    draws = draws.join(F.broadcast(per), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_to")))
     draws = draws.select("_b", F.lit(None).cast(df.schema[key].dataType).alias("_key"),
                          (F.col("_u") - F.col("_lo")).alias("_t"), "draw")
     order = W.partitionBy("_b").orderBy("_t", F.col("draw").asc_nulls_first())

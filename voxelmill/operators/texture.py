@@ -180,9 +180,9 @@ def texture(roi: DataFrame, volumes: DataFrame) -> DataFrame:
     matrix = glcm_matrix(levels).checkpoint()
     parts = [("firstorder", firstorder(levels, volumes)), ("glcm", glcm(matrix, levels)),
              ("glcm", glcm_mcc(matrix)), ("glrlm", glrlm(run_lengths(levels)))]
-    out = None
+    out = levels.select(CASE).distinct()  # a group without values leaves its columns NULL
     for prefix, d in parts:
         d = d.select(CASE, *[F.col(f"`{c}`").alias(f"original_{prefix}_{c}") for c in d.columns if c != CASE])
         d = d.checkpoint()  # small per-case table; keeps the joined plan short
-        out = d if out is None else out.join(d, CASE)
+        out = out.join(d, CASE, "left")
     return out

@@ -13,6 +13,7 @@ def local_session(cpus="8", shuffle_partitions=8):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -23,8 +24,10 @@ def local_session(cpus="8", shuffle_partitions=8):
 
 
 def ensure_checkpoint_dir(spark):
-    """Use the folder the cluster names; a private one only where none is named."""
+    """Use the folder the cluster names; a private one only in local mode, where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxelmill-ckpt-"))
