@@ -37,7 +37,7 @@ def save(folder, name, **arrays):
     else:
         fs, path = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(path)
-        with fs.open_output_stream(f"{path}/{name}") as f:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
             f.write(data)
 
 

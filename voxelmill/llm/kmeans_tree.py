@@ -4,7 +4,9 @@ The tree is fitted on a bounded sample, every vector is then indexed under its l
 the tree with a priority queue: the closest node is opened first, and leaves come out in the order
 in which they are worth visiting. How many are visited is calibrated: for a few queries the true
 neighbours are found by brute force, and visits widen until the wanted share of them is reached.
-Queries meet vectors leaf by leaf; a full leaf is cut into blocks of vectors and of queries.
+Queries meet vectors leaf by leaf; a full leaf is cut into blocks of vectors and of queries. The
+sample also bounds the distance of a query's k-th neighbour from above, so that leaves return no
+vectors that cannot be among the nearest.
 """
 
 import heapq
@@ -31,6 +33,14 @@ class Tree:
     centre: np.ndarray      # one row a node, the root first
     children: list          # node -> its child nodes, empty for a leaf
     leaf: np.ndarray        # node -> leaf number or -1
+    points: np.ndarray      # the distinct vectors of the sample
+
+    def bound(self, x, k):
+        """For each row, itself perhaps in the sample, a square distance within which k others lie."""
+        if len(self.points) <= k:
+            return np.full(len(x), np.inf)
+        out = [np.partition(_squares(x[i:i + 256], self.points), k, axis=1)[:, k] for i in range(0, len(x), 256)]
+        return np.concatenate(out) if out else np.zeros(0)
 
     @property
     def leaves(self):
@@ -50,18 +60,19 @@ class Tree:
             todo += [(int(k), rows[near == i]) for i, k in enumerate(kids) if (near == i).any()]
         return out
 
-    def best_first(self, x, visits):
-        """For each row its first ``visits`` leaves in best-bin-first order."""
+    def best_first(self, x, visits, sizes=None, least=0):
+        """For each row its first ``visits`` leaves in best-bin-first order, more if these hold too few vectors."""
         far = _squares(x, self.centre)
         for d in far:
-            queue, found = [(d[0], 0)], []
-            while queue and len(found) < visits:
+            queue, found, held = [(d[0], 0)], [], 0
+            while queue and (len(found) < visits or held < least):
                 _, node = heapq.heappop(queue)
                 if self.children[node]:
                     for k in self.children[node]:
                         heapq.heappush(queue, (d[k], k))
                 else:
                     found.append(int(self.leaf[node]))
+                    held += sizes[found[-1]] if least else 0
             yield found
 
 
@@ -101,7 +112,7 @@ def fit_tree(x, leaves, branch=BRANCH, rounds=8, seed=7) -> Tree:
     leaf = np.full(len(centre), -1)
     ends = [i for i, kids in enumerate(children) if not kids]
     leaf[ends] = np.arange(len(ends))
-    return Tree(np.array(centre), children, leaf)
+    return Tree(np.array(centre), children, leaf, x)
 
 
 def _matrix(column, dim):
@@ -109,13 +120,18 @@ def _matrix(column, dim):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _nearest(q, q_uid, x, x_uid, x_id, k):
-    """(query row, vector row, distance) of the k nearest; exact distances, ties to smaller ids."""
+def _nearest(q, q_uid, x, x_uid, x_id, k, bound=None):
+    """(query row, vector row, distance) of the k nearest, up to a square distance ``bound`` for each query.
+
+    Distances are exact, ties go to smaller ids.
+    """
     out = []
     for i in range(0, len(q), 256):
         far = _squares(q[i:i + 256], x)
         far[q_uid[i:i + 256, None] == x_uid[None]] = np.inf
         kth = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        if bound is not None:
+            kth = np.minimum(kth, bound[i:i + 256])
         slack = 1e-9 * (1 + (q[i:i + 256] ** 2).sum(1) + np.minimum(kth, 1e300))
         for j in range(len(far)):
             near = np.flatnonzero((far[j] <= kth[j] + slack[j]) & np.isfinite(far[j]))
@@ -167,24 +183,32 @@ def search(vectors: DataFrame, query: Column, vec_id="vec_id", vector="embedding
     indexed = written(rows.mapInArrow(index, f"id {id_type}, v array<double>, q boolean, leaf long")
                       .withColumn("uid", F.monotonically_increasing_id()), "vectors")
     visits = _calibrated(indexed, tree, dim, k, recall)
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).toLocalIterator():  # at most a row a leaf
+        sizes[r["leaf"]] = r["n"]
 
     def walk(batches):
         for b in batches:
-            found = list(sent.value.best_first(_matrix(b.column("v"), dim), visits))
-            yield record_batch(id=b.column("id"), uid=b.column("uid"), v=b.column("v"),
-                               leaves=pa.array(found, pa.list_(pa.int64())))
+            x = _matrix(b.column("v"), dim)
+            found = []
+            for order, most in zip(sent.value.best_first(x, visits, sizes, k + 1), sent.value.bound(x, k).tolist()):
+                # the first leaves return k vectors whatever their distance, so that none is missing
+                before = np.cumsum(sizes[order]) - sizes[order]
+                found.append([{"leaf": f, "bound": np.inf if held <= k else most} for f, held in zip(order, before.tolist())])
+            yield record_batch(id=b.column("id"), uid=b.column("uid"), v=b.column("v"), leaves=pa.array(
+                found, pa.list_(pa.struct([("leaf", pa.int64()), ("bound", pa.float64())]))))
     walked = written(indexed.filter("q").select("id", "uid", "v").mapInArrow(
-        walk, f"id {id_type}, uid long, v array<double>, leaves array<long>"), "queries")
-    asked = walked.select("id", "uid", "v", F.explode("leaves").alias("leaf"))
+        walk, f"id {id_type}, uid long, v array<double>, leaves array<struct<leaf:long,bound:double>>"), "queries")
+    asked = walked.select("id", "uid", "v", F.explode("leaves").alias("_to")).select("id", "uid", "v", "_to.*")
     # at most one row a leaf: how many blocks its vectors and its queries are cut into
     load = (indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("vb"))
             .join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("qb")), "leaf"))
     load = F.broadcast(load)
     mine = indexed.join(load, "leaf").select(
-        F.lit(False).alias("ask"), "id", "uid", "v", "leaf", F.pmod(F.xxhash64("uid"), F.col("vb")).alias("vp"),
+        F.lit(False).alias("ask"), "id", "uid", "v", F.lit(None).cast("double").alias("bound"), "leaf", F.pmod(F.xxhash64("uid"), F.col("vb")).alias("vp"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("qp"))
     theirs = asked.join(load, "leaf").select(
-        F.lit(True).alias("ask"), "id", "uid", "v", "leaf",
+        F.lit(True).alias("ask"), "id", "uid", "v", "bound", "leaf",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)).alias("vp"),
         F.pmod(F.xxhash64("uid"), F.col("qb")).alias("qp"))
     keys = ["leaf", "vp", "qp"]
@@ -195,13 +219,14 @@ def search(vectors: DataFrame, query: Column, vec_id="vec_id", vector="embedding
             ask = t.column("ask").combine_chunks().to_numpy(zero_copy_only=False)
             ids, uid = (t.column(c).combine_chunks() for c in ("id", "uid"))
             uid, v = uid.to_numpy(), _matrix(t.column("v"), dim)
+            bound = t.column("bound").to_numpy()
             order = ids.to_pandas().rank(method="dense").fillna(np.inf).to_numpy()
             found = []
             bounds = run_bounds(*(t.column(c).to_numpy() for c in keys))
             for lo, hi in zip(bounds, bounds[1:]):
                 q, x = lo + np.flatnonzero(ask[lo:hi]), lo + np.flatnonzero(~ask[lo:hi])
                 if len(q) and len(x):
-                    found += [(q[i], x[j], d) for i, j, d in _nearest(v[q], uid[q], v[x], uid[x], order[x], k)]
+                    found += [(q[i], x[j], d) for i, j, d in _nearest(v[q], uid[q], v[x], uid[x], order[x], k, bound[q])]
             q, x, d = ([f[c] for f in found] for c in range(3))
             q, x = pa.array(q, pa.int64()), pa.array(x, pa.int64())
             yield record_batch(query_id=ids.take(q), query=pa.array(uid).take(q), vec_id=ids.take(x),
