@@ -10,7 +10,7 @@ from voxelmill.catalog.manifests import META_SQL, meta
 from voxelmill.catalog.study import study, vox_ctes, vox_sql
 from voxelmill.catalog.volumes import voxel_sum, sum_sql
 from voxelmill.functions.nifti import encode
-from voxelmill.model import CASE, VOXEL
+from voxelmill.model import CASE, VOXEL, attach
 from voxelmill.operators import geometry as g, inference, intensity as it, manifests as mf, sampling as sm
 from voxelmill.plans.validate import validate_pairs, validation_summary
 from voxelmill.session import ensure_checkpoint_dir
@@ -64,37 +64,44 @@ def agg_validate_summary(spark, sf):
 
 # --- files ------------------------------------------------------------------------------------
 
-def volume_files(s, broken=False):
-    """The study as NIfTI files, one row per file like the binaryFile source."""
+def volume_files(s, folder, broken=False):
+    """Writes the study as NIfTI files, one a case, and returns the folder.
+
+    A file holds a whole case, so one task packs it; a stored study does not need this fixture.
+    """
     def pack(pdf):
         f = pdf.iloc[0]
         import numpy as np
         a = np.zeros((int(f.nz), int(f.ny), int(f.nx)))
         a[pdf.z, pdf.y, pdf.x] = pdf.value
-        return pd.DataFrame({"path": [f"/data/{f.case_id}.nii.gz"], "content": [encode(a, (f.sz, f.sy, f.sx))]})
-    v = s.voxels().join(F.broadcast(s.volumes.select(CASE, "nz", "ny", "nx", "sz", "sy", "sx")), CASE)
+        return pd.DataFrame({"path": [f"{f.case_id}.nii.gz"], "content": [encode(a, (f.sz, f.sy, f.sx))]})
+    v = attach(s.voxels(), s.volumes.select(CASE, "nz", "ny", "nx", "sz", "sy", "sx"), s.volumes)
     files = v.groupBy(CASE).applyInPandas(pack, "path string, content binary")
     if broken:
         files = files.withColumn("content", F.when(F.substring(F.regexp_replace("path", ".nii.gz$", ""), -1, 1).isin("3", "7"), F.lit(b"junk")).otherwise(F.col("content")))
-    return files
+    if folder.endswith("nested"):  # one folder a site, with notes beside the volumes
+        site = F.concat(F.lit("site_"), F.pmod(F.hash("path"), F.lit(5)).cast("string"), F.lit("/"), F.col("path"))
+        files = files.withColumn("path", F.explode(F.array(site, F.concat(site, F.lit(".txt")))))
+    src.write_files(files, folder)
+    return folder
 
 
 @query("src_volume_files", vox_sql(sum_sql("vox")))
 def src_volume_files(spark, sf):
-    return voxel_sum(src.explode_slices(src.decode_volumes(volume_files(study(spark, sf)))))
+    folder = volume_files(study(spark, sf), scratch(spark, "volumes"))
+    return voxel_sum(src.explode_slices(src.read_volumes(spark, folder, frames=(0,))))
 
 
 @query("src_recursive", vox_sql("SELECT case_id, count(*) AS n_slices FROM (SELECT DISTINCT case_id, z FROM vox) GROUP BY 1"))
 def src_recursive(spark, sf):
-    files = volume_files(study(spark, sf))
-    notes = files.withColumn("path", F.concat("path", F.lit(".txt")))
-    both = files.unionByName(notes).filter(F.col("path").rlike(r"\.nii(\.gz)?$"))
-    return src.decode_volumes(both).groupBy(CASE).agg(F.count("*").alias("n_slices"))
+    folder = volume_files(study(spark, sf), scratch(spark, "volumes") + "-nested")
+    return src.read_volumes(spark, folder, recursive=True).groupBy(CASE).agg(F.count("*").alias("n_slices"))
 
 
 @query("src_tolerant", vox_sql("SELECT case_id, k % 10 IN (3, 7) AS failed FROM volumes"))
 def src_tolerant(spark, sf):
-    d = src.decode_volumes(volume_files(study(spark, sf), True), on_error="keep")
+    folder = volume_files(study(spark, sf), scratch(spark, "volumes"), broken=True)
+    d = src.read_volumes(spark, folder, on_error="keep")
     return d.groupBy(CASE).agg(F.bool_or(F.col("error").isNotNull()).alias("failed"))
 
 
@@ -117,7 +124,6 @@ def src_csv(spark, sf):
 
 
 @query("snk_append", f"WITH c AS ({CUST}) SELECT * FROM c WHERE k % 2 = 0 UNION ALL SELECT * FROM c WHERE k % 2 = 1")
-@query("udf_callback", f"{CUST}")
 def snk_append(spark, sf):
     path = scratch(spark, "append")
     for r in (0, 1):
