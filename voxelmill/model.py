@@ -152,10 +152,11 @@ def bucket_rank(df: DataFrame, by, bucket, order, name="rank") -> DataFrame:
             .drop("_b", "_local", "_before"))
 
 
-def shuffled_rank(df: DataFrame, by, key, seed, name="rank") -> DataFrame:
-    """Rank in seeded-hash order: even buckets whatever the key looks like."""
+def shuffled_rank(df: DataFrame, by, key, seed, name="rank", per_bucket=20_000) -> DataFrame:
+    """Rank in seeded-hash order: even buckets whatever the key looks like, as many as the rows need."""
     h = F.xxhash64(F.lit(int(seed)), F.col(key))
-    ranked = bucket_rank(df.withColumn("_h", h), by, F.shiftrightunsigned("_h", 54),
+    bits = max(1, (df.count() // per_bucket).bit_length())
+    ranked = bucket_rank(df.withColumn("_h", h), by, F.shiftrightunsigned("_h", 64 - bits),
                          ["_h", key], name)
     return ranked.drop("_h")
 

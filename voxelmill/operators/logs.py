@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.model import exact_quantiles, running
+from voxelmill.model import attach, exact_quantiles, running
 
 
 def running_best(log: DataFrame, by, order="epoch", value="score", mode="max", more=None) -> DataFrame:
@@ -88,7 +88,7 @@ def median_prune(trials: DataFrame, startup=5, warmup=4, interval=1) -> DataFram
     n_done = done.agg(F.count_distinct("trial").alias("_done"))  # one row
     live = running(trials.filter("state = 'RUNNING'"), ["trial"], "step",
                    {"best": ("max", "value", True)})
-    live = live.join(med, "step", "left").join(F.broadcast(n_done))
+    live = attach(live, med, how="left", on=["step"]).join(F.broadcast(n_done))
     due = ((F.col("_done") >= startup) & (F.col("step") >= warmup)
            & ((F.col("step") - warmup) % interval == 0))
     return live.select("trial", "step", "best", "median",

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxelmill.functions import scalars as fn
-from voxelmill.model import SALTS, global_rank, shuffled_rank
+from voxelmill.model import SALTS, attach, global_rank, shuffled_rank
 from voxelmill.session import ensure_checkpoint_dir
 
 
@@ -130,8 +130,8 @@ def find_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     f = files.select("dir", "name", base.alias("base"))
     lens = f.select("dir", F.length("base").alias("_len")).distinct()
     n = F.length("sidecar")
-    keys = (sidecars.filter(F.col("name").endswith(".mat"))
-            .select("dir", F.col("name").alias("sidecar")).join(lens, "dir").filter(n >= F.col("_len"))
+    mats = sidecars.filter(F.col("name").endswith(".mat")).select("dir", F.col("name").alias("sidecar"))
+    keys = (attach(mats, lens, on=["dir"]).filter(n >= F.col("_len"))
             .withColumn("_at", F.explode(F.sequence(F.lit(1), n - F.col("_len") + 1)))
             .select("dir", "sidecar", F.substring("sidecar", F.col("_at"), F.col("_len")).alias("base"))
             .groupBy("dir", "base").agg(F.min("sidecar").alias("sidecar")))
@@ -171,7 +171,7 @@ def assign_condition(dirs: DataFrame) -> DataFrame:
     """
     d = dirs.filter(fn.is_uid_dir(F.col("name"))).select("patient", "name")
     first = d.groupBy("patient").agg(F.min("name").alias("name"), F.count("*").alias("n_dirs"))
-    later = (d.join(first.select("patient", F.col("name").alias("_first")), "patient")
+    later = (attach(d, first.select("patient", F.col("name").alias("_first")), on=["patient"])
              .filter(F.col("name") > F.col("_first")).groupBy("patient").agg(F.min("name").alias("name"))
              .join(first.select("patient", "n_dirs"), "patient"))
     tag = lambda df, c: df.select("patient", F.lit(c).alias("condition"), "name", "n_dirs",

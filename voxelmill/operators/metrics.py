@@ -219,8 +219,8 @@ def box_outliers(rows, by, value) -> DataFrame:
 
 def _with_fences(rows, q, by):
     iqr = F.col("q3") - F.col("q1")
-    return rows.join(q.select(*by, (F.col("q1") - 1.5 * iqr).alias("_lo"),
-                              (F.col("q3") + 1.5 * iqr).alias("_hi")), list(by))
+    fences = q.select(*by, (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
+    return attach(rows, fences, on=by)  # salted: a group may hold most rows
 
 
 def linreg(points, by, y, x) -> DataFrame:

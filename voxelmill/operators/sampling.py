@@ -1,11 +1,12 @@
 """Patch and slice draws. Every draw comes from a seeded hash, so it is reproducible."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxelmill.model import AXES, CASE, bucket_rank, shuffled_rank
 from voxelmill.operators.intensity import uniform
 from voxelmill.operators.metrics import positive_slices
-from voxelmill.session import ensure_checkpoint_dir
 
 SHAPE = ["nz", "ny", "nx"]
 
@@ -124,29 +125,33 @@ def sample_val_slices(labels, volumes, n, seed=42) -> DataFrame:
     return sample_slices(labels, volumes, n, seed, positive=0.5, nearby=0.0)
 
 
-def weighted_sample(df: DataFrame, key: str, weight: str, n=None, seed=42) -> DataFrame:
+def weighted_sample(df: DataFrame, key: str, weight: str, n=None, seed=42, per_bucket=20_000) -> DataFrame:
     """Draws with replacement in proportion to the weight, as many as rows by default.
 
-    Weights are accumulated per hash bucket and inside it; each draw lands in a bucket and
-    takes the last row starting at or before it, by one ordered pass per bucket."""
-    rows = df.filter(F.col(weight) > 0).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(256)))
-    per = rows.groupBy("_b").agg(F.sum(weight).alias("_w"))
-    end = F.sum("_w").over(W.orderBy("_b"))  # 256 rows
-    # written once: float sums may differ in another order, and bounds must be the same for all draws
-    ensure_checkpoint_dir(df.sparkSession)
-    per = per.withColumn("_hi", end).checkpoint()
-    before = F.coalesce(F.lag("_hi").over(W.orderBy("_b")), F.lit(0.0))
-    last = F.lead("_hi").over(W.orderBy("_b")).isNull()
-    per = per.withColumn("_lo", before).withColumn("_to", F.when(last, float("inf")).otherwise(F.col("_hi")))
+    Weights are accumulated per hash bucket of about ``per_bucket`` rows and inside it; each draw
+    looks its bucket up in the totals and takes the last row starting at or before it, by one
+    ordered pass per bucket. The totals are read once, so bounds are the same for all draws."""
+    spark = df.sparkSession
+    total = df.count()
+    buckets = max(1, -(-total // per_bucket))
+    rows = df.filter(F.col(weight) > 0).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    per = rows.groupBy("_b").agg(F.sum(weight).alias("_w")).orderBy("_b").toPandas()  # one row a bucket
+    if not len(per):
+        return df.limit(0).select(F.lit(0).cast("long").alias("draw"), key)
+    ends = per["_w"].to_numpy().cumsum()
+    number = per["_b"].to_numpy()
+
+    def place(batches):
+        for pdf in batches:
+            u = pdf["_u"].to_numpy() * ends[-1]
+            at = np.minimum(np.searchsorted(ends, u, "right"), len(ends) - 1)  # the last bucket has no end
+            yield pd.DataFrame({"_b": number[at], "_t": u - np.where(at > 0, ends[at - 1], 0.0), "draw": pdf["draw"]})
     start = F.coalesce(F.sum(weight).over(
         W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     rows = rows.select("_b", F.col(key).alias("_key"), start.alias("_t"), F.lit(None).cast("long").alias("draw"))
-    total = per.agg(F.max("_hi").alias("_all"))
-    count = df.sparkSession.range(n if n is not None else df.count()).withColumnRenamed("id", "draw")
-    draws = count.join(F.broadcast(total)).withColumn("_u", uniform(seed, 0, "draw") * F.col("_all"))
-    draws = draws.join(F.broadcast(per), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_to")))
-    draws = draws.select("_b", F.lit(None).cast(df.schema[key].dataType).alias("_key"),
-                         (F.col("_u") - F.col("_lo")).alias("_t"), "draw")
+    draws = spark.range(n if n is not None else total).withColumnRenamed("id", "draw")
+    draws = draws.withColumn("_u", uniform(seed, 0, "draw")).mapInPandas(place, "_b long, _t double, draw long")
+    draws = draws.select("_b", F.lit(None).cast(df.schema[key].dataType).alias("_key"), "_t", "draw")
     order = W.partitionBy("_b").orderBy("_t", F.col("draw").asc_nulls_first())
     return (rows.unionByName(draws).withColumn(key, F.last("_key", True).over(order))
             .filter("draw is not null").select("draw", key))
