@@ -463,7 +463,7 @@ _intensity("int_bias_field", lambda v, vol: it.bias_field(v, vol, COEF), BIAS,
 @query("int_bias_diff", vox_ctes(BIAS, "out AS (SELECT case_id, z, y, x, value - old AS value FROM bf)", select=sum_sql("out")))
 def int_bias_diff(spark, sf):
     s = study(spark, sf)
-    return voxel_sum(it.diff_map(it.bias_field(s.image(), s.volumes, COEF), s.image()))
+    return voxel_sum(it.bias_difference(s.image(), s.volumes, COEF))
 
 
 _LM = ", ".join(f"quantile_cont(value, {p / 100}) AS l{p}" for p in it.LANDMARKS)

@@ -7,7 +7,17 @@ BLOCK_CELLS = 1 << 18
 
 
 def spread(f, step):
-    """min over j of f[j] + (step * (i - j))**2 along axis 0."""
+    """min over j of f[j] + (step * (i - j))**2 along axis 0.
+
+    Lines without any finite value stay as they are; the others are finite everywhere once every
+    gap has been reached, so the widening ends with the longest gap rather than the axis.
+    """
+    some = np.isfinite(f).any(0)
+    if not some.all():
+        out = f.copy()
+        if some.any():
+            out[:, some] = spread(f[:, some], step)
+        return out
     out = f.copy()
     for d in range(1, len(f)):
         cost = (step * d) ** 2

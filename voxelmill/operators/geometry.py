@@ -1,6 +1,6 @@
 """Index geometry: mirror, crop, pad, tiles, patches and resampling."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxelmill.model import AXES, CASE, VOXEL, attach
 
@@ -137,11 +137,9 @@ def paste2(pred: DataFrame, volumes: DataFrame, size) -> DataFrame:
 
 def stack_slices(vox: DataFrame, volumes: DataFrame, edge="repeat") -> DataFrame:
     """Values of planes z-1, z, z+1. "repeat" copies the edge plane, "drop" leaves it out."""
-    slots = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(n).alias("s"))
-                      for d, n in ((1, "prev"), (0, "cur"), (-1, "next"))])
-    d = vox.select(*VOXEL, "value", F.explode(slots).alias("t")).withColumn("z", F.col("z") + F.col("t.d"))
-    d = d.groupBy(*VOXEL).agg(*[F.max(F.when(F.col("t.s") == n, F.col("value"))).alias(n)
-                                for n in ("prev", "cur", "next")]).filter("cur is not null")
+    line = W.partitionBy(CASE, "y", "x").orderBy("z")  # one value a plane
+    near = lambda f, step: F.when(f("z").over(line) == F.col("z") + step, f("value").over(line))
+    d = vox.select(*VOXEL, near(F.lag, -1).alias("prev"), F.col("value").alias("cur"), near(F.lead, 1).alias("next"))
     if edge == "drop":
         return d.filter("prev is not null and next is not null")
     return d.withColumn("prev", F.coalesce("prev", "cur")).withColumn("next", F.coalesce("next", "cur"))
@@ -184,11 +182,11 @@ def tile_voxels(vox: DataFrame, volumes: DataFrame, roi, overlap=0.5) -> DataFra
     return d
 
 
-def stitch(tile_scores: DataFrame) -> DataFrame:
-    """Mean logit of the overlapping tiles, then the best class per voxel."""
-    from voxelmill.operators.metrics import argmax_class
-    mean = tile_scores.groupBy(*VOXEL, "cls").agg(F.avg("logit").alias("logit"))
-    return argmax_class(mean)
+def stitch(tile_scores: DataFrame, classes=(0, 1, 2, 3)) -> DataFrame:
+    """Mean logit of the overlapping tiles, then the best class per voxel, in one aggregate."""
+    from voxelmill.operators.metrics import best_class
+    side = tile_scores.groupBy(*VOXEL).agg(*[F.avg(F.when(F.col("cls") == c, F.col("logit"))).alias(f"l{c}") for c in classes])
+    return best_class(side, classes)
 
 
 def extract_patches(vox: DataFrame, patches: DataFrame) -> DataFrame:

@@ -133,8 +133,12 @@ def bias_powers(order=3):
             for k in range(order + 1 - i - j)]
 
 
-def bias_field(vox: DataFrame, volumes: DataFrame, coefficients, order=3) -> DataFrame:
-    """value * exp(polynomial) in coordinates scaled to -1..1 (public TorchIO form)."""
+def bias_field(vox: DataFrame, volumes: DataFrame, coefficients, order=3, before=None) -> DataFrame:
+    """value * exp(polynomial) in coordinates scaled to -1..1 (public TorchIO form).
+
+    ``before`` names a column that keeps the value as it was."""
+    if before:
+        vox = vox.withColumn(before, F.col("value"))
     cols = vox.columns
     d = attach(vox, volumes.select(CASE, "nz", "ny", "nx"), volumes)
     t = {}
@@ -153,6 +157,13 @@ def bias_field(vox: DataFrame, volumes: DataFrame, coefficients, order=3) -> Dat
     return d.withColumn("value", F.col("value") * F.exp(poly)).select(*cols)
 
 
+def bias_difference(vox: DataFrame, volumes: DataFrame, coefficients, order=3) -> DataFrame:
+    """What the bias field adds to each value, in the pass that computes it."""
+    d = bias_field(vox, volumes, coefficients, order, "_before")
+    return d.withColumn("value", F.col("value") - F.col("_before")).drop("_before")
+
+
 def diff_map(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Difference of two images that come from different tables."""
     return a.join(b.select(*VOXEL, F.col("value").alias("_b")), VOXEL).select(
         *VOXEL, (F.col("value") - F.col("_b")).alias("value"))

@@ -182,7 +182,12 @@ def argmax_class(scores, classes=(0, 1, 2, 3)) -> DataFrame:
 
     Plain maxima side by side: a maximum by a struct would sort every voxel.
     """
-    side = scores.groupBy(*VOXEL).agg(*[F.max(F.when(F.col("cls") == c, F.col("logit"))).alias(f"l{c}") for c in classes])
+    return best_class(scores.groupBy(*VOXEL).agg(*[
+        F.max(F.when(F.col("cls") == c, F.col("logit"))).alias(f"l{c}") for c in classes]), classes)
+
+
+def best_class(side, classes) -> DataFrame:
+    """Class of the highest of the columns l<class>, the first on ties."""
     top = F.greatest(*[F.col(f"l{c}") for c in classes])
     return side.select(*VOXEL, F.coalesce(*[F.when(F.col(f"l{c}") == top, F.lit(c)) for c in classes]).alias("label"))
 
