@@ -15,13 +15,13 @@ def table(spark, sf, name):
 
 
 IMAGES_SQL = """images AS (
-  SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, 'knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')
-         || CASE WHEN c_custkey % 4 = 0 THEN '.nii' ELSE '.nii.gz' END AS name FROM customer WHERE c_custkey % 10 <> 3),
+  SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, CASE WHEN c_custkey % 10 = 3 THEN 'lost_' ELSE '' END || 'knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0')
+         || CASE WHEN c_custkey % 4 = 0 THEN '.nii' ELSE '.nii.gz' END AS name FROM customer),
 img AS (SELECT *, dir || '/' || name AS path FROM images)"""
 MASKS_SQL = """masks AS (
-  SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'mask_' END || 'knee_'
+  SELECT c_custkey AS k, 'site_' || c_nationkey AS dir, CASE WHEN c_custkey % 7 = 2 THEN 'gone_' WHEN c_custkey % 3 = 0 THEN '' ELSE 'mask_' END || 'knee_'
          || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || CASE WHEN c_custkey % 4 = 0 THEN '.nii' ELSE '.nii.gz' END AS name
-  FROM customer WHERE c_custkey % 7 <> 2),
+  FROM customer),
 msk AS (SELECT *, dir || '/' || name AS path FROM masks)"""
 FILES = f"WITH {IMAGES_SQL}, {MASKS_SQL}\n"
 
@@ -37,13 +37,14 @@ def _named(df, name):
 
 
 def images(spark, sf):
-    return _named(table(spark, sf, "customer").filter("c_custkey % 10 <> 3"), F.lit(""))
+    """Every tenth image has a name that no mask has."""
+    return _named(table(spark, sf, "customer"), F.when(F.col("c_custkey") % 10 == 3, "lost_").otherwise(""))
 
 
 def masks(spark, sf):
     k = F.col("c_custkey")
-    return _named(table(spark, sf, "customer").filter(k % 7 != 2),
-                  F.when(k % 3 == 0, "").otherwise("mask_"))
+    return _named(table(spark, sf, "customer"),
+                  F.when(k % 7 == 2, "gone_").when(k % 3 == 0, "").otherwise("mask_"))
 
 
 HEADERS_SQL = """WITH headers AS (
@@ -362,13 +363,12 @@ def join_pair_id(spark, sf):
 
 
 @query("join_pair_digits", NAMES_SQL + """, n AS (SELECT k, name, regexp_extract(name, '[0-9]+') AS id FROM names),
-i AS (SELECT id, max(name) AS image FROM n WHERE id <> '' AND k % 4 <> 0 GROUP BY id)
+i AS (SELECT id, max(name) AS image FROM n WHERE id <> '' GROUP BY id)
 SELECT m.id, m.name AS mask, i.image FROM n m LEFT JOIN i ON m.id = i.id
-WHERE m.id <> '' AND m.k % 3 = 0 AND NOT (i.image IS NOT NULL AND m.k % 11 = 0)""")
+WHERE m.id <> '' AND NOT (i.image IS NOT NULL AND m.k % 11 = 0)""")
 def join_pair_digits(spark, sf):
     n = names(spark, sf).withColumn("path", F.col("name"))
-    pairs, alone = mf.pair_by_digits(n.filter("k % 4 <> 0"), n.filter("k % 3 = 0"),
-                                     invalid=n.filter("k % 11 = 0"))
+    pairs, alone = mf.pair_by_digits(n, n, invalid=n.filter("k % 11 = 0"))
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 
@@ -394,15 +394,15 @@ def join_meta_mapping(spark, sf):
 
 
 @query("join_wildcard", FILES + """, b AS (SELECT dir, name, regexp_replace(name, '\\.nii(\\.gz)?$', '') AS base FROM img),
-s AS (SELECT 'site_' || c_nationkey AS dir, 'x' || (c_custkey % 2) || '_knee_' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '_h' || j || '.mat' AS sidecar
-  FROM customer, (SELECT range AS j FROM range(2)) WHERE c_custkey % 6 <> 1)
+s AS (SELECT 'site_' || c_nationkey AS dir, 'x' || (c_custkey % 2) || CASE WHEN c_custkey % 6 = 1 THEN '_gone_' ELSE '_knee_' END || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(7, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '_h' || j || '.mat' AS sidecar
+  FROM customer, (SELECT range AS j FROM range(2)))
 SELECT b.dir, b.name, coalesce(min(sidecar), '_' || b.base || '_dicom_header.mat') AS sidecar
 FROM b LEFT JOIN s ON b.dir = s.dir AND contains(s.sidecar, b.base) GROUP BY b.dir, b.name, b.base""")
 def join_wildcard(spark, sf):
     k = F.col("c_custkey")
-    side = table(spark, sf, "customer").filter(k % 6 != 1).select(
+    side = table(spark, sf, "customer").select(
         F.concat(F.lit("site_"), F.col("c_nationkey").cast("string")).alias("dir"),
-        F.explode(F.array(*[F.concat(F.lit("x"), (k % 2).cast("string"), F.lit("_knee_"),
+        F.explode(F.array(*[F.concat(F.lit("x"), (k % 2).cast("string"), F.when(k % 6 == 1, "_gone_").otherwise("_knee_"),
                                      fn.zero_padded(k, 7), F.lit(f"_h{j}.mat"))
                             for j in range(2)])).alias("name"))
     return mf.find_sidecar(images(spark, sf), side)

@@ -87,15 +87,15 @@ def agg_dice_binary(spark, sf):
 
 
 @query("agg_dice_variants", vox_ctes(CONF, select="""
-SELECT case_id, round(CAST(2 * tp AS DOUBLE) / nullif(n_true + n_pred, 0), 6) AS dice_plain,
+SELECT case_id, cls, round(CAST(2 * tp AS DOUBLE) / nullif(n_true + n_pred, 0), 6) AS dice_plain,
        round(CAST(2 * tp AS DOUBLE) / (n_true + n_pred + CAST(1e-8 AS DOUBLE)), 6) AS dice_den8,
        round((2 * tp + CAST(1e-6 AS DOUBLE)) / (n_true + n_pred + CAST(1e-6 AS DOUBLE)), 6) AS dice_eps6,
        round((2 * tp + CAST(1e-5 AS DOUBLE)) / (n_true + n_pred + CAST(1e-5 AS DOUBLE)), 6) AS dice_eps5
-FROM conf WHERE cls = 1"""))
+FROM conf"""))
 def agg_dice_variants(spark, sf):
     s = study(spark, sf)
-    c = m.confusion(s.labels(), s.preds(), s.volumes, (1,))
-    return c.select(CASE, *[F.round(m.dice_expr(*e), 6).alias(n) for n, e in (
+    c = m.confusion(s.labels(), s.preds(), s.volumes)
+    return c.select(CASE, "cls", *[F.round(m.dice_expr(*e), 6).alias(n) for n, e in (
         ("dice_plain", (0.0, 0.0)), ("dice_den8", (0.0, 1e-8)),
         ("dice_eps6", (1e-6, 1e-6)), ("dice_eps5", (1e-5, 1e-5)))])
 
@@ -234,20 +234,20 @@ def agg_linregress(spark, sf):
 
 
 @query("agg_argext", vox_sql("""
-SELECT lo.case_id, lo.z AS min_z, lo.y AS min_y, lo.x AS min_x, round(lo.p, 6) AS min_proj,
+SELECT lo.case_id, lo.label, lo.z AS min_z, lo.y AS min_y, lo.x AS min_x, round(lo.p, 6) AS min_proj,
        hi.z AS max_z, hi.y AS max_y, hi.x AS max_x, round(hi.p, 6) AS max_proj
-FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p, z, y, x) AS rn
-      FROM (SELECT case_id, z, y, x, CAST(0.5 * y + 0.25 * x AS DOUBLE) AS p FROM labels WHERE label = 3)) lo
-JOIN (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p DESC, z, y, x) AS rn
-      FROM (SELECT case_id, z, y, x, CAST(0.5 * y + 0.25 * x AS DOUBLE) AS p FROM labels WHERE label = 3)) hi
-ON lo.case_id = hi.case_id AND lo.rn = 1 AND hi.rn = 1"""))
+FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY p, z, y, x) AS rn
+      FROM (SELECT case_id, label, z, y, x, CAST(0.5 * y + 0.25 * x AS DOUBLE) AS p FROM labels)) lo
+JOIN (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY p DESC, z, y, x) AS rn
+      FROM (SELECT case_id, label, z, y, x, CAST(0.5 * y + 0.25 * x AS DOUBLE) AS p FROM labels)) hi
+ON lo.case_id = hi.case_id AND lo.label = hi.label AND lo.rn = 1 AND hi.rn = 1"""))
 def agg_argext(spark, sf):
-    t = study(spark, sf).labels().filter("label = 3")
+    t = study(spark, sf).labels()
     p = 0.5 * F.col("y") + 0.25 * F.col("x")
-    ends = [m.arg_extreme(t, p, k).select(CASE, *[F.col(a).alias(f"{k}_{a}") for a in "zyx"],
+    ends = [m.arg_extreme(t, p, k, (CASE, "label")).select(CASE, "label", *[F.col(a).alias(f"{k}_{a}") for a in "zyx"],
                                           F.round("projection", 6).alias(f"{k}_proj"))
             for k in ("min", "max")]
-    return ends[0].join(ends[1], CASE)
+    return ends[0].join(ends[1], [CASE, "label"])
 
 
 @query("agg_sampler_weights", vox_ctes(

@@ -85,9 +85,9 @@ ry AS (SELECT case_id, dir, g, z - pos*dz AS rz, y - pos*dy AS r1, x - pos*dx AS
 rn AS (SELECT case_id, dir, g, len, count(*) AS runs FROM (SELECT case_id, dir, g, count(*) AS len FROM ry GROUP BY case_id, dir, g, rz, r1, rx, isl) GROUP BY 1, 2, 3, 4)"""
 
 
-@query("win_runs", vox_ctes(*BASE, RUNS, select="SELECT case_id, g, len, runs FROM rn WHERE dir = 0"))
+@query("win_runs", vox_ctes(*BASE, RUNS, select="SELECT case_id, g, len, CAST(sum(runs) AS BIGINT) AS runs FROM rn GROUP BY 1, 2, 3"))
 def win_runs(spark, sf):
-    return tx.run_lengths(levels(spark, sf)[0]).filter("dir = 0").drop("dir")
+    return tx.run_lengths(levels(spark, sf)[0]).groupBy(CASE, "g", "len").agg(F.sum("runs").alias("runs"))
 
 
 @query("tex_glrlm_matrix", vox_ctes(*BASE, RUNS, select="SELECT * FROM rn"))

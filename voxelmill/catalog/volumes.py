@@ -32,18 +32,18 @@ def sum_sql(src, value="value"):
 # --- functions on voxels ------------------------------------------------------------
 
 @query("fn_physical", vox_sql("""
-SELECT l.case_id, l.z, l.y, l.x, l.z * sz AS pz, l.y * sy AS py, l.x * sx AS px FROM labels l JOIN volumes v ON l.case_id = v.case_id WHERE label = 1"""))
+SELECT l.case_id, l.z, l.y, l.x, l.z * sz AS pz, l.y * sy AS py, l.x * sx AS px FROM labels l JOIN volumes v ON l.case_id = v.case_id"""))
 def fn_physical(spark, sf):
     from voxelmill.plans.knee import to_mm
     s = study(spark, sf)
-    return to_mm(s.labels().filter("label = 1"), s.volumes).drop("label")
+    return to_mm(s.labels(), s.volumes).drop("label")
 
 
-@query("src_first_frame", vox_ctes("f4 AS (SELECT case_id, q % 3 AS t, z, y, x, value FROM vox WHERE q IS NOT NULL)",
+@query("src_first_frame", vox_ctes("f4 AS (SELECT case_id, coalesce(q, 0) % 3 AS t, z, y, x, value FROM vox)",
                                    select="SELECT case_id, z, y, x, value FROM f4 WHERE t = 0"))
 def src_first_frame(spark, sf):
     from voxelmill.operators.manifests import first_frame
-    v = study(spark, sf).voxels().filter("q is not null").withColumn("t", F.col("q") % 3)
+    v = study(spark, sf).voxels().withColumn("t", F.coalesce("q", F.lit(0)) % 3)
     return first_frame(v.select(CASE, "t", "z", "y", "x", "value"))
 
 
@@ -77,10 +77,10 @@ def join_voxel(spark, sf):
 @query("join_offsets", vox_ctes(FACES6, select="""
 SELECT l.case_id, l.label, l.z AS from_z, l.y AS from_y, l.x AS from_x, l.z + dz AS z, l.y + dy AS y, l.x + dx AS x
 FROM labels l JOIN volumes v ON l.case_id = v.case_id, offs
-WHERE label = 1 AND l.z + dz BETWEEN 0 AND nz - 1 AND l.y + dy BETWEEN 0 AND ny - 1 AND l.x + dx BETWEEN 0 AND nx - 1"""))
+WHERE l.z + dz BETWEEN 0 AND nz - 1 AND l.y + dy BETWEEN 0 AND ny - 1 AND l.x + dx BETWEEN 0 AND nx - 1"""))
 def join_offsets(spark, sf):
     s = study(spark, sf)
-    return mo.neighbours(s.labels().filter("label = 1"), mo.FACES, s.volumes)
+    return mo.neighbours(s.labels(), mo.FACES, s.volumes)
 
 
 NEAREST = """near AS (SELECT a.case_id, a.z, a.y, a.x, min(sqrt((a.z-b.z)*(a.z-b.z)*sz*sz + (a.y-b.y)*(a.y-b.y)*sy*sy + (a.x-b.x)*(a.x-b.x)*sx*sx)) AS dist
@@ -195,10 +195,10 @@ def set_priority_union(spark, sf):
 
 @query("morph_dilate", vox_ctes(DIAMOND2, select="""
 SELECT DISTINCT l.case_id, label, l.z + dz AS z, l.y + dy AS y, l.x + dx AS x FROM labels l JOIN volumes v ON l.case_id = v.case_id, offs
-WHERE label = 1 AND l.z + dz BETWEEN 0 AND nz - 1 AND l.y + dy BETWEEN 0 AND ny - 1 AND l.x + dx BETWEEN 0 AND nx - 1"""))
+WHERE l.z + dz BETWEEN 0 AND nz - 1 AND l.y + dy BETWEEN 0 AND ny - 1 AND l.x + dx BETWEEN 0 AND nx - 1"""))
 def morph_dilate(spark, sf):
     s = study(spark, sf)
-    return mo.dilate(s.labels().filter("label = 1"), s.volumes, 2)
+    return mo.dilate(s.labels(), s.volumes, 2)
 
 
 CONTACT = """contact AS (SELECT b.* FROM labels b JOIN (SELECT DISTINCT l.case_id, l.z + dz AS z, l.y + dy AS y, l.x + dx AS x FROM labels l, offs WHERE label = 1) a
@@ -280,13 +280,13 @@ def morph_clean(spark, sf):
     return mo.clean_mask(s.preds(), s.volumes)
 
 
-@query("morph_clean_binary", vox_ctes("thin AS (SELECT case_id, 1 AS label, z, y, x FROM preds WHERE label = 1 OR (z % 3 = 0 AND label = 2))", BOX27,
+@query("morph_clean_binary", vox_ctes("thin AS (SELECT case_id, 1 AS label, z, y, x FROM preds)", BOX27,
        CLOSED.replace("FROM preds p", "FROM thin p"), COMPS, BEST, select="""
 SELECT c.case_id, z, y, x, 1 AS label FROM comps c JOIN best b ON c.case_id = b.case_id AND c.comp = b.comp
 UNION ALL SELECT case_id, z, y, x, 1 FROM thin WHERE case_id NOT IN (SELECT case_id FROM closed)"""))
 def morph_clean_binary(spark, sf):
     s = study(spark, sf)
-    return mo.clean_binary(s.preds().filter("label = 1 or (z % 3 = 0 and label = 2)"), s.volumes).select(*VOXEL, "label")
+    return mo.clean_binary(s.preds(), s.volumes).select(*VOXEL, "label")
 
 
 SURF = lambda src, name: f"""{name} AS (SELECT a.case_id, a.label, a.z, a.y, a.x FROM {src} a JOIN offs ON true LEFT JOIN {src} b
