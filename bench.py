@@ -9,7 +9,7 @@ from voxelmill.catalog import load_all
 from voxelmill.session import local_session
 
 HEADLINE = """agg_dice_per_class agg_percentiles agg_hd95 join_pair_id src_series_catalog win_early_stop
-morph_close morph_clean knee_laterality knee_bh_pct int_clip_z geo_stitch tex_glcm""".split()
+morph_close morph_clean knee_laterality knee_bh_pct int_clip_z geo_stitch tex_glcm knee_record""".split()
 
 
 def main():
