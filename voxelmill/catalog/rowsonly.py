@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelmill.catalog import query
+from voxelmill.catalog.checked import RESIZE, ROTATE, WARP
 from voxelmill.catalog.manifests import META_SQL, meta
 from voxelmill.catalog.study import study, vox_ctes, vox_sql
 from voxelmill.catalog.volumes import voxel_sum, sum_sql
@@ -152,13 +153,13 @@ def snk_masks(spark, sf):
 
 # --- resampling: rows only -----------------------------------------------------------------------
 
-@query("geo_resize")
+@query("geo_resize", RESIZE)
 def geo_resize(spark, sf):
     s = study(spark, sf)
     return voxel_sum(g.resize(s.image(), s.volumes, (8, 8, 8)))
 
 
-@query("geo_rotate")
+@query("geo_rotate", ROTATE)
 def geo_rotate(spark, sf):
     s = study(spark, sf)
     return voxel_sum(g.rotate(s.image(), s.volumes, 10.0))
@@ -171,7 +172,7 @@ def geo_affine(spark, sf):
     return g.sample_nearest(pts, s.labels()).groupBy(CASE, "label").agg(F.count("*").alias("n"))
 
 
-@query("geo_warp")
+@query("geo_warp", WARP)
 def geo_warp(spark, sf):
     s = study(spark, sf)
     disp = s.voxels().select(*VOXEL, F.lit(0.0).alias("dz"), (F.col("z") % 2 - 0.5).alias("dy"), F.lit(0.25).alias("dx"))
