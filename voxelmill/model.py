@@ -86,32 +86,24 @@ def exact_quantiles(df: DataFrame, by, value, probs, buckets=4096) -> DataFrame:
     """Exact linear-interpolated quantiles, long form (by..., prob, q).
 
     Values are first counted, then located through a histogram of ``buckets`` cells
-    per group; only the cells holding a wanted rank are ordered. No task ever sees
-    all values of a group.
+    per group, and in the cells holding a wanted rank through another one between the
+    extremes of the cell: a range stretched by few far values still ends in small cells.
+    Only those are ordered. No task ever sees all values of a group.
     """
     by = list(by)
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
-    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                   F.sum("_n").alias("_tot"))
-    cell = F.when(F.col("_hi") > F.col("_lo"),
-                  F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
-                  ).otherwise(F.lit(0)).cast("int")
-    placed = _join_groups(counts, span, by).withColumn("_b", cell)
-    hist = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"), F.first("_tot").alias("_tot"))
-    end = F.sum("_m").over(W.partitionBy(*by).orderBy("_b"))
-    want = (hist.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_m"))
-            .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_tot"))
+    want = (total.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
             .withColumn("_pos", F.col("prob") * (F.col("_tot") - 1))
-            .withColumn("_k0", F.floor("_pos")).withColumn("_k1", F.ceil("_pos"))
-            .filter(((F.col("_k0") >= F.col("_start")) & (F.col("_k0") < F.col("_end")))
-                    | ((F.col("_k1") >= F.col("_start")) & (F.col("_k1") < F.col("_end"))))
-            .select(*by, "_b", "prob", "_pos", "_k0", "_k1", "_start"))
-    hit = placed.select(*by, "_b", "_v", "_n")
-    rank_in = F.sum("_n").over(W.partitionBy(*by, "_b").orderBy("_v"))
-    ordered = (hit.join(want.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
-               .withColumn("_r", rank_in))
-    found = (ordered.join(want, [*by, "_b"]).withColumn("_e", F.col("_start") + F.col("_r"))
+            .select(*by, "prob", "_pos", F.floor("_pos").alias("_k0"), F.ceil("_pos").alias("_k1"),
+                    F.lit(0).cast("long").alias("_start")))
+    keys, rows = by, counts
+    for cell in ("_b", "_c"):
+        rows, want, keys = _located(rows, want, keys, cell, buckets)
+    rank_in = F.sum("_n").over(W.partitionBy(*keys).orderBy("_v"))
+    ordered = rows.withColumn("_r", rank_in)
+    found = (ordered.join(want, keys).withColumn("_e", F.col("_start") + F.col("_r"))
              .groupBy(*by, "prob")
              .agg(F.min(F.when(F.col("_e") > F.col("_k0"), F.col("_v"))).alias("_q0"),
                   F.min(F.when(F.col("_e") > F.col("_k1"), F.col("_v"))).alias("_q1"),
@@ -120,6 +112,24 @@ def exact_quantiles(df: DataFrame, by, value, probs, buckets=4096) -> DataFrame:
                                       * (F.col("_pos") - F.col("_k0"))).alias("q"))
 
 
+def _located(rows, want, keys, cell, buckets):
+    """The rows of the equal-width cells of each group that hold a wanted rank, and the ranks by cell."""
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    at = F.when(F.col("_hi") > F.col("_lo"),
+                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
+                ).otherwise(F.lit(0)).cast("int")
+    placed = _join_groups(rows, span, keys).withColumn(cell, at).drop("_lo", "_hi")
+    deeper = [*keys, cell]
+    hist = placed.groupBy(*deeper).agg(F.sum("_n").alias("_m"))
+    upto = F.sum("_m").over(W.partitionBy(*keys).orderBy(cell))
+    hist = hist.withColumn("_upto", upto)
+    end, start = F.col("_start") + F.col("_upto"), F.col("_start") + F.col("_upto") - F.col("_m")
+    inside = lambda k: (F.col(k) >= start) & (F.col(k) < end)
+    want = (hist.join(want, keys).filter(inside("_k0") | inside("_k1"))
+            .select(*deeper, "prob", "_pos", "_k0", "_k1", start.alias("_start")))
+    return placed.join(want.select(*deeper).distinct(), deeper, "left_semi"), want, deeper
+
+
 def _join_groups(rows, totals, by):
     salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (rows.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS)))
