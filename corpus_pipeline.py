@@ -4,18 +4,33 @@ Every stage works on all rows its predecessor kept. The first four return the co
 documents, the last the packed sequences.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from voxelmill.llm.common import fold, shared_path, table, written
 
+#: Columns that stages read or write; all others are only carried along.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less likely than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
 #: The key of the surrogates; a run on real data sets its own secret.
 PII_KEY = b"corpus pipeline"
 
 
+def sheltered(stage):
+    """The stage on documents whose further columns are out of its way under plain numbers."""
+    @functools.wraps(stage)
+    def on_plain_names(spark, docs, sf_dir):
+        names = {c: c if c in COLUMNS else f"_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+    return on_plain_names
+
+
+@sheltered
 def language(spark, docs, sf_dir) -> DataFrame:
     """Rejects documents in no recognisable language; ``lang`` becomes the predicted one.
 
@@ -27,6 +42,7 @@ def language(spark, docs, sf_dir) -> DataFrame:
     return known.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
+@sheltered
 def near_duplicates(spark, docs, sf_dir) -> DataFrame:
     """Keeps one document of each group of copies and near copies: the least id, then the first row."""
     from voxelmill.llm.hash_tables import save_rows, wanted
@@ -43,6 +59,7 @@ def near_duplicates(spark, docs, sf_dir) -> DataFrame:
     return numbered.mapInArrow(keep, numbered.schema).select(docs.columns)
 
 
+@sheltered
 def decontamination(spark, docs, sf_dir) -> DataFrame:
     """Rejects documents of which a twentieth of the words or more lies in benchmark passages."""
     from voxelmill.llm.decontamination import contaminated, find_hits
@@ -50,6 +67,7 @@ def decontamination(spark, docs, sf_dir) -> DataFrame:
     return hits.filter(~contaminated()).select(docs.columns)
 
 
+@sheltered
 def private_data(spark, docs, sf_dir) -> DataFrame:
     """Replaces personal data; n_chars follows the text."""
     from voxelmill.llm.pii import pseudonymize

@@ -248,6 +248,8 @@ def test_pipeline_against_its_rules(spark, tmp_path):
     item = random_texts(1, 30, 32)[0]
     texts = base + [base[0], edited(base[1], rng, 1), "123 ...", None, "", item, base[2] + " mail me.too@example.com please"]
     docs = documents(spark, texts, lang=["en"] * len(texts), source=["s"] * len(texts)).withColumn("n_chars", F.length("text"))
+    for name in ("row", "score", "hits", "entities", "lang_pred", "class_id", "odd name.x"):
+        docs = docs.withColumn(name, F.lit("kept"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -259,6 +261,7 @@ def test_pipeline_against_its_rules(spark, tmp_path):
         out.write.parquet(path)
         kept = spark.read.parquet(path)
         alive[name] = {r["doc_id"] for r in kept.collect()}
+        assert all(r["row"] == r["entities"] == r["odd name.x"] == "kept" for r in kept.collect())
     assert alive["language"] == set(range(len(texts))) - {14, 15, 16}
     sets = plain_sets(texts)
     near = {i for i in alive["language"] for j in alive["language"]

@@ -197,8 +197,8 @@ def test_language_id(spark):
     unknown = predict(docs, fit(docs.filter("lang is null"))).select("lang_pred").distinct().collect()
     assert [r[0] for r in unknown] == ["und"]
     assert predict(docs.limit(0), net).count() == 0
-    with pytest.raises(ValueError):
-        predict(docs.withColumn("score", F.lit(1)), net)
+    replaced = predict(docs.withColumn("score", F.lit("x")), net)
+    assert dict(replaced.dtypes)["score"] == "double" and replaced.count() == len(texts) + len(ODD)
 
 
 def test_network_gradients():

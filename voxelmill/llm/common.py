@@ -1,5 +1,6 @@
 """Helpers shared by the operators: shared folders, hold-out folds, bounded batches."""
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from voxelmill.session import ensure_checkpoint_dir
 
 FOLDS = 5
 #: Bytes of text handled at once inside a task; a longer single text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_path(spark, name) -> str:
@@ -37,16 +38,32 @@ def fold(doc_id) -> Column:
 
 def text_batches(batches, column="text", limit=BATCH_BYTES):
     """Record batches cut so that the texts of each have at most ``limit`` bytes (or are one row)."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        start, held = 0, 0
-        for i, n in enumerate(sizes.tolist()):
-            if held and held + n > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            start, held = 0, 0
+            for i, n in enumerate(sizes.tolist()):
+                if held and held + n > limit:
+                    yield batch.slice(start, i - start)
+                    start, held = i, 0
+                held += n
+            if start < batch.num_rows:
+                yield batch.slice(start)
+    finally:
+        hand_back()
+
+
+def hand_back():
+    """Returns free memory to the system: workers outlive their tasks and share the executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def without(df: DataFrame, *names) -> DataFrame:
+    """``df`` without columns that an operator is about to add: its own take their place."""
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
 def record_batch(**columns) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, text_batches, written
+from voxelmill.llm.common import record_batch, text_batches, without, written
 from voxelmill.llm.text import ngrams, ranges, words
 
 SIZE = 13
@@ -155,13 +155,10 @@ def find_hits(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", i
     items array<string> (distinct items with a window in the text, sorted as strings).
 
     Null and empty texts have no words and no hits; repeated rows are judged one by one; an empty
-    benchmark hits nothing. ``docs`` must not have columns with the four new names.
+    benchmark hits nothing. Columns of ``docs`` with one of the new names are replaced.
     """
     spark = docs.sparkSession
-    extra = "n_words long, n_hit long, hits array<struct<first:int,last:int>>, items array<string>"
-    names = docs.columns
-    if clash := {"n_words", "n_hit", "hits", "items"} & set(names):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = without(docs, "n_words", "n_hit", "hits", "items")
     out = docs.withColumns({
         "n_words": F.lit(None).cast("long"), "n_hit": F.lit(0).cast("long"),
         "hits": F.array().cast("array<struct<first:int,last:int>>"), "items": F.array().cast("array<string>")})

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, shared_path, text_batches, written
+from voxelmill.llm.common import record_batch, shared_path, text_batches, without, written
 from voxelmill.llm.hash_tables import find, load, save, segments, shard_of
 from voxelmill.llm.text import NOT_BLANK, mix, words
 
@@ -116,7 +116,7 @@ def _rows(rows):
 
 
 def _by_shard(packs: DataFrame, shards):
-    return packs.repartition(shards, "shard").sortWithinPartitions("shard")
+    return packs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")  # a task a shard
 
 
 def _shard_rows(batches):
@@ -368,14 +368,14 @@ def fit(docs: DataFrame, text="text", folder=None) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text="text") -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens long, base_score and score double (log10) to ``docs``.
+    """``docs`` without its text, with n_tokens, n_known, train_tokens long, base_score and score double (log10).
 
-    A null or empty text is scored by its end token. Repeated rows get equal results.
+    A null or empty text is scored by its end token. Repeated rows get equal results. Columns
+    of ``docs`` with one of the new names are replaced.
     """
-    names = docs.columns
     new = dict(n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
-    if clash := set(new) & set(names):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = without(docs, *new)
+    names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, text_batches
+from voxelmill.llm.common import record_batch, text_batches, without
 from voxelmill.llm.text import text_buffer
 
 WIDTHS = (2, 3, 4)
@@ -159,11 +159,11 @@ def predict(docs: DataFrame, net: ByteNet, text="text") -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0; so is everything if no language
     was learned. Repeated rows get equal results. Ties go to the first language by name.
+    Columns of ``docs`` with one of the new names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
+    docs = without(docs, "lang_pred", "score")
     names = docs.columns
-    if clash := {"lang_pred", "score"} & set(names):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
 
     def run(batches):
         model = sent.value

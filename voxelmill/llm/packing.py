@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from voxelmill.llm.common import partitions, record_batch, text_batches, written
+from voxelmill.llm.common import record_batch, text_batches, without, written
 from voxelmill.llm.text import ranges
 from voxelmill.llm.tokens import WORD_BPE, vocabulary_path, word_bpe
 
@@ -181,9 +181,10 @@ def pack(pieces: DataFrame, capacity=CAPACITY) -> DataFrame:
     """Adds sequence_id long and offset long to rows with a ``length`` from 1 to ``capacity``.
 
     Sequences are gapless from 0 and hold at most ``capacity``. Equal rows are separate pieces; an
-    empty table gives an empty table. Column names starting with ``_`` are reserved.
+    empty table gives an empty table. Columns of the two new names are replaced. Column names starting with ``_`` are reserved.
     """
     spark = pieces.sparkSession
+    pieces = without(pieces, "sequence_id", "offset")
     pieces = written(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     found = pieces.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most capacity rows
     if len(found) and not found["length"].between(1, capacity).all():

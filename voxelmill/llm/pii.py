@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, text_batches, written
+from voxelmill.llm.common import record_batch, text_batches, without, written
 from voxelmill.llm.text import text_buffer, words
 
 # Given names by script and gender.
@@ -301,11 +301,10 @@ def pseudonymize(docs: DataFrame, key: bytes, text="text", check=True) -> DataFr
 
     The replaced text takes the place of the old one; places count its characters. Null texts stay
     null, empty and clean ones as they are. Equal rows get equal results; an empty table gives none.
-    ``key`` decides all surrogates.
+    ``key`` decides all surrogates. A column ``entities`` of ``docs`` is replaced.
     """
+    docs = without(docs, "entities")
     names = docs.columns
-    if "entities" in names:
-        raise ValueError("column in the way: entities")
     swapped = swaps(docs, key, text) if check else {}
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 

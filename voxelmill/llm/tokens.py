@@ -35,7 +35,7 @@ class WordBpe:
 
     JOIN = "<|endoftext|>"
 
-    def __init__(self, path, cache=400_000):
+    def __init__(self, path, cache=300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
@@ -112,7 +112,7 @@ class WordBpe:
             unknown = [chunks[i] for i in missing.tolist()]
             self._learn(list(set(unknown)))
             at[missing] = np.fromiter(map(get, unknown), np.int64, len(unknown))
-        self.seen[:len(self.index)] += np.bincount(at, minlength=len(self.index))
+        np.add.at(self.seen, at, 1)
         size = self.size[at]
         flat, _ = ranges(self.start[at], size)
         ids = self.pool[flat]
