@@ -154,3 +154,55 @@ ROTATE = linear_sql("""SELECT case_id, z, y, x, z::DOUBLE AS fz,
   sin(radians(10)) * (y - (ny - 1) / 2.0::DOUBLE) + cos(radians(10)) * (x - (nx - 1) / 2.0::DOUBLE) + (nx - 1) / 2.0::DOUBLE AS fx
   FROM (SELECT case_id, z, y, x, k FROM vox) JOIN (SELECT k, ny, nx FROM volumes) USING (k)""")
 WARP = linear_sql("""SELECT case_id, z, y, x, z::DOUBLE AS fz, y + (z % 2 - 0.5::DOUBLE) AS fy, x + 0.25::DOUBLE AS fx FROM vox""")
+
+
+# --- further variants of operators -------------------------------------------------------------------
+
+@query("win_first_hit", vox_sql("""SELECT case_id, y, x, max(CASE WHEN z < nz // 2 THEN z END) AS before, min(CASE WHEN z >= nz // 2 THEN z END) AS after
+FROM labels JOIN volumes USING (case_id) WHERE label = 2 GROUP BY 1, 2, 3"""))
+def win_first_hit(spark, sf):
+    """Femur voxels next to the middle plane on every ray across it."""
+    s = study(spark, sf)
+    at = s.volumes.select(CASE, F.expr("cast(nz div 2 as int)").alias("at"))
+    return g.ray_hits(s.labels().filter("label = 2"), at, s.volumes)
+
+
+@query("win_tail_split_first2", """SELECT 'train' AS split, count(*) - 2 AS n FROM customer UNION ALL SELECT 'val', 2""")
+def win_tail_split_first2(spark, sf):
+    from voxelmill.catalog.manifests import images
+    from voxelmill.operators.manifests import holdout
+    return holdout(images(spark, sf), "first2").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("fn_reorient_lps", vox_sql("""SELECT case_id, nz - 1 - z AS z, CASE WHEN k % 2 = 0 THEN ny - 1 - y ELSE y END AS y, x, label
+FROM labels JOIN volumes USING (case_id)"""))
+def fn_reorient_lps(spark, sf):
+    s = study(spark, sf)
+    z, one = F.lit(0.0), F.lit(1.0)
+    affine = F.array(one, z, z, z, z, F.when(F.col("k") % 2 == 0, 1.0).otherwise(-1.0), z, z, z, z, one, z, z, z, z, one)
+    return g.reorient(s.labels(), s.volumes.withColumn("affine", affine), "LPS")
+
+
+TURN = """cos(radians({d})) * (y - (ny - 1) / 2.0::DOUBLE - {ty}) {s} sin(radians({d})) * (x - (nx - 1) / 2.0::DOUBLE) + (ny - 1) / 2.0::DOUBLE AS fy,
+  cos(radians({d})) * (x - (nx - 1) / 2.0::DOUBLE) {r} sin(radians({d})) * (y - (ny - 1) / 2.0::DOUBLE - {ty}) + (nx - 1) / 2.0::DOUBLE AS fx"""
+GRID = "FROM (SELECT case_id, z, y, x, k FROM vox) JOIN (SELECT k, nz, ny, nx FROM volumes) USING (k)"
+
+
+@query("geo_rotate_mask", vox_sql("").rstrip() + f""",
+pts AS (SELECT case_id, z, y, x, {TURN.format(d=10, ty=0, s="-", r="+")} {GRID})
+SELECT p.case_id, p.z, p.y, p.x, l.label FROM pts p JOIN labels l ON l.case_id = p.case_id AND l.z = p.z
+  AND l.y = CAST(round_even(fy, 0) AS INTEGER) AND l.x = CAST(round_even(fx, 0) AS INTEGER)""")
+def geo_rotate_mask(spark, sf):
+    s = study(spark, sf)
+    return g.rotate(s.labels(), s.volumes, 10.0, mask=True)
+
+
+@query("geo_affine_image", linear_sql(f"SELECT case_id, z, y, x, z + 0.25::DOUBLE AS fz, {TURN.format(d=7, ty=1.5, s='+', r='-')} {GRID}"))
+def geo_affine_image(spark, sf):
+    """The image under one turn and shift."""
+    from voxelmill.catalog.volumes import voxel_sum
+    s = study(spark, sf)
+    zero = F.lit(0.0)
+    params = s.volumes.select(CASE, F.lit(7.0).alias("rz"), zero.alias("ry"), zero.alias("rx"), F.lit(-0.25).alias("tz"),
+                              F.lit(1.5).alias("ty"), zero.alias("tx"))
+    return voxel_sum(g.sample_linear(g.affine_points(s.volumes, params), s.image()))

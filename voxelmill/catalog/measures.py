@@ -200,7 +200,6 @@ NOTCH = """ray AS (SELECT l.case_id, any_value(sz) AS sz, max(CASE WHEN l.z < r0
   JOIN (SELECT *, round_even(az, 0) AS r0, round_even(ay, 0) AS r1, round_even(ax, 0) AS r2 FROM feet) f ON l.case_id = f.case_id WHERE label = 2 AND l.y = r1 AND l.x = r2 GROUP BY 1)"""
 
 
-@query("win_first_hit", vox_ctes(DIAMOND2, CONTACT, FEET, NOTCH, select="SELECT case_id, round((rw - lw) * sz, 5) AS notch_width_mm FROM ray"))
 @query("knee_notch_width", vox_ctes(DIAMOND2, CONTACT, FEET, NOTCH, select="SELECT case_id, round((rw - lw) * sz, 5) AS notch_width_mm FROM ray"))
 def knee_notch_width(spark, sf):
     s = study(spark, sf)

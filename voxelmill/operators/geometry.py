@@ -248,6 +248,16 @@ def _same_grid(volumes, extra=()):
     return target_grid(volumes.select(CASE, *SHAPE, *extra, *[F.col(f"n{a}").alias(f"m{a}") for a in AXES]))
 
 
+def ray_hits(mask: DataFrame, at: DataFrame, volumes: DataFrame, axis="z") -> DataFrame:
+    """On every ray along ``axis`` that meets the mask: the last set voxel before ``at`` (one row per case)
+    and the first at or after it, NULL where that side has none."""
+    others = [a for a in AXES if a != axis]
+    d = attach(mask.select(*VOXEL), at.select(CASE, "at"), volumes)
+    here = F.col(axis) < F.col("at")
+    return d.groupBy(CASE, *others).agg(F.max(F.when(here, F.col(axis))).alias("before"),
+                                        F.min(F.when(~here, F.col(axis))).alias("after"))
+
+
 def rotate_points(volumes: DataFrame, degrees) -> DataFrame:
     """Source position of every voxel for an in-plane (y, x) turn about the centre."""
     d = _same_grid(volumes)

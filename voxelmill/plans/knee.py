@@ -225,11 +225,11 @@ def impingement(labels: DataFrame, volumes: DataFrame) -> DataFrame:
 
 def notch_width(labels: DataFrame, volumes: DataFrame, feet: DataFrame) -> DataFrame:
     """Gap between the femur walls on the dim0 ray through the rounded ACL centroid."""
-    p = feet.filter("az is not null").select(CASE, "sz", *[fn.round_index(F.col(f"a{a}")).alias(f"r{a}") for a in AXES])
+    from voxelmill.operators.geometry import ray_hits
+    p = feet.filter("az is not null").select(CASE, *[fn.round_index(F.col(f"a{a}")).alias(f"r{a}") for a in AXES])
     ray = attach(labels.filter(F.col("label") == FEMUR), p, volumes).filter("y = ry and x = rx")
-    walls = ray.groupBy(CASE, "sz").agg(F.max(F.when(F.col("z") < F.col("rz"), F.col("z"))).alias("left"),
-                                        F.min(F.when(F.col("z") >= F.col("rz"), F.col("z"))).alias("right"))
-    return walls.select(CASE, ((F.col("right") - F.col("left")) * F.col("sz")).alias("notch_width_mm"))
+    walls = attach(ray_hits(ray, p.select(CASE, F.col("rz").alias("at")), volumes), volumes.select(CASE, "sz"), volumes)
+    return walls.select(CASE, ((F.col("after") - F.col("before")) * F.col("sz")).alias("notch_width_mm"))
 
 
 def path_length(points: DataFrame, order: str, by=(CASE,)) -> DataFrame:
