@@ -6,8 +6,8 @@ keeps them; the oracle states the rows and that all of them hold.
 
 from pyspark.sql import functions as F
 
-from voxelmill.catalog import query
-from voxelmill.catalog.study import study, vox_sql
+from voxelmill.catalog import ORACLES, query
+from voxelmill.catalog.study import VOLUMES_SQL, study, vox_sql
 from voxelmill.model import AXES, CASE, VOXEL, attach
 from voxelmill.operators import geometry as g, intensity as it, sampling as sm
 
@@ -206,3 +206,42 @@ def geo_affine_image(spark, sf):
     params = s.volumes.select(CASE, F.lit(7.0).alias("rz"), zero.alias("ry"), zero.alias("rx"), F.lit(-0.25).alias("tz"),
                               F.lit(1.5).alias("ty"), zero.alias("tx"))
     return voxel_sum(g.sample_linear(g.affine_points(s.volumes, params), s.image()))
+
+
+# --- the whole record against its parts ------------------------------------------------------------------
+
+_RENAMED = {"knee_acl_volume": {"volume_mm3": "acl_volume_mm3"}}
+_PARTS = {"knee_staubli": 3, "knee_tortuosity": 5, "knee_att": 3, "knee_bh_pct": 5, "knee_angles": 3, "knee_acl_volume": 6,
+          "knee_impingement": 5, "knee_notch_width": 5, "tex_firstorder": 4, "tex_glcm": 4, "tex_glrlm": 4}
+_FIRSTORDER = """Energy TotalEnergy Entropy Minimum 10Percentile 90Percentile Maximum Mean Median InterquartileRange Range
+MeanAbsoluteDeviation RobustMeanAbsoluteDeviation RootMeanSquared Skewness Kurtosis Variance Uniformity""".split()
+_DIGITS = {"Energy": 3, "TotalEnergy": 3, "Entropy": 5, "Uniformity": 5}
+_MEASURES = {"knee_staubli": ["Staubli_Tibial_pct"], "knee_tortuosity": ["Tortuosity_Index"], "knee_att": ["ATT_mm"],
+             "knee_bh_pct": ["BH_Length_pct", "BH_Depth_pct"],
+             "knee_angles": ["angle_to_plateau_deg", "sagittal_angle_deg", "coronal_angle_deg"],
+             "knee_acl_volume": ["volume_mm3"], "knee_impingement": ["min_dist_to_femur_mm"],
+             "knee_notch_width": ["notch_width_mm"]}
+
+
+def _part_columns():
+    """(part, its column, name in the record, digits) of every column that has an oracle."""
+    from voxelmill.operators import texture as tx
+    groups = {"tex_firstorder": _FIRSTORDER, "tex_glcm": tx.GLCM_NAMES, "tex_glrlm": tx.GLRLM_NAMES}
+    for part, digits in _PARTS.items():
+        for c in _MEASURES.get(part) or groups[part]:
+            name = _RENAMED.get(part, {}).get(c, c) if part in _MEASURES else f"original_{part[4:]}_{c}"
+            yield part, c, name, (_DIGITS.get(c, digits) if part == "tex_firstorder" else digits)
+
+
+def _record_sql():
+    columns = ", ".join(f'{p}."{c}" AS "{name}"' for p, c, name, _ in _part_columns())
+    parts = "\n".join(f"LEFT JOIN ({ORACLES[p]}) {p} ON {p}.case_id = v.case_id" for p in _PARTS)
+    return f"WITH {VOLUMES_SQL}\nSELECT v.case_id, {columns} FROM volumes v\n{parts}"
+
+
+@query("knee_record_rounded", _record_sql())
+def knee_record_rounded(spark, sf):
+    """The record, each column to the digits of the query it comes from."""
+    from voxelmill.catalog.measures import knee_record
+    d = knee_record(spark, sf)
+    return d.select(CASE, *[F.round(f"`{name}`", digits).alias(name) for _, _, name, digits in _part_columns()])
