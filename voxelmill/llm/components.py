@@ -9,12 +9,12 @@ def _star(edges: DataFrame, small) -> DataFrame:
     """Hang the neighbours of every node on the least node it sees.
 
     The large star moves neighbours greater than the node, the small star the node itself and its
-    lesser neighbours. Only per-node minima are aggregated; the join on a node with very many
-    neighbours is left to skew-join splitting.
+    lesser neighbours. Only per-node minima are aggregated. They are written, so that the join shuffles
+    both its sides anew and a node with very many neighbours can be split between tasks.
     """
     both = edges if small else edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(
-        F.col("a").alias("_u"), F.least("a", "_m").alias("_m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(
+        F.col("a").alias("_u"), F.least("a", "_m").alias("_m")), "least")
     seen = both.join(least, both["a"] == least["_u"])
     if small:
         moved = seen.filter("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
