@@ -35,10 +35,12 @@ class WordBpe:
 
     JOIN = "<|endoftext|>"
 
-    def __init__(self, path, cache=300_000):
+    def __init__(self, path, cache=400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
+        self.closing = np.zeros(self.model.get_vocab_size(), bool)
+        self.closing[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.cache = cache
         self.index = {}
         self.used = 0
@@ -49,9 +51,26 @@ class WordBpe:
         return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, chunks):
+        """Encodes unknown chunks, many at once.
+
+        A chunk of letters only is one word, and a word's last id is one that ends words: such chunks
+        are joined by blanks and told apart by these ids. Others stand between special tokens.
+        """
+        words, other = [], []
+        for c in chunks:
+            (words if c.decode().isalpha() else other).append(c)
+        for i in range(0, len(words), 5_000):
+            part = words[i:i + 5_000]
+            ids = self._ids(b" ".join(part).decode())
+            end = np.flatnonzero(self.closing[ids]) + 1
+            if len(end) == len(part) and end[-1] == len(ids):
+                first = np.concatenate([[0], end[:-1]])
+                self._add(part, ids, first, end - first)
+            else:  # a letter that the vocabulary's pattern takes for something else
+                other += part
         join_id, join = self.model.token_to_id(self.JOIN), self.JOIN.encode()
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i:i + 20_000]
+        for i in range(0, len(other), 5_000):
+            part = other[i:i + 5_000]
             ids = self._ids(join.join(part).decode())
             cut = np.flatnonzero(ids == join_id)
             first = np.concatenate([[0], cut + 1])
