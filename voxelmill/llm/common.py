@@ -71,6 +71,12 @@ def record_batch(**columns) -> pa.RecordBatch:
                                        for c in columns.values()], names=list(columns))
 
 
-def partitions(spark, rows, per_partition) -> int:
-    """Shuffle partitions for ``rows`` at ``per_partition`` each, at least the session's count."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+def pin_scans(spark):
+    """From now on a scan of stored files is dealt out alike each time.
+
+    Spark cuts files by the number of cores alive, which changes when executors come and go. Row
+    numbers of a scan (monotonically_increasing_id) mean the same rows later only if it does not.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))

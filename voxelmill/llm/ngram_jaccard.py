@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, shared_path, text_batches, written
+from voxelmill.llm.common import pin_scans, record_batch, shared_path, text_batches, written
 from voxelmill.llm.components import components
 from voxelmill.llm.hash_tables import save_rows, wanted
 from voxelmill.llm.minhash import band_keys, bands_for, dealt_groups, roots, run_bounds, runs, signatures
@@ -167,6 +167,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size=SIZE, th
     fewer than ``size`` words is one n-gram. Repeated rows are copies of each other and link. A null
     id takes part; it is never the least unless all are null. An empty table gives no rows.
     """
+    pin_scans(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     kept = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
                        F.col(text).cast("string").alias("text"))

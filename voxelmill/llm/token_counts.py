@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, shared_path, text_batches
+from voxelmill.llm.common import pin_scans, record_batch, shared_path, text_batches
 from voxelmill.llm.tokens import BYTE_BPE, byte_bpe, vocabulary_path
 from voxelmill.model import running
 
@@ -123,6 +123,7 @@ def token_counts(docs: DataFrame, doc_id="doc_id", text="text", path=None, **voc
     empty texts have 0 tokens.
     """
     spark = docs.sparkSession
+    pin_scans(spark)
     path = path or shared_path(spark, "tokens")
     write_token_files(docs, path, text, **vocabulary)
     row = F.monotonically_increasing_id()
