@@ -62,7 +62,20 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-@query("op3_ngram_jaccard")
+@query("op3_ngram_jaccard", f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {SQL_WORDS.format('text')} AS w FROM documents),
+gram AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc WHERE len(w) > 0)),
+own AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS s FROM gram GROUP BY 1),
+copy AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, s) AS copy_id FROM own),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN own x ON x.doc_id = a JOIN own y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT doc.doc_id, coalesce(copy_id, doc.doc_id) AS copy_id, least(doc.doc_id, coalesce(r.low, doc.doc_id)) AS class_id,
+       coalesce(l.n, 0)::BIGINT AS n_links
+FROM doc LEFT JOIN copy USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY 1) r ON r.a = doc.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY 1) l ON l.a = doc.doc_id
+""")
 def op3_ngram_jaccard(spark, sf_dir):
     """Class and number of links of every document at Jaccard 0.8 on five-word n-grams."""
     from voxelmill.llm.ngram_jaccard import near_duplicates
