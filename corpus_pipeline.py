@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import fold, shared_path, table, written
+from voxelmill.llm.common import fold, shared_path, small_batches, table, written
 
 #: Columns that stages read or write; all others are only carried along.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,6 +24,7 @@ def sheltered(stage):
     """The stage on documents whose further columns are out of its way under plain numbers."""
     @functools.wraps(stage)
     def on_plain_names(spark, docs, sf_dir):
+        small_batches(spark)
         names = {c: c if c in COLUMNS else f"_{i}" for i, c in enumerate(docs.columns)}
         out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
         return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
@@ -81,6 +82,7 @@ def private_data(spark, docs, sf_dir) -> DataFrame:
 def packing(spark, docs, sf_dir) -> DataFrame:
     """Packs all documents into sequences of 4096 tokens."""
     from voxelmill.llm.packing import pack, tokenized_pieces
+    small_batches(spark)
     return pack(tokenized_pieces(docs))
 
 

@@ -71,6 +71,13 @@ def record_batch(**columns) -> pa.RecordBatch:
                                        for c in columns.values()], names=list(columns))
 
 
+def small_batches(spark, size=8 << 20):
+    """Arrow batches of at most ``size`` between Spark and its Python workers, unless the session says less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):  # Spark's own default
+        spark.conf.set(key, str(size))
+
+
 def pin_scans(spark):
     """From now on a scan of stored files is dealt out alike each time.
 

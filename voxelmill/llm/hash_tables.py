@@ -35,7 +35,8 @@ def save(folder, name, **arrays):
             f.write(data)
         os.replace(part, os.path.join(local, name))
     else:
-        fs, path = pa.fs.FileSystem.from_uri(folder)
+        import pyarrow.fs
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(path)
         with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
             f.write(data)
