@@ -93,6 +93,8 @@ def exact_quantiles(df: DataFrame, by, value, probs, buckets=4096) -> DataFrame:
     by = list(by)
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint()  # read by both histograms
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_tot"))
     want = (total.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
             .withColumn("_pos", F.col("prob") * (F.col("_tot") - 1))
