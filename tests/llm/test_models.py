@@ -181,6 +181,30 @@ def test_shared_passages(spark, stored):  # noqa: F811
     assert shared_passages(stored(documents(spark, []))).count() == 0
 
 
+def test_embedded_passages_are_removed_whole(spark, stored):  # noqa: F811
+    from voxelmill.llm.paragraph_dedup import shared_passages
+    rng = random.Random(12)
+    other = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    passages = [other(n) for n in (51, 51, 100, 100, 200, 200)]
+    texts = [f"{other(40)} {p} {other(40)}" for p in passages for _ in range(3)]
+    # the least document shares only the middle: the others still have the whole in common
+    parts = other(120).split()
+    texts[:0] = [f"{other(30)} {' '.join(parts[30:90])} {other(30)}"]
+    texts += [f"{other(45)} {' '.join(parts)} {other(45)}", f"{other(45)} {' '.join(parts)} {other(45)}"]
+    # its own text twice over: the second occurrence is shared too, but stays
+    twice = other(60)
+    texts += [f"{other(40)} {twice} {other(50)} {twice} {other(40)}", f"{other(40)} {twice} {other(40)}"]
+    got = {r["doc_id"]: r for r in shared_passages(stored(documents(spark, texts))).collect()}
+    for i, p in enumerate(passages):
+        n = len(p.split())
+        for k in range(3):
+            r = got[1 + 3 * i + k]
+            assert (r["shared_words"], r["removed_words"]) == (n, n if k else 0)
+            assert [tuple(s) for s in r["removed"]] == ([(40, 40 + n)] if k else [])
+    assert [(got[i]["shared_words"], got[i]["removed_words"]) for i in (0, 19, 20, 21, 22)] == \
+        [(60, 0), (120, 60), (120, 120), (120, 0), (60, 60)]
+
+
 # ---- personal data
 
 PERSONAL = ["Mail a.B@Mail5.example.com or a.b@mail5.example.com", "call +1 (743) 555-3824, +17435553824.",
