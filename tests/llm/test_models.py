@@ -235,6 +235,26 @@ def test_surrogates_keep_form_and_identity():
     assert replace(pa.array(PERSONAL), Surrogates(b"other"))[0] != new[:8]
 
 
+@pytest.mark.parametrize("form", ['password="{}"', "password: {}", 'secret = "{}"', "api_key = {}", "Authorization: Bearer {}", "token={}",
+                                  '{{"access_key": "{}"}}', "PWD='{}'", "see?token={}&next=1", "secret={}."])
+def test_secrets_in_any_spelling(form):
+    from voxelmill.llm.pii import Surrogates, replace
+    value = "aB3_x9-Kq77Zt_pL2m"
+    text = f"first {form.format(value)} last"
+    new, spans = replace(pa.array([text]), Surrogates(b"key"))
+    (kind, start, length), = spans[0]
+    assert (kind, start, length) == ("secret", text.index(value), len(value))
+    assert not any(part in new[0] for part in re.split("[_-]", value) if len(part) > 3)
+    assert (new[0][:start], new[0][start + length:]) == (text[:start], text[start + length:])
+
+
+def test_short_secrets_stay_distinct():
+    from voxelmill.llm.pii import Surrogates
+    s = Surrogates(b"key")
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    assert len({s("secret", a + b) for a in letters for b in letters}) == 36 * 36
+
+
 def test_surrogates_are_permutations():
     from voxelmill.llm.pii import Surrogates, canonical
     s = Surrogates(b"key")

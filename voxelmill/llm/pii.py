@@ -47,10 +47,16 @@ DRAWS = 20
 _NAME = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΩЁА-Я](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _GIVEN = "|".join(sorted({n for v in GIVEN_NAMES.values() for n in v}, key=lambda n: (-len(n), n)))
 _TITLE = "|".join(t for v in TITLES.values() for t in v)
+#: Words before the ':' or '=' of a secret, and the pieces of them that are looked for.
+_SECRET = r"password|passwd|pwd|passphrase|secret|token|(?:api|access|private|auth)[_ -]?key"
+_SECRET_WORDS = ["password", "passwd", "pwd", "passphrase", "secret", "token", "key", "apikey", "bearer",
+                 "accesskey", "privatekey", "authkey"]
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("secret", r"(?i:(?<=password=)|(?<=token = \")|(?<=token=)|(?<=secret=))[A-Za-z0-9]{6,}"),
+    ("secret", rf"(?i:(?:{_SECRET})[\"']?[ \t]*[:=][ \t]*(?:bearer[ \t]+)?)(?P<q>[\"'])?"
+               r"(?P<value>(?=\S*\w)(?(q)[^\"'\s]+|[^\"'\s,;&<>()]*[\w/+=-]))"),
+    ("secret", r"(?i:\bbearer[ \t]+)(?P<bearer>[A-Za-z0-9._~+/-]{16,}=*)"),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)"),
     ("card", r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?!\d)"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
@@ -69,7 +75,7 @@ _SIGN[list(b"@=0123456789")] = True
 
 @lru_cache(maxsize=1)
 def _name_hashes():
-    names = [*(n for v in GIVEN_NAMES.values() for n in v), *(t for v in TITLES.values() for t in v)]
+    names = [*(n for v in GIVEN_NAMES.values() for n in v), *(t for v in TITLES.values() for t in v), *_SECRET_WORDS]
     return np.unique(words(pa.array(names), _LETTER).hash)
 
 
@@ -109,11 +115,12 @@ def find(texts: pa.Array):
     for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist()):
         part = data[a:b].decode()
         for m in _FIND.finditer(part):
-            at = a + len(part[:m.start()].encode())
+            own = next((g for g in ("value", "bearer") if m[g] is not None), 0)  # a secret without its key word
+            at = a + len(part[:m.start(own)].encode())
             if at >= done:
                 out.append((d, PATTERNS[next(i for i in range(len(PATTERNS)) if m[f"k{i}"] is not None)][0],
-                            at - int(offsets[d]), m[0]))
-                done = at + len(m[0].encode())
+                            at - int(offsets[d]), m[own]))
+                done = at + len(m[own].encode())
     # a given name alone is a person only where the text also gives it with a title or surname
     people = {(d, word) for d, kind, _, e in out if kind == "name" for word in e.split(" ")}
     return [(d, "name" if kind == "given" else kind, at, e) for d, kind, at, e in out
@@ -188,10 +195,15 @@ class Surrogates:
     def _secret(self, text):
         if text.startswith("AKIA"):
             return "AKIA" + self._letters("secret", text[4:])
-        if re.fullmatch(r"[0-9a-f]+", text):
+        hexadecimal = re.compile(r"[0-9a-f]+")
+        if hexadecimal.fullmatch(text):
             new = self._permuted(f"hex|{len(text)}", [int(c, 16) for c in text], [16] * len(text))
             return "".join(ALPHABETS["hex"][n] for n in new)
-        return self._letters("secret", text)
+        # on until the surrogate is none of the other two forms, so that all three stay permutations
+        new = self._letters("secret", text)
+        while new.startswith("AKIA") or hexadecimal.fullmatch(new):
+            new = self._letters("secret", new)
+        return new
 
     def _name(self, text):
         m = re.match(rf"((?:{_TITLE})\b\.? )?(.*)", text, re.S)
