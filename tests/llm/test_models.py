@@ -205,6 +205,70 @@ def test_embedded_passages_are_removed_whole(spark, stored):  # noqa: F811
         [(60, 0), (120, 60), (120, 120), (120, 0), (60, 60)]
 
 
+@pytest.mark.parametrize("block", [4_096, 5])
+def test_shared_beginnings_against_plain(spark, block):
+    from voxelmill.llm.word_runs import shared_beginnings
+    rng = random.Random(31)
+    rows = []
+    for row in range(60):
+        for first in range(rng.randint(0, 3)):
+            # one key holds a third of all lists; some lists are equal as a whole
+            words = [rng.randrange(2) for _ in range(rng.choice([1, 3, 8, 30]))]
+            rows.append((rng.choice([7, 7, 1, 2, -5]), row, rng.choice([None, row % 9, 100 - row]), first, bool(first % 2),
+                         bytearray(np.array(words, np.uint32).tobytes())))
+    ids = {}
+    rows = [(k, r, ids.setdefault(r, d), f, a, w) for k, r, d, f, a, w in rows]  # one document a row
+    lists = spark.createDataFrame(rows, "key long, row long, doc_id long, first int, after boolean, beside binary").repartition(5)
+    got = {(r["row"], r["first"], r["after"]): (r["reach"], r["lesser"]) for r in shared_beginnings(lists, block).collect()}
+
+    def agree(a, b):
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        n = min(len(a), len(b))
+        return next((i for i in range(n) if a[i] != b[i]), n)
+    place = lambda d, r: (d is not None, d or 0, r)
+    for k, r, d, f, a, w in rows:
+        others = [(agree(w, x[5]), place(x[2], x[1]) < place(d, r)) for x in rows if x[0] == k and x[1] != r]
+        want = max((n for n, _ in others), default=0), max((n for n, low in others if low), default=0)
+        assert got.get((r, f, a), (0, 0)) == want
+    assert shared_beginnings(lists.limit(0)).count() == 0
+
+
+def test_long_runs_against_plain(spark, stored):  # noqa: F811
+    """Every run of 50 words that two documents share is found whole; nothing else is."""
+    from voxelmill.llm.paragraph_dedup import shared_passages
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    passages = [[word() for _ in range(rng.randint(50, 140))] for _ in range(12)]
+    docs = []
+    for _ in range(40):
+        w = []
+        for _ in range(rng.randint(1, 3)):
+            p = rng.choice(passages)
+            w += [word() for _ in range(rng.randint(0, 60))] + p[rng.randint(0, 20):len(p) - rng.randint(0, 20)]
+        docs.append(w)
+    got = {r["doc_id"]: r for r in shared_passages(stored(documents(spark, [" ".join(w) for w in docs]))).collect()}
+    at = defaultdict(set)
+    for i, w in enumerate(docs):
+        for k, x in enumerate(w):
+            at[x].add((i, k))
+    for i, w in enumerate(docs):
+        shared, gone = set(), set()
+        for k in range(len(w)):
+            for j, m in at[w[k]]:
+                if j == i or (k and m and w[k - 1] == docs[j][m - 1]):
+                    continue
+                n = 0
+                while k + n < len(w) and m + n < len(docs[j]) and w[k + n] == docs[j][m + n]:
+                    n += 1
+                if n >= 50:
+                    shared |= set(range(k, k + n))
+                    gone |= set(range(k, k + n)) if j < i else set()
+        held = {k for s in got[i]["removed"] for k in range(s["first"], s["last"])}
+        other = {k for k, x in enumerate(w) if any(j != i for j, _ in at[x])}
+        lesser = {k for k, x in enumerate(w) if any(j < i for j, _ in at[x])}
+        assert gone <= held <= lesser and len(shared) <= got[i]["shared_words"] <= len(other)
+
+
 # ---- personal data
 
 PERSONAL = ["Mail a.B@Mail5.example.com or a.b@mail5.example.com", "call +1 (743) 555-3824, +17435553824.",
