@@ -15,5 +15,5 @@ def query(name, sql=None):
 
 def load_all():
     from voxelmill.catalog import (  # noqa: F401
-        manifests, metrics, volumes, measures, textures, logs, rowsonly, checked)
+        manifests, metrics, volumes, measures, textures, logs, rowsonly, checked, fields)
     return QUERIES, ORACLES

@@ -262,7 +262,8 @@ def _anterior(d: DataFrame) -> DataFrame:
     return d
 
 
-def _frame(feet, plane):
+def frame(feet, plane):
+    """Cases with both contacts: plateau normal v and anterior direction q."""
     d = feet.filter("mfz is not null and mtz is not null").join(
         plane.select(CASE, *[F.col(f"n{a}").alias(f"v{a}") for a in AXES]), CASE)
     return _anterior(d)
@@ -271,13 +272,14 @@ def _frame(feet, plane):
 def att(labels: DataFrame, volumes: DataFrame, feet: DataFrame, plane: DataFrame) -> DataFrame:
     """Anterior tibial translation, with the two posterior edge points (mm)."""
     f0, t0 = fn.round_index(F.col("fz")), fn.round_index(F.col("tz"))
-    p = _frame(feet, plane).select(CASE, "qz", "qy", "qx", "sz", "sy", "sx", "vz", "vy", "vx",
+    p = frame(feet, plane).select(CASE, "qz", "qy", "qx", "sz", "sy", "sx", "vz", "vy", "vx",
                                    fn.clip(f0, 0, F.col("nz") - 1).alias("cut"),
                                    (-_sign(t0 - f0, 1)).alias("lat"))
     bones = attach(labels.filter(F.col("label").isin(FEMUR, TIBIA)), p, volumes).filter(
         (F.col("label") == TIBIA)
         | F.when(F.col("lat") > 0, F.col("z") >= F.col("cut")).otherwise(F.col("z") <= F.col("cut")))
-    proj = sum(F.col(a) * F.col(f"s{a}") * F.col(f"q{a}") for a in AXES)
+    # rounded: voxels that tie but for the last bits are told apart by their place
+    proj = F.round(sum(F.col(a) * F.col(f"s{a}") * F.col(f"q{a}") for a in AXES), 9)
     ends = arg_extreme(bones, proj, "min", (CASE, "label"))
     part = lambda lab, pre: ends.filter(F.col("label") == lab).select(
         CASE, F.col("projection").alias(f"{pre}_edge"), *[F.col(a).alias(f"{pre}{a}") for a in AXES])
@@ -289,7 +291,7 @@ def att(labels: DataFrame, volumes: DataFrame, feet: DataFrame, plane: DataFrame
 
 def staubli(labels: DataFrame, volumes: DataFrame, feet: DataFrame, plane: DataFrame) -> DataFrame:
     """Tibial contact between the anterior (0 %) and posterior (100 %) edge of its slice."""
-    d = _frame(feet, plane)
+    d = frame(feet, plane)
     n = F.sqrt(F.col("qy") * F.col("qy") + F.col("qx") * F.col("qx"))
     s = F.when(F.col("mtx") - F.col("mfx") < 0, -1.0).otherwise(1.0)
     p = d.select(CASE, "sz", "sy", "sx", "mty", "mtx",
