@@ -69,7 +69,8 @@ def agg_shape(spark, sf):
 SELECT case_id, round(quantile_cont(value, 0.005), 6) AS p_low, round(quantile_cont(value, 0.995), 6) AS p_high
 FROM vox GROUP BY 1"""))
 def agg_percentiles(spark, sf):
-    return m.percentiles(study(spark, sf).image()).select(CASE, *r6("p_low", "p_high"))
+    s = study(spark, sf)
+    return m.percentiles(s.image(), volumes=s.volumes).select(CASE, *r6("p_low", "p_high"))
 
 
 @query("agg_mean_std", vox_sql("""

@@ -6,12 +6,18 @@ import pandas as pd
 BLOCK_CELLS = 1 << 18
 
 
+#: Steps that are tried one by one before the lower envelope is built.
+NEAR = 16
+
+
 def spread(f, step):
-    """min over j of f[j] + (step * (i - j))**2 along axis 0.
+    """min over j of f[j] + (step * (i - j))**2 along axis 0; lines without a finite value stay as they are.
 
-    Lines without any finite value stay as they are; the others are finite everywhere once every
-    gap has been reached, so the widening ends with the longest gap rather than the axis.
+    The nearest places are tried first, all lines at once. Lines with values that a farther place may
+    still lower get their lower envelope, so the work per line grows with its length only.
     """
+    if f.ndim > 2:
+        return spread(f.reshape(len(f), -1), step).reshape(f.shape)
     some = np.isfinite(f).any(0)
     if not some.all():
         out = f.copy()
@@ -19,54 +25,96 @@ def spread(f, step):
             out[:, some] = spread(f[:, some], step)
         return out
     out = f.copy()
-    for d in range(1, len(f)):
+    for d in range(1, min(NEAR, len(f) - 1) + 1):
         cost = (step * d) ** 2
-        if cost >= out.max():
-            break
+        if cost >= out.max(initial=0):
+            return out
         np.minimum(out[d:], f[:-d] + cost, out=out[d:])
         np.minimum(out[:-d], f[d:] + cost, out=out[:-d])
+    if len(f) > NEAR + 1:
+        open_lines = np.flatnonzero(out.max(0) > (step * (NEAR + 1)) ** 2)
+        if len(open_lines):
+            out[:, open_lines] = envelope(f[:, open_lines], step)
     return out
 
 
-def plane_distance(pdf: pd.DataFrame) -> pd.DataFrame:
+def envelope(f, step):
+    """The same by lower envelopes of the parabolas over all places, every line with a finite value."""
+    n, lines = f.shape
+    line = np.arange(lines)
+    site, begin = np.zeros((n, lines), np.int64), np.full((n, lines), -np.inf)
+    top = np.full(lines, -1)
+    scaled = f / step ** 2
+    for q in range(n):
+        own = np.flatnonzero(np.isfinite(f[q]))
+        cross = np.full(lines, -np.inf)
+        todo = own[top[own] >= 0]
+        while len(todo):
+            p = site[top[todo], todo]
+            at = (scaled[q, todo] - scaled[p, todo] + q * q - p * p) / (2.0 * (q - p))
+            hidden = at <= begin[top[todo], todo]  # the last parabola is nowhere least
+            cross[todo[~hidden]] = at[~hidden]
+            todo = todo[hidden]
+            top[todo] -= 1
+        top[own] += 1
+        site[top[own], own], begin[top[own], own] = q, cross[own]
+    out, k = np.empty_like(f), np.zeros(lines, np.int64)
+    for q in range(n):
+        while True:
+            on = np.flatnonzero((k < top) & (begin[np.minimum(k + 1, n - 1), line] < q))
+            if not len(on):
+                break
+            k[on] += 1
+        p = site[k, line]
+        out[q] = f[p, line] + (step * (q - p)) ** 2
+    return out
+
+
+def plane_distance(at):
     """Squared in-plane distance to the set voxels of each z plane, one row per (z, y)."""
-    first = pdf.iloc[0]
-    zs, at = np.unique(pdf.z.to_numpy(), return_inverse=True)
-    ny, nx = int(first.ny), int(first.nx)
+    zs, place = np.unique(at["z"], return_inverse=True)
+    ny, nx = int(at["ny"][0]), int(at["nx"][0])
     g = np.full((nx, len(zs), ny), np.inf)
-    g[pdf.x.to_numpy(), at, pdf.y.to_numpy()] = 0.0
-    g = spread(g, first.dx)
-    g = spread(np.ascontiguousarray(g.transpose(2, 1, 0)), first.dy)
+    g[at["x"], place, at["y"]] = 0.0
+    g = spread(g, at["dx"][0])
+    g = spread(np.ascontiguousarray(g.transpose(2, 1, 0)), at["dy"][0])
     rows = np.ascontiguousarray(g.transpose(1, 0, 2)).reshape(-1, nx)
-    return pd.DataFrame({
-        "case_id": np.full(len(rows), first.case_id, dtype=object), "label": int(first.label),
-        "z": np.repeat(zs, ny), "y": np.tile(np.arange(ny, dtype="int32"), len(zs)), "g": list(rows)})
+    return {"z": np.repeat(zs, ny), "y": np.tile(np.arange(ny, dtype="int32"), len(zs)), "g": rows}
 
 
-def column_distance(points: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """Distance of each query point from the per-plane squared distances of its y planes."""
-    out = points[["case_id", "label", "z", "y", "x"]].astype({"case_id": object})
-    out["dist"] = np.nan
-    if not len(points) or not len(rows):
-        return out
-    first = rows.iloc[0]
-    low, high = int(rows.y.min()), int(rows.y.max())
-    g = np.full((int(first.nz), high - low + 1, int(first.nx)), np.inf)
-    g[rows.z.to_numpy(), rows.y.to_numpy() - low] = np.stack(rows.g.to_numpy())
-    d = np.sqrt(spread(g, first.dz))
-    out["dist"] = d[out.z.to_numpy(), out.y.to_numpy() - low, out.x.to_numpy()]
-    return out
+def column_distance(at):
+    """Distance of each query point (``point``) from the per-plane squared distances of its y planes (the other rows)."""
+    point = at["point"]
+    z, y, x = (at[k][point] for k in "zyx")
+    dist = np.full(len(z), np.nan)
+    if len(z) and not point.all():
+        low, high = int(at["y"][~point].min()), int(at["y"][~point].max())
+        g = np.full((int(at["nz"][0]), high - low + 1, int(at["nx"][0])), np.inf)
+        g[at["z"][~point], at["y"][~point] - low] = at["g"].reshape(-1, g.shape[2])
+        dist = np.sqrt(spread(g, at["dz"][0]))[z, y - low, x]
+    return {"z": z, "y": y, "x": x, "dist": dist}
+
 
+def shell(at):
+    """Own voxels of a block with a face neighbour outside the mask; the block comes with its neighbours' edges."""
+    own = at["own"]
+    low = [int(at[k].min()) - 1 for k in "zyx"]
+    a = np.zeros([int(at[k].max()) - l + 2 for k, l in zip("zyx", low)], bool)
+    spot = [at[k] - l for k, l in zip("zyx", low)]
+    a[tuple(spot)] = True
+    z, y, x = (p[own] for p in spot)
+    inner = a[z - 1, y, x] & a[z + 1, y, x] & a[z, y - 1, x] & a[z, y + 1, x] & a[z, y, x - 1] & a[z, y, x + 1]
+    return {k: at[k][own][~inner] for k in "zyx"}
 
-def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def label_block(at):
     """6-connected components inside one block; a component is named by its first voxel."""
-    pdf = pdf.sort_values("lin", ignore_index=True)
-    lin = pdf.lin.to_numpy()
-    ny, nx = int(pdf.ny.iloc[0]), int(pdf.nx.iloc[0])
+    order = np.argsort(at["lin"])
+    lin, z, y, x = (at[k][order] for k in ("lin", "z", "y", "x"))
+    ny, nx = int(at["ny"][0]), int(at["nx"][0])
     a, b = [], []
-    for step, axis in ((1, "x"), (nx, "y"), (ny * nx, "z")):
+    for step, c in ((1, x), (nx, y), (ny * nx, z)):
         j = np.minimum(np.searchsorted(lin, lin + step), len(lin) - 1)
-        c = pdf[axis].to_numpy()
         near = (lin[j] == lin + step) & (c[j] == c + 1)
         a.append(np.nonzero(near)[0])
         b.append(j[near])
@@ -82,8 +130,7 @@ def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
         if np.array_equal(new, root):
             break
         root = new
-    pdf["comp"] = lin[root]
-    return pdf[["case_id", "label", "z", "y", "x", "comp"]]
+    return {"z": z, "y": y, "x": x, "comp": lin[root]}
 
 
 def second_eigen(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,3 +143,44 @@ def second_eigen(pdf: pd.DataFrame) -> pd.DataFrame:
     ev = np.sort(np.linalg.eigvals(q).real)[::-1]
     mcc = float(np.sqrt(max(ev[1], 0.0))) if len(ev) > 1 else 1.0
     return pd.DataFrame({"case_id": [pdf.case_id.iloc[0]], "dir": [pdf.dir.iloc[0]], "mcc": [mcc]})
+
+
+def _mix32(x):
+    """A bijective 32-bit finaliser (two multiply-xorshift steps) on unsigned numbers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+def place_noise(key, axis, places):
+    """Uniform numbers in [-1, 1) for every (z, y, x) of three lists of places, by hashing one after the other."""
+    z, y, x = (np.asarray(p, np.uint32) for p in places)
+    h = _mix32(np.array([key ^ axis], np.uint32))
+    h = _mix32(h ^ z)
+    h = _mix32(h[:, None] ^ y)
+    h = _mix32(h[..., None] ^ x)
+    return h / 2.0 ** 31 - 1.0
+
+
+def gaussian(sigma):
+    """Weights of a Gaussian cut off at 3 sigma, summing to one."""
+    r = max(int(np.ceil(3 * sigma)), 0)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)
+    return w / w.sum()
+
+
+def blurred_noise(key, axis, shape, box, sigma, axes=(0, 1, 2)):
+    """Gaussian blur along ``axes`` of the noise of one axis, on a box of the grid; zero beyond the grid."""
+    w = gaussian(sigma)
+    r = len(w) // 2
+    reach = [(max(lo - r, 0), min(hi + r, n)) if k in axes else (lo, hi) for k, ((lo, hi), n) in enumerate(zip(box, shape))]
+    f = place_noise(key, axis, [np.arange(lo, hi) for lo, hi in reach])
+    for k in axes:
+        (lo, hi), (low, high) = box[k], reach[k]
+        f = np.moveaxis(f, k, 0)
+        f = np.pad(f, [(r - (lo - low), r - (high - hi)), (0, 0), (0, 0)])
+        out = np.zeros((hi - lo, *f.shape[1:]))
+        for t, weight in enumerate(w):
+            out += weight * f[t:t + hi - lo]
+        f = np.moveaxis(out, 0, k)
+    return f

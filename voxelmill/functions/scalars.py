@@ -129,6 +129,12 @@ def trunc_index(c) -> Column:
     return c.cast("int")
 
 
+def status(text: Column) -> Column:
+    """Side of a logit given as text; anything that is no number is an ERROR."""
+    logit = text.try_cast("double")
+    return F.when(logit.isNull(), "ERROR").otherwise(side_from_logit(logit))
+
+
 def vec(z, y, x):
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return (lit(z), lit(y), lit(x))

@@ -82,66 +82,88 @@ def clip_to_grid(df: DataFrame, volumes: DataFrame) -> DataFrame:
     return attach(df, shape, volumes).filter(in_grid()).select(*cols)
 
 
-def exact_quantiles(df: DataFrame, by, value, probs, buckets=4096) -> DataFrame:
+#: Cells per doubling of the magnitude in the first histogram, and equal cells between the ends of one of those.
+PER_OCTAVE, BETWEEN = 64, 4096
+
+
+def _magnitude_cell(v) -> Column:
+    """Number of a cell that grows with the value: by the logarithm of its magnitude, mirrored below zero."""
+    far = 70_000  # beyond every finite logarithm times PER_OCTAVE
+    size = F.least(F.greatest(F.floor(F.log2(F.abs(v)) * PER_OCTAVE), F.lit(-far)), F.lit(far)) + F.lit(far + 1)
+    return F.when(F.isnan(v), 3 * far).when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("int")
+
+
+def _cells(rows, keys, cell):
+    """Histogram with the extremes of each cell; only this is shuffled."""
+    return rows.groupBy(*keys, cell.alias("_c")).agg(F.sum("_n").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+
+
+def _holding(hist, want, keys):
+    """For each wanted rank the cell that holds it: its extremes and the number of values before it."""
+    upto = F.sum("_m").over(W.partitionBy(*keys).orderBy("_c"))
+    found = hist.withColumn("_upto", upto).join(want, keys)
+    before = F.col("_start") + F.col("_upto") - F.col("_m")
+    return found.filter((F.col("_rank") >= before) & (F.col("_rank") < before + F.col("_m"))).withColumn("_start", before)
+
+
+def exact_quantiles(df: DataFrame, by, value, probs, volumes: DataFrame = None) -> DataFrame:
     """Exact linear-interpolated quantiles, long form (by..., prob, q).
 
-    Values are first counted, then located through a histogram of ``buckets`` cells
-    per group, and in the cells holding a wanted rank through another one between the
-    extremes of the cell: a range stretched by few far values still ends in small cells.
-    Only those are ordered. No task ever sees all values of a group.
+    Ranks are selected by histograms, from coarse to fine: cells by magnitude; in those that hold a
+    wanted rank equal cells between their extremes; in those of them the values themselves. A cell of
+    one value settles its ranks at once, and rounds end when all are settled. Only counts are shuffled;
+    what is written after a round is two rows a probability and group. The rows are read once a round.
+    Where the manifest ``volumes`` proves the groups (cases) few, the wanted cells are broadcast to the
+    rows. Without it values are counted first and the cells joined salted. No task ever sees all values
+    of a group.
     """
     by = list(by)
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
     ensure_checkpoint_dir(df.sparkSession)
-    counts = counts.checkpoint()  # read by both histograms
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_tot"))
-    want = (total.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-            .withColumn("_pos", F.col("prob") * (F.col("_tot") - 1))
-            .select(*by, "prob", "_pos", F.floor("_pos").alias("_k0"), F.ceil("_pos").alias("_k1"),
-                    F.lit(0).cast("long").alias("_start")))
-    keys, rows = by, counts
-    for cell in ("_b", "_c"):
-        rows, want, keys = _located(rows, want, keys, cell, buckets)
-    rank_in = F.sum("_n").over(W.partitionBy(*keys).orderBy("_v"))
-    ordered = rows.withColumn("_r", rank_in)
-    found = (ordered.join(want, keys).withColumn("_e", F.col("_start") + F.col("_r"))
-             .groupBy(*by, "prob")
-             .agg(F.min(F.when(F.col("_e") > F.col("_k0"), F.col("_v"))).alias("_q0"),
-                  F.min(F.when(F.col("_e") > F.col("_k1"), F.col("_v"))).alias("_q1"),
-                  F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0")))
-    return found.select(*by, "prob", (F.col("_q0") + (F.col("_q1") - F.col("_q0"))
-                                      * (F.col("_pos") - F.col("_k0"))).alias("q"))
-
-
-def _located(rows, want, keys, cell, buckets):
-    """The rows of the equal-width cells of each group that hold a wanted rank, and the ranks by cell."""
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"),
-                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
-                ).otherwise(F.lit(0)).cast("int")
-    placed = _join_groups(rows, span, keys).withColumn(cell, at).drop("_lo", "_hi")
-    deeper = [*keys, cell]
-    hist = placed.groupBy(*deeper).agg(F.sum("_n").alias("_m"))
-    upto = F.sum("_m").over(W.partitionBy(*keys).orderBy(cell))
-    hist = hist.withColumn("_upto", upto)
-    end, start = F.col("_start") + F.col("_upto"), F.col("_start") + F.col("_upto") - F.col("_m")
-    inside = lambda k: (F.col(k) >= start) & (F.col(k) < end)
-    want = (hist.join(want, keys).filter(inside("_k0") | inside("_k1"))
-            .select(*deeper, "prob", "_pos", "_k0", "_k1", start.alias("_start")))
-    return placed.join(want.select(*deeper).distinct(), deeper, "left_semi"), want, deeper
-
-
-def _join_groups(rows, totals, by):
-    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (rows.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS)))
-            .join(salted, [*by, "_salt"]).drop("_salt"))
-
-
-def wide_quantiles(df, by, value, names_probs) -> DataFrame:
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if volumes is not None and case_count(volumes) <= BROADCAST_CASES:
+        rows = rows.withColumn("_n", F.lit(1).cast("long"))
+    else:
+        volumes = None
+        rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+
+    def inside(open_):
+        """The rows in cells that are not settled, with the extremes of their cell; two cells a probability at most."""
+        cells = open_.groupBy(*by).agg(F.collect_set(F.struct("_low", "_high")).alias("_open"))
+        near = attach(rows, cells, volumes, on=by)
+        return near.select(*by, "_v", "_n", F.inline(F.filter("_open", lambda c: F.col("_v").between(c["_low"], c["_high"]))))
+
+    first = _cells(rows, by, _magnitude_cell(F.col("_v"))).withColumn("_total", F.sum("_m").over(W.partitionBy(*by)))
+    pos = F.col("prob") * (F.col("_total") - 1)
+    upto = F.sum("_m").over(W.partitionBy(*by).orderBy("_c"))
+    ranked = first.withColumn("_upto", upto).select(
+        "*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
+        "*", pos.alias("_pos"), F.posexplode(F.array(F.floor(pos), F.ceil(pos))).alias("_end", "_rank"))
+    start = F.col("_upto") - F.col("_m")
+    keep = [*by, "prob", "_pos", "_end", "_rank"]
+    found = ranked.filter((F.col("_rank") >= start) & (F.col("_rank") < F.col("_upto"))).select(
+        *keep, "_low", "_high", start.alias("_start")).checkpoint()
+    one = F.col("_low") == F.col("_high")
+    settled = found.filter(one).select(*keep, F.col("_low").alias("_q"))
+    for last in (False, True):
+        left = found.filter(~one)
+        if left.isEmpty():
+            break
+        # the cells left open are keys of the next round
+        names, key = {"_low": "_l", "_high": "_h"}, [*by, "_l", "_h"]
+        near, left = inside(left).withColumnsRenamed(names), left.withColumnsRenamed(names)
+        at = F.col("_v") if last else F.floor((F.col("_v") - F.col("_l")) / (F.col("_h") - F.col("_l")) * BETWEEN)
+        found = _holding(_cells(near, key, at), left, key).select(*keep, "_low", "_high", "_start").checkpoint()
+        settled = settled.unionByName(found.filter(one).select(*keep, F.col("_low").alias("_q")))
+    ends = settled.groupBy(*by, "prob").agg(F.first("_pos").alias("_pos"), *[
+        F.max(F.when(F.col("_end") == e, F.col("_q"))).alias(f"_q{e}") for e in (0, 1)])
+    return ends.select(*by, "prob", (F.col("_q0") + (F.col("_q1") - F.col("_q0"))
+                                     * (F.col("_pos") - F.floor("_pos"))).alias("q"))
+
+
+def wide_quantiles(df, by, value, names_probs, volumes: DataFrame = None) -> DataFrame:
     """One row per group with a column per quantile."""
     probs = [p for _, p in names_probs]
-    long = exact_quantiles(df, by, value, probs)
+    long = exact_quantiles(df, by, value, probs, volumes)
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == float(p), F.col("q"))).alias(n)
                                    for n, p in names_probs])
 

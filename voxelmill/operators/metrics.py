@@ -110,8 +110,9 @@ def volume_shapes(vox) -> DataFrame:
     return vox.groupBy(CASE).agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
 
 
-def percentiles(vox, names_probs=(("p_low", 0.005), ("p_high", 0.995)), where=None) -> DataFrame:
-    return wide_quantiles(vox if where is None else vox.filter(where), [CASE], "value", names_probs)
+def percentiles(vox, names_probs=(("p_low", 0.005), ("p_high", 0.995)), where=None, volumes=None) -> DataFrame:
+    """A column per percentile and case; ``volumes`` proves how many cases there are (see exact_quantiles)."""
+    return wide_quantiles(vox if where is None else vox.filter(where), [CASE], "value", names_probs, volumes)
 
 
 def mean_std(vox) -> DataFrame:

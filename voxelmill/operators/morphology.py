@@ -6,8 +6,8 @@ Masks are sparse (case_id, label, z, y, x); every operator works per (case, labe
 from pyspark.sql import DataFrame, functions as F
 
 from voxelmill.functions import arrays
-from voxelmill.model import (CASE, VOXEL, attach, clip_to_grid, ensure_checkpoint_dir,
-                             expand_offsets, python_partitions)
+from voxelmill.functions.grouped import map_groups
+from voxelmill.model import CASE, VOXEL, attach, clip_to_grid, ensure_checkpoint_dir, expand_offsets
 
 KEYS = [CASE, "label", "z", "y", "x"]
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -74,13 +74,28 @@ def close3(mask: DataFrame, volumes: DataFrame) -> DataFrame:
     return d
 
 
+#: Planes and rows of a block whose surface is taken at once.
+SHELL = {"z": 16, "y": 64}
+
+
 def surface(mask: DataFrame) -> DataFrame:
-    """Voxels with at least one face neighbour outside the mask."""
-    own = mask.select(*KEYS).withColumn("_own", F.lit(1))
-    around = expand_offsets(mask.select(*KEYS), FACES).withColumn("_own", F.lit(0))
-    return (own.unionByName(around).groupBy(*KEYS)
-            .agg(F.sum("_own").alias("_own"), F.count("*").alias("_n"))
-            .filter("_own = 1 and _n < 7").drop("_own", "_n"))
+    """Voxels with at least one face neighbour outside the mask.
+
+    Blocks of planes and rows are judged on their own, with the voxels next to them in the
+    neighbouring blocks: a voxel is sent once, and once more for each block face it lies at.
+    """
+    d = mask.select(*KEYS)
+    here = [F.floor(F.col(a) / n).cast("int").alias(f"b{a}") for a, n in SHELL.items()]
+    step = lambda a: F.when(F.col(a) % SHELL[a] == 0, -1).when(F.col(a) % SHELL[a] == SHELL[a] - 1, 1)
+    places = [F.struct(F.lit(0).alias("z"), F.lit(0).alias("y"), F.lit(True).alias("own"))]
+    for a in SHELL:
+        beside = [F.coalesce(step(a), F.lit(0)).alias(a) if k == a else F.lit(0).alias(k) for k in SHELL]
+        places.append(F.when(step(a).isNotNull(), F.struct(*beside, F.lit(False).alias("own"))))
+    sent = d.select("*", *here, F.explode(F.array_compact(F.array(*places))).alias("to")).select(
+        *KEYS, F.col("to.own").alias("own"), *[(F.col(f"b{a}") + F.col(f"to.{a}")).alias(f"b{a}") for a in SHELL])
+    out = map_groups(sent, [CASE, "label", "bz", "by"], arrays.shell,
+                     f"{CASE} string, label int, z int, y int, x int")
+    return out.select(*KEYS)
 
 
 # --- components ---------------------------------------------------------------
@@ -95,9 +110,8 @@ def components(mask: DataFrame, volumes: DataFrame, block=16) -> DataFrame:
     lin = ((F.col("z").cast("long") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x"))
     d = (attach(mask.select(*KEYS), volumes.select(CASE, "ny", "nx"), volumes)
          .withColumn("lin", lin).withColumn("zb", F.floor(F.col("z") / block)))
-    local = python_partitions(d, CASE, "label", "zb").groupBy(CASE, "label", "zb").applyInPandas(
-        arrays.label_block,
-        f"{CASE} string, label int, z int, y int, x int, comp long").checkpoint()
+    local = map_groups(d, [CASE, "label", "zb"], arrays.label_block,
+                       f"{CASE} string, label int, z int, y int, x int, comp long").checkpoint()
     low = local.filter(F.col("z") % block == block - 1).select(
         CASE, "label", (F.col("z") + 1).alias("z"), "y", "x", F.col("comp").alias("a"))
     high = local.filter(F.col("z") % block == 0).select(*KEYS, F.col("comp").alias("b"))
@@ -177,12 +191,13 @@ def nearest_distance(a: DataFrame, b: DataFrame, volumes: DataFrame, spacing=Tru
         f"cast({axis} div greatest(1, {arrays.BLOCK_CELLS} div ({cells})) as int)")
     bz = attach(b.select(*KEYS), grid, volumes).withColumn("blk", group("z", "ny * nx"))
     keys = (CASE, "label", "blk")
-    rows = python_partitions(bz, *keys).groupBy(*keys).applyInPandas(
-        arrays.plane_distance, f"{CASE} string, label int, z int, y int, g array<double>")
+    rows = map_groups(bz, keys, arrays.plane_distance, f"{CASE} string, label int, z int, y int, g array<double>")
     side = grid.select(CASE, "nz", "nx", "dz")
-    rows = attach(rows, side, volumes).withColumn("blk", group("y", "nz * nx"))
-    points = attach(a.select(*KEYS), side, volumes).withColumn("blk", group("y", "nz * nx"))
-    points, rows = (python_partitions(d, *keys).groupBy(*keys) for d in (points, rows))
-    out = points.cogroup(rows).applyInPandas(
-        arrays.column_distance, f"{CASE} string, label int, z int, y int, x int, dist double")
+    far = attach(rows, side, volumes).select(CASE, "label", "z", "y", F.lit(0).alias("x"), "nz", "nx", "dz", "g",
+                                             F.lit(False).alias("point"), group("y", "nz * nx").alias("blk"))
+    near = attach(a.select(*KEYS), side, volumes).select(
+        CASE, "label", "z", "y", "x", "nz", "nx", "dz", F.array().cast("array<double>").alias("g"),
+        F.lit(True).alias("point"), group("y", "nz * nx").alias("blk"))
+    out = map_groups(near.unionByName(far), keys, arrays.column_distance,
+                     f"{CASE} string, label int, z int, y int, x int, dist double")
     return out.withColumn("dist", F.when(~F.isnan("dist"), F.col("dist")))

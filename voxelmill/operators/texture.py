@@ -25,7 +25,7 @@ def discretise(roi: DataFrame, volumes: DataFrame, width=BIN_WIDTH) -> DataFrame
 def firstorder(levels: DataFrame, volumes: DataFrame) -> DataFrame:
     """18 first-order features of voxels (value, g)."""
     v = F.col("value")
-    q = wide_quantiles(levels, [CASE], "value", (("p10", .1), ("p25", .25), ("p50", .5), ("p75", .75), ("p90", .9)))
+    q = wide_quantiles(levels, [CASE], "value", (("p10", .1), ("p25", .25), ("p50", .5), ("p75", .75), ("p90", .9)), volumes)
     known = attach(levels, q, volumes)
     inside = (v >= F.col("p10")) & (v <= F.col("p90"))
     base = known.groupBy(CASE).agg(
