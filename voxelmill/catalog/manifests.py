@@ -346,10 +346,7 @@ def fn_vec(spark, sf):
 SELECT c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN 'ERROR' WHEN c_acctbal > 0 THEN 'Right' ELSE 'Left' END AS status FROM customer""")
 def fn_status(spark, sf):
     text = F.when(F.col("c_custkey") % 13 == 0, "broken").otherwise(F.col("c_acctbal").cast("string"))
-    side = fn.side_from_logit(text.try_cast("double"))
-    return table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("k"),
-        F.when(text.try_cast("double").isNull(), "ERROR").otherwise(side).alias("status"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), fn.status(text).alias("status"))
 
 
 # --- joins ------------------------------------------------------------------------

@@ -396,6 +396,19 @@ def geo_paste2(spark, sf):
     return g.paste2(s.labels().filter("y < 15 and x < 15"), s.volumes, 15)
 
 
+@query("geo_paste2_resize", vox_sql("""SELECT l.case_id, z, y + (ny - 15) // 2 AS y, x + (nx - 15) // 2 AS x, label FROM labels l JOIN volumes v ON l.case_id = v.case_id
+WHERE y < 15 AND x < 15 AND nx >= 15 AND ny >= 15
+UNION ALL SELECT l.case_id, l.z, p.y, p.x, label FROM (
+  SELECT case_id, y, x, CAST(round_even(least(greatest((y + 0.5::DOUBLE) * 15 / ny - 0.5::DOUBLE, 0), 14), 0) AS INTEGER) AS sy,
+    CAST(round_even(least(greatest((x + 0.5::DOUBLE) * 15 / nx - 0.5::DOUBLE, 0), 14), 0) AS INTEGER) AS sx
+  FROM volumes, (SELECT CAST(range AS INTEGER) AS y FROM range(21)), (SELECT CAST(range AS INTEGER) AS x FROM range(16)) WHERE y < ny AND x < nx AND (nx < 15 OR ny < 15)) p
+JOIN labels l ON l.case_id = p.case_id AND l.y = sy AND l.x = sx"""))
+def geo_paste2_resize(spark, sf):
+    """Squares of 15 back on their planes, resized where a plane is smaller."""
+    s = study(spark, sf)
+    return g.paste2(s.labels().filter("y < 15 and x < 15"), s.volumes, 15, fit="resize")
+
+
 TILES = """ax AS (SELECT case_id, a, least(i * st, last) AS s0 FROM (
   SELECT case_id, 'z' AS a, greatest(nz - 8, 0) AS last, 4 AS st FROM volumes UNION ALL SELECT case_id, 'y', greatest(ny - 8, 0), 4 FROM volumes
   UNION ALL SELECT case_id, 'x', greatest(nx - 16, 0), 8 FROM volumes), (SELECT CAST(range AS INTEGER) AS i FROM range(9)) WHERE (i - 1) * st < last OR i = 0 GROUP BY ALL),
@@ -450,6 +463,11 @@ _intensity("int_gamma", lambda v, vol: it.gamma(v, vol, g=0.8), "mm AS (SELECT c
 _intensity("int_brightness", lambda v, vol: it.brightness(v, 0.0625),
            "out AS (SELECT case_id, z, y, x, value + CAST(0.0625 AS DOUBLE) AS value FROM vox)")
 
+_intensity("int_gamma_range", lambda v, vol: it.gamma(v, vol, g=1.4, normalised=True), "mm AS (SELECT case_id, min(value) AS lo, max(value) - min(value) AS r FROM vox GROUP BY 1)",
+           "out AS (SELECT v.case_id, z, y, x, pow((value - lo) / (r + CAST(1e-7 AS DOUBLE)), CAST(1.4 AS DOUBLE)) * r + lo AS value FROM vox v JOIN mm ON v.case_id = mm.case_id)")
+_intensity("int_brightness_contrast", lambda v, vol: it.brightness_contrast(v, 1.125, -0.0625),
+           "out AS (SELECT case_id, z, y, x, value * CAST(1.125 AS DOUBLE) - CAST(0.0625 AS DOUBLE) AS value FROM vox)")
+
 COEF = [0.3 + 0.01 * i for i in range(20)]
 _poly = " + ".join(f"CAST({c:.2f} AS DOUBLE)" + "".join(f" * t{a}" * n for a, n in zip("zyx", p))
                    for c, p in zip(COEF, it.bias_powers()))

@@ -123,13 +123,42 @@ def center_crop2(vox: DataFrame, volumes: DataFrame, size, value="value") -> Dat
     return kept.select(*VOXEL, value).unionByName(zeros.select(*VOXEL, F.lit(0.0).alias(value)))
 
 
-def paste2(pred: DataFrame, volumes: DataFrame, size) -> DataFrame:
-    """Sparse square prediction back at ((ny - s)//2, (nx - s)//2); where the square is
-    larger than the plane that plane stays empty."""
+def paste2(pred: DataFrame, volumes: DataFrame, size, fit="empty") -> DataFrame:
+    """Sparse square prediction back at ((ny - s)//2, (nx - s)//2).
+
+    Planes that are smaller than the square on a side stay empty, or with ``fit="resize"`` take the
+    whole square resized to the plane: cell centres aligned, labels from the nearest place (ties to
+    the even one), other values linearly.
+    """
     cols = pred.columns
-    d = attach(pred, volumes.select(CASE, "ny", "nx").filter(f"ny >= {size} and nx >= {size}"), volumes)
+    holds = f"ny >= {size} and nx >= {size}"
+    d = attach(pred, volumes.select(CASE, "ny", "nx").filter(holds), volumes)
     for a in "yx":
         d = d.withColumn(a, F.col(a) + F.floor((F.col(f"n{a}") - size) / 2).cast("int"))
+    pasted = d.select(*cols)
+    if fit != "resize":
+        return pasted
+    small = volumes.filter(f"not ({holds})").select(CASE, *[F.col(n).alias("m" + n[1]) for n in SHAPE])
+    pts = target_grid(small).withColumn("fz", F.col("z").cast("double"))
+    for a in "yx":
+        at = (F.col(a) + 0.5) * float(size) / F.col(f"m{a}") - 0.5
+        pts = pts.withColumn(f"f{a}", F.least(F.greatest(at, F.lit(0.0)), F.lit(size - 1.0)))
+    # the few cases with small planes are told by their manifest rows, so the square is read once more at most
+    inside = pred.join(small.select(CASE), CASE, "left_semi")
+    return pasted.unionByName((sample_nearest(pts, inside) if "label" in cols else sample_linear(pts, inside)).select(*cols))
+
+
+def random_crop2(vox: DataFrame, volumes: DataFrame, size, seed=42) -> DataFrame:
+    """Per z plane a size x size window at a place drawn by a seeded hash; a side that is too short is
+    padded with zeros first, p//2 before and the rest after. Only stored voxels are kept: the padding is empty."""
+    d = attach(vox, volumes.select(CASE, "ny", "nx"), volumes)
+    cols = vox.columns
+    for i, a in enumerate("yx"):
+        pad = F.greatest(F.lit(size) - F.col(f"n{a}"), F.lit(0))
+        room = F.greatest(F.col(f"n{a}") - size, F.lit(0)) + 1
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(i), CASE, "z"), F.lit(1_000_003)) / 1_000_003.0
+        start = F.floor(u * room).cast("int") - F.floor(pad / 2).cast("int")
+        d = d.withColumn(a, F.col(a) - start).filter((F.col(a) >= 0) & (F.col(a) < size))
     return d.select(*cols)
 
 
@@ -275,25 +304,32 @@ def rotate(vox: DataFrame, volumes: DataFrame, degrees, mask=False) -> DataFrame
 
 
 def affine_points(volumes: DataFrame, params: DataFrame) -> DataFrame:
-    """Source positions for a rotation rz, ry, rx (degrees) and shift tz, ty, tx per case."""
-    d = _same_grid(volumes.join(params, CASE), ("rz", "ry", "rx", "tz", "ty", "tx"))
+    """Source positions for a rotation rz, ry, rx (degrees), shift tz, ty, tx and, if given, a scale per case.
+
+    A scale above 1 enlarges about the centre."""
+    scaled = ["scale"] if "scale" in params.columns else []
+    d = _same_grid(volumes.join(params, CASE), ("rz", "ry", "rx", "tz", "ty", "tx", *scaled))
     c = {a: (F.col(f"n{a}") - 1) / 2.0 for a in AXES}
     p = {a: F.col(a) - c[a] - F.col(f"t{a}") for a in AXES}
     for axis, (u, v) in (("z", ("y", "x")), ("y", ("z", "x")), ("x", ("z", "y"))):
         t = F.radians(f"r{axis}")
         p[u], p[v] = F.cos(t) * p[u] + F.sin(t) * p[v], F.cos(t) * p[v] - F.sin(t) * p[u]
     for a in AXES:
-        d = d.withColumn(f"f{a}", p[a] + c[a])
+        d = d.withColumn(f"f{a}", (p[a] / F.col("scale") if scaled else p[a]) + c[a])
     return d
 
 
-def random_affine(volumes: DataFrame, seed=42, p=0.5, max_deg=15.0, max_shift=5.0) -> DataFrame:
-    """Per-case parameters from the seeded hash of the case id; zeros for unchosen cases."""
+def random_affine(volumes: DataFrame, seed=42, p=0.5, max_deg=15.0, max_shift=5.0, max_scale=0.0) -> DataFrame:
+    """Per-case parameters from the seeded hash of the case id; zeros (scale 1) for unchosen cases.
+
+    With ``max_scale`` there is a scale of 1 - max_scale to 1 + max_scale."""
     def u(i):
         return F.pmod(F.xxhash64(F.lit(seed), F.lit(i), CASE), F.lit(1_000_003)) / 1_000_003.0
     use = u(0) < p
     cols = [F.when(use, (2 * u(i) - 1) * (max_deg if n[0] == "r" else max_shift)).otherwise(0.0).alias(n)
             for i, n in enumerate(("rz", "ry", "rx", "tz", "ty", "tx"), 1)]
+    if max_scale:
+        cols.append(F.when(use, 1.0 + (2 * u(7) - 1) * max_scale).otherwise(1.0).alias("scale"))
     return volumes.select(CASE, *cols)
 
 

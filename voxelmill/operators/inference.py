@@ -4,19 +4,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.model import CASE, python_partitions
+from voxelmill.model import CASE, attach, python_partitions
 from voxelmill.operators.geometry import stitch, tile_voxels
 
 
 def predict_tiles(vox: DataFrame, volumes: DataFrame, roi, predictor, overlap=0.5) -> DataFrame:
     """Tile logits (case_id, z, y, x, cls, logit) of any callable array -> array of classes.
 
-    One group is one tile, so its size is the window, not the volume."""
+    One group is one tile, so its size is the window, not the volume. A volume that is smaller than
+    the window lies in its middle: half of the zeros (rounded down) before it, the rest behind."""
     roi = tuple(roi)
 
     def run(pdf):
         first = pdf.iloc[0]
-        at = tuple((pdf[a] - first[f"{a}0"]).to_numpy() for a in "zyx")
+        at = tuple((pdf[a] - first[f"{a}0"] + first[f"{a}pad"]).to_numpy() for a in "zyx")
         patch = np.zeros(roi)
         patch[at] = pdf.value.to_numpy()
         scores = np.asarray(predictor(patch))
@@ -27,7 +28,8 @@ def predict_tiles(vox: DataFrame, volumes: DataFrame, roi, predictor, overlap=0.
             for k, s in enumerate(scores)], ignore_index=True).astype({"case_id": object})
 
     key = [CASE, "z0", "y0", "x0"]
-    t = tile_voxels(vox, volumes, roi, overlap)
+    pads = [F.expr(f"cast(greatest({r} - n{a}, 0) div 2 as int)").alias(f"{a}pad") for a, r in zip("zyx", roi)]
+    t = attach(tile_voxels(vox, volumes, roi, overlap), volumes.select(CASE, *pads), volumes)
     return python_partitions(t, *key).groupBy(*key).applyInPandas(
         run, f"{CASE} string, z int, y int, x int, cls int, logit double")
 

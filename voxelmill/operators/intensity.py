@@ -18,7 +18,7 @@ def pct_scale(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
     """Percentile band to 0..1, clipped (public MONAI rule; an empty band only shifts)."""
     lo, hi = F.col("p_low"), F.col("p_high")
     scaled = F.when(hi > lo, clip((F.col("value") - lo) / (hi - lo), 0.0, 1.0)).otherwise(F.col("value") - lo)
-    return _with(vox, percentiles(vox, band), volumes, scaled)
+    return _with(vox, percentiles(vox, band, volumes=volumes), volumes, scaled)
 
 
 def nonzero_zscore(vox: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def nonzero_zscore(vox: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def clipped(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
-    return _with(vox, percentiles(vox, band), volumes, clip(F.col("value"), F.col("p_low"), F.col("p_high")))
+    return _with(vox, percentiles(vox, band, volumes=volumes), volumes, clip(F.col("value"), F.col("p_low"), F.col("p_high")))
 
 
 def clip_zscore(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
@@ -49,7 +49,7 @@ def guarded_zscore(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
 def pct_minmax(vox: DataFrame, volumes: DataFrame, band=BAND) -> DataFrame:
     lo, hi = F.col("p_low"), F.col("p_high")
     scaled = F.when(hi - lo < 1e-8, 0.0).otherwise((clip(F.col("value"), lo, hi) - lo) / (hi - lo))
-    return _with(vox, percentiles(vox, band), volumes, scaled)
+    return _with(vox, percentiles(vox, band, volumes=volumes), volumes, scaled)
 
 
 def minmax(vox: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def hist_landmarks(ref: DataFrame, where=None) -> DataFrame:
 def hist_match(vox: DataFrame, landmarks: DataFrame, volumes: DataFrame, only=None) -> DataFrame:
     """Piecewise linear map of each case's percentiles to the landmarks (one row); the end
     segments extrapolate. Percentiles use all voxels of ``vox``; ``only`` maps a subset."""
-    q = wide_quantiles(vox, [CASE], "value", [(f"p{p}", p / 100.0) for p in MAPPED])
+    q = wide_quantiles(vox, [CASE], "value", [(f"p{p}", p / 100.0) for p in MAPPED], volumes)
     # an aggregate is one row even of an empty table, so a wrong number of landmarks is seen
     names = [f"l{p}" for p in MAPPED]
     one = landmarks.agg(F.count("*").alias("_n"), *[F.first(n).alias(n) for n in names])
@@ -100,18 +100,28 @@ def uniform(seed, slot, *keys):
     return F.pmod(F.xxhash64(F.lit(int(seed)), F.lit(int(slot)), *keys), F.lit(1 << 30)) / float(1 << 30)
 
 
-def add_noise(vox, p=0.2, sd=0.1, seed=42) -> DataFrame:
-    """Gaussian noise in a share p of the cases (Box-Muller on voxel hashes)."""
+def add_noise(vox, p=0.2, sd=0.1, seed=42, variance=None) -> DataFrame:
+    """Gaussian noise in a share p of the cases (Box-Muller on voxel hashes).
+
+    With ``variance`` (low, high) each case draws its own variance between the two instead of ``sd``."""
+    if variance is not None:
+        sd = F.sqrt(variance[0] + (variance[1] - variance[0]) * uniform(seed, 3, CASE))
     u1 = 1.0 - uniform(seed, 1, *VOXEL)
     g = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * uniform(seed, 2, *VOXEL))
     return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, F.col("value") + sd * g).otherwise(F.col("value")))
 
 
-def gamma(vox: DataFrame, volumes: DataFrame, g=None, seed=42, p=1.0, span=(0.7, 1.3)) -> DataFrame:
-    """(v - min + 1e-5) ** g + min; g drawn per case unless given."""
-    low = vox.groupBy(CASE).agg(F.min("value").alias("lo"))
+def gamma(vox: DataFrame, volumes: DataFrame, g=None, seed=42, p=1.0, span=(0.7, 1.3), normalised=False) -> DataFrame:
+    """(v - min + 1e-5) ** g + min; g drawn per case unless given.
+
+    ``normalised`` takes the power of the share of the range instead: ((v - min) / (range + 1e-7)) ** g
+    * range + min, so the ends stay where they are (the library form, span 0.5 to 1.5)."""
+    low = vox.groupBy(CASE).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     power = F.lit(float(g)) if g is not None else span[0] + (span[1] - span[0]) * uniform(seed, 1, CASE)
     v = F.pow(F.col("value") - F.col("lo") + 1e-5, power) + F.col("lo")
+    if normalised:
+        span_of = F.col("hi") - F.col("lo")
+        v = F.pow((F.col("value") - F.col("lo")) / (span_of + 1e-7), power) * span_of + F.col("lo")
     return _with(vox, low, volumes, v if p >= 1 else F.when(uniform(seed, 0, CASE) < p, v).otherwise(F.col("value")))
 
 
@@ -122,6 +132,18 @@ def brightness(vox, shift=None, seed=42, p=0.9, span=0.1) -> DataFrame:
     return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, F.col("value") + s).otherwise(F.col("value")))
 
 
+def brightness_contrast(vox, contrast=None, shift=None, seed=42, p=0.2, limits=(0.2, 0.2), unit=1.0) -> DataFrame:
+    """value * contrast + shift * unit: contrast 1 +- limits[0] and shift +- limits[1] drawn per case unless given.
+
+    ``unit`` is the largest value of the scale, 1 for real-valued images."""
+    drawn = lambda slot, limit: (2.0 * uniform(seed, slot, CASE) - 1.0) * limit
+    factor = F.lit(float(contrast)) if contrast is not None else 1.0 + drawn(1, limits[0])
+    offset = F.lit(float(shift)) if shift is not None else drawn(2, limits[1])
+    v = F.col("value") * factor + offset * unit
+    fixed = contrast is not None and shift is not None
+    return vox.withColumn("value", v if fixed else F.when(uniform(seed, 0, CASE) < p, v).otherwise(F.col("value")))
+
+
 def mult_noise(vox, seed=42, p=0.2, span=(0.9, 1.1)) -> DataFrame:
     m = span[0] + (span[1] - span[0]) * uniform(seed, 1, CASE)
     return vox.withColumn("value", F.when(uniform(seed, 0, CASE) < p, F.col("value") * m).otherwise(F.col("value")))
