@@ -247,3 +247,18 @@ def test_surface_over_block_faces(spark):
             inner &= p[tuple(cut)]
     got = {(r["z"], r["y"], r["x"]) for r in surface(mask_df(spark, [a])).collect()}
     assert got == {tuple(map(int, q)) for q in np.argwhere(a & ~inner)}
+
+
+@pytest.mark.parametrize("block, rows", [(4, 5), (16, 64), (3, 100)])
+def test_one_component_over_blocks_of_both_axes(spark, block, rows):
+    from voxelmill.operators.morphology import components
+    nz, ny, nx = 13, 17, 3
+    snake = np.zeros((nz, ny, nx), bool)
+    for z in range(0, nz, 2):  # a line to and fro through all planes, and one voxel apart from it
+        snake[z, :, 0] = True
+        if z + 1 < nz:
+            snake[z + 1, ny - 1 if z % 4 == 0 else 0, 0] = True
+    snake[6, 8, 2] = True
+    got = components(mask_df(spark, [snake]), volumes(spark, 1, (nz, ny, nx)), block, rows).collect()
+    assert len(got) == snake.sum()
+    assert {r["comp"] for r in got} == {0, (6 * ny + 8) * nx + 2} and sum(r["comp"] == 0 for r in got) == snake.sum() - 1

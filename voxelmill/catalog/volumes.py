@@ -263,7 +263,7 @@ def agg_component_sizes(spark, sf):
     return component_sizes(mo.components(mo.close3(s.preds(), s.volumes), s.volumes))
 
 
-BEST = """best AS (SELECT case_id, label, comp, size FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY size DESC, comp) AS rn
+BEST = """best AS MATERIALIZED (SELECT case_id, label, comp, size FROM (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY size DESC, comp) AS rn
   FROM (SELECT case_id, label, comp, count(*) AS size FROM comps GROUP BY 1, 2, 3)) WHERE rn = 1)"""
 
 
@@ -283,7 +283,7 @@ def morph_clean(spark, sf):
 @query("morph_clean_binary", vox_ctes("thin AS (SELECT case_id, 1 AS label, z, y, x FROM preds)", BOX27,
        CLOSED.replace("FROM preds p", "FROM thin p"), COMPS, BEST, select="""
 SELECT c.case_id, z, y, x, 1 AS label FROM comps c JOIN best b ON c.case_id = b.case_id AND c.comp = b.comp
-UNION ALL SELECT case_id, z, y, x, 1 FROM thin WHERE case_id NOT IN (SELECT case_id FROM closed)"""))
+UNION ALL SELECT case_id, z, y, x, 1 FROM thin WHERE case_id NOT IN (SELECT case_id FROM best)"""))
 def morph_clean_binary(spark, sf):
     s = study(spark, sf)
     return mo.clean_binary(s.preds(), s.volumes).select(*VOXEL, "label")

@@ -100,26 +100,30 @@ def surface(mask: DataFrame) -> DataFrame:
 
 # --- components ---------------------------------------------------------------
 
-def components(mask: DataFrame, volumes: DataFrame, block=16) -> DataFrame:
+def components(mask: DataFrame, volumes: DataFrame, block=16, rows=64) -> DataFrame:
     """6-connected components per case and class, named by the smallest linear index.
 
-    Blocks of ``block`` z planes are labelled on their own; only the pairs of block
-    components that touch across a block face are merged iteratively.
+    Blocks of ``block`` z planes and ``rows`` lines are labelled on their own; only the pairs of block
+    components that touch across a block face are merged iteratively. Their names are joined back
+    salted: one component may hold most voxels.
     """
     ensure_checkpoint_dir(mask.sparkSession)
     lin = ((F.col("z").cast("long") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x"))
-    d = (attach(mask.select(*KEYS), volumes.select(CASE, "ny", "nx"), volumes)
-         .withColumn("lin", lin).withColumn("zb", F.floor(F.col("z") / block)))
-    local = map_groups(d, [CASE, "label", "zb"], arrays.label_block,
-                       f"{CASE} string, label int, z int, y int, x int, comp long").checkpoint()
-    low = local.filter(F.col("z") % block == block - 1).select(
-        CASE, "label", (F.col("z") + 1).alias("z"), "y", "x", F.col("comp").alias("a"))
-    high = local.filter(F.col("z") % block == 0).select(*KEYS, F.col("comp").alias("b"))
-    edges = low.join(high, KEYS).select(CASE, "label", "a", "b").distinct()
+    size = {"z": block, "y": rows}
+    d = (attach(mask.select(*KEYS), volumes.select(CASE, "ny", "nx"), volumes).withColumn("lin", lin)
+         .withColumns({f"b{a}": F.floor(F.col(a) / n) for a, n in size.items()}))
+    local = map_groups(d, [CASE, "label", "bz", "by"], arrays.label_block,
+                       f"{CASE} string, label int, z int, y int, x int, comp long").select(*KEYS, "comp").checkpoint()
+    edges = None
+    for a, n in size.items():
+        low = local.filter(F.col(a) % n == n - 1).withColumn(a, F.col(a) + 1).withColumnRenamed("comp", "a")
+        high = local.filter(F.col(a) % n == 0).withColumnRenamed("comp", "b")
+        touching = low.join(high, KEYS).select(CASE, "label", "a", "b").distinct()
+        edges = touching if edges is None else edges.unionByName(touching)
     roots = merge_labels(edges)
     if roots is None:
         return local
-    return (local.join(roots, [CASE, "label", "comp"], "left")
+    return (attach(local, roots, how="left", on=(CASE, "label", "comp"))
             .select(*KEYS, F.coalesce("root", "comp").alias("comp")))
 
 
