@@ -15,7 +15,7 @@ from voxelmill.model import CASE, VOXEL, attach
 from voxelmill.operators import geometry as g, inference, intensity as it, manifests as mf, sampling as sm
 from voxelmill.plans.validate import validate_pairs, validation_summary
 from voxelmill.session import ensure_checkpoint_dir
-from voxelmill.sources import volumes as src
+from voxelmill.sources import slabs, volumes as src
 
 
 def scratch(spark, name):
@@ -65,8 +65,8 @@ def agg_validate_summary(spark, sf):
 
 # --- files ------------------------------------------------------------------------------------
 
-def volume_files(s, folder, broken=False):
-    """Writes the study as NIfTI files, one a case, and returns the folder.
+def volume_files(s, folder, broken=False, plain=False):
+    """Writes the study as NIfTI files, one a case, and returns the folder; ``plain`` ones are not compressed.
 
     A file holds a whole case, so one task packs it; a stored study does not need this fixture.
     """
@@ -75,7 +75,11 @@ def volume_files(s, folder, broken=False):
         import numpy as np
         a = np.zeros((int(f.nz), int(f.ny), int(f.nx)))
         a[pdf.z, pdf.y, pdf.x] = pdf.value
-        return pd.DataFrame({"path": [f"{f.case_id}.nii.gz"], "content": [encode(a, (f.sz, f.sy, f.sx))]})
+        content = encode(a, (f.sz, f.sy, f.sx))
+        if plain:
+            import gzip
+            return pd.DataFrame({"path": [f"{f.case_id}.nii"], "content": [gzip.decompress(content)]})
+        return pd.DataFrame({"path": [f"{f.case_id}.nii.gz"], "content": [content]})
     v = attach(s.voxels(), s.volumes.select(CASE, "nz", "ny", "nx", "sz", "sy", "sx"), s.volumes)
     files = v.groupBy(CASE).applyInPandas(pack, "path string, content binary")
     if broken:
@@ -106,6 +110,20 @@ def src_tolerant(spark, sf):
     return d.groupBy(CASE).agg(F.bool_or(F.col("error").isNotNull()).alias("failed"))
 
 
+@query("src_volume_slabs", vox_sql(sum_sql("vox")))
+def src_volume_slabs(spark, sf):
+    """Plain files, entered at ranges of a few slabs."""
+    folder = volume_files(study(spark, sf), scratch(spark, "slabs"), plain=True)
+    return voxel_sum(slabs.explode_slabs(slabs.read_slabs(spark, folder, range_bytes=8192)))
+
+
+@query("src_packed_slabs", vox_sql(sum_sql("(SELECT * FROM vox WHERE x >= 3 AND x < 9)")))
+def src_packed_slabs(spark, sf):
+    """Some slabs of compressed files."""
+    folder = volume_files(study(spark, sf), scratch(spark, "slabs"))
+    return voxel_sum(slabs.explode_slabs(slabs.read_slabs(spark, folder, frames=(0,), xs=(3, 9))))
+
+
 CUST = "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS weight FROM customer"
 
 
