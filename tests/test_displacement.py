@@ -262,3 +262,35 @@ def test_one_component_over_blocks_of_both_axes(spark, block, rows):
     got = components(mask_df(spark, [snake]), volumes(spark, 1, (nz, ny, nx)), block, rows).collect()
     assert len(got) == snake.sum()
     assert {r["comp"] for r in got} == {0, (6 * ny + 8) * nx + 2} and sum(r["comp"] == 0 for r in got) == snake.sum() - 1
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_dilation_over_block_faces(spark, n):
+    from voxelmill.operators.morphology import dilate
+    rng = np.random.default_rng(6)
+    shape = (34, 67, 6)
+    a = rng.random(shape) < 0.002
+    a[15, 63, 0] = a[0, 0, 5] = a[33, 66, 5] = True
+    want = a
+    for _ in range(n):
+        p = np.pad(want, 1)
+        want = p[1:-1, 1:-1, 1:-1] | p[:-2, 1:-1, 1:-1] | p[2:, 1:-1, 1:-1] | p[1:-1, :-2, 1:-1] | p[1:-1, 2:, 1:-1] | p[1:-1, 1:-1, :-2] | p[1:-1, 1:-1, 2:]
+    got = [(r["z"], r["y"], r["x"]) for r in dilate(mask_df(spark, [a]), volumes(spark, 1, shape), n).collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(map(int, q)) for q in np.argwhere(want)}
+
+
+def test_points_anywhere_are_interpolated(spark):
+    rng = np.random.default_rng(8)
+    image = rng.random((4, 5, 6))
+    f = np.vstack([rng.uniform(-3, 8, (200, 3)), np.argwhere(np.ones((4, 5, 6))), [[-1, -1, -1], [3.5, 4.5, 5.5], [-0.5, 2, 2], [99, -99, 1]]]).astype(float)
+    rows = [("c0", 0, 0, i, *map(float, p)) for i, p in enumerate(f)]
+    pts = spark.createDataFrame(rows, "case_id string, z int, y int, x int, fz double, fy double, fx double")
+    got = {r["x"]: r["value"] for r in g.sample_linear(pts, image_df(spark, [image])).collect()}
+    padded = np.pad(image, 120)
+    for i, p in enumerate(f):
+        low = np.floor(p).astype(int)
+        w = p - low
+        want = sum(padded[tuple(low + k + 120)] * np.prod(np.where(k, w, 1 - w)) for k in np.ndindex(2, 2, 2) for k in [np.array(k)])
+        assert np.isclose(got[i], want, atol=1e-12), p
+    assert len(got) == len(f)
+    assert g.sample_linear(pts, image_df(spark, [image]).limit(0)).agg(F.sum("value")).first()[0] == 0.0

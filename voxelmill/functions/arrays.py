@@ -95,6 +95,58 @@ def column_distance(at):
     return {"z": z, "y": y, "x": x, "dist": dist}
 
 
+def interpolate(at):
+    """Trilinear values at the points (``point``) between two planes of voxels (the other rows)."""
+    point = at["point"]
+    z, y, x = (at[k][point] for k in "zyx")
+    if point.all():
+        return {"z": z, "y": y, "x": x, "value": np.zeros(len(z))}
+    have = ~point
+    vz, vy, vx = (at[k][have] for k in "zyx")
+    fz, fy, fx = (at[f"f{k}"][point] for k in "zyx")
+    low = np.floor(fz[0]) if len(z) else vz.min()  # the same for all points of a group
+    # a rim of zeros on every side, where all places beyond the voxels are read
+    grid = np.zeros((2, vy.max() + 3, vx.max() + 3))
+    near = (vz == low) | (vz == low + 1)
+    grid[(vz[near] - low).astype(int), vy[near] + 1, vx[near] + 1] = at["value"][have][near]
+    total = np.zeros(len(z))
+    spot = [np.floor(f) for f in (fy, fx)]
+    part = [fz - low, fy - spot[0], fx - spot[1]]
+    inside = [np.clip(s + 1, 0, n - 2).astype(int) for s, n in zip(spot, grid.shape[1:])]
+    beyond = [(s < -1) | (s > n - 3) for s, n in zip(spot, grid.shape[1:])]
+    for a in (0, 1):
+        for b in (0, 1):
+            for c in (0, 1):
+                weight = np.ones(len(z))
+                for share, k in zip(part, (a, b, c)):
+                    weight = weight * (share if k else 1.0 - share)
+                total += weight * grid[a, inside[0] + b, inside[1] + c]
+    total[beyond[0] | beyond[1]] = 0.0
+    return {"z": z, "y": y, "x": x, "value": total}
+
+
+def grown(at, n, size):
+    """Cells of a block within ``n`` face steps of the mask; the block comes with the voxels as far around it."""
+    block = [int(at[f"b{k}"][0]) * size[k] for k in "zy"]
+    low = [block[0] - n, block[1] - n, int(at["x"].min()) - n]
+    shape = [size["z"] + 2 * n, size["y"] + 2 * n, int(at["x"].max()) + n + 1 - low[2]]
+    a = np.zeros([s + 2 for s in shape], bool)
+    a[tuple(at[k] - l + 1 for k, l in zip("zyx", low))] = True
+    for _ in range(n):
+        b = a.copy()
+        for axis in range(3):
+            for here, there in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+                cut, other = [slice(None)] * 3, [slice(None)] * 3
+                cut[axis], other[axis] = here, there
+                b[tuple(cut)] |= a[tuple(other)]
+        a = b
+    inner = a[1 + n:1 + n + size["z"], 1 + n:1 + n + size["y"], 1:-1]
+    z, y, x = np.nonzero(inner)
+    z, y, x = z + block[0], y + block[1], x + low[2]
+    ok = (z < at["nz"][0]) & (y < at["ny"][0]) & (x >= 0) & (x < at["nx"][0])
+    return {k: v[ok] for k, v in zip("zyx", (z, y, x))}
+
+
 def shell(at):
     """Own voxels of a block with a face neighbour outside the mask; the block comes with its neighbours' edges."""
     own = at["own"]

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from voxelmill.functions import arrays
+from voxelmill.functions.grouped import map_groups
 from voxelmill.model import AXES, CASE, VOXEL, attach
 
 SHAPE = ["nz", "ny", "nx"]
@@ -239,21 +241,17 @@ def target_grid(shapes: DataFrame) -> DataFrame:
 
 
 def sample_linear(points: DataFrame, vox: DataFrame) -> DataFrame:
-    """Trilinear value at (fz, fy, fx) for each point; voxels outside the grid count 0."""
-    d = points.select(*VOXEL, "fz", "fy", "fx")
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
-                        for a in (0, 1) for b in (0, 1) for c in (0, 1)])
-    d = d.withColumn("k", F.explode(corners))
-    w = F.lit(1.0)
-    for a, k in zip(AXES, "abc"):
-        low = F.floor(f"f{a}")
-        frac = F.col(f"f{a}") - low
-        w = w * F.when(F.col(f"k.{k}") == 1, frac).otherwise(1.0 - frac)
-        d = d.withColumn(f"s{a}", (low + F.col(f"k.{k}")).cast("int"))
-    d = d.withColumn("w", w).filter("w > 0")
-    src = vox.select(CASE, *[F.col(a).alias(f"s{a}") for a in AXES], "value")
-    return (d.join(src, [CASE, "sz", "sy", "sx"], "left").groupBy(*VOXEL)
-            .agg(F.coalesce(F.sum(F.col("w") * F.col("value")), F.lit(0.0)).alias("value")))
+    """Trilinear value at (fz, fy, fx) for each point; voxels outside the grid count 0.
+
+    A point is sent once, to the plane below it, a voxel to its own plane and the one before; two
+    planes are interpolated at a time.
+    """
+    at = points.select(*VOXEL, "fz", "fy", "fx", F.lit(None).cast("double").alias("value"), F.floor("fz").cast("int").alias("plane"))
+    zero = [F.lit(0.0).alias(f"f{a}") for a in AXES]
+    src = vox.select(*VOXEL, *zero, F.col("value").cast("double").alias("value"), F.explode(F.array(F.col("z") - 1, F.col("z"))).alias("plane"))
+    both = at.withColumn("point", F.lit(True)).unionByName(src.withColumn("point", F.lit(False)))
+    return map_groups(both, [CASE, "plane"], arrays.interpolate, f"{CASE} string, z int, y int, x int, value double").select(
+        *VOXEL, "value")
 
 
 def sample_nearest(points: DataFrame, labels: DataFrame) -> DataFrame:
