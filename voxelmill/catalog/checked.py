@@ -259,6 +259,20 @@ def geo_random_crop2_checked(spark, sf):
     return d.select(CASE, "z", "n", (fits(0, "y") & fits(1, "x")).alias("holds"))
 
 
+@query("win_tail_split_first2_rows", "SELECT 'c' || c_custkey AS path, true AS holds FROM customer")
+def win_tail_split_first2_rows(spark, sf):
+    """Every path has one split: val for the two first of the seeded order, train for the rest."""
+    from voxelmill.operators import manifests as mf
+    paths = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"))
+    drawn = F.xxhash64(F.lit(42), "path")
+    # the second least number of the order is one row
+    second = paths.select(drawn.alias("h")).orderBy("h").limit(2).agg(F.max("h").alias("second"))
+    got = mf.holdout(paths, "first2").groupBy("path").agg(F.count("*").alias("n"), F.max("split").alias("split"))
+    both = got.join(F.broadcast(second))
+    want = F.when(drawn <= F.col("second"), "val").otherwise("train")
+    return both.select("path", ((F.col("n") == 1) & (F.col("split") == want)).alias("holds"))
+
+
 # --- the whole record against its parts ------------------------------------------------------------------
 
 _RENAMED = {"knee_acl_volume": {"volume_mm3": "acl_volume_mm3"}}

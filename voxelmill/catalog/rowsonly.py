@@ -161,6 +161,17 @@ def snk_split(spark, sf):
         F.broadcast(b.agg(F.count("*").alias("n_map"))))
 
 
+@query("snk_split_rows", META_SQL + "SELECT k, sex, 'p' || k AS path, true AS same FROM metas")
+def snk_split_rows(spark, sf):
+    """Every row is read back once from both tables, under one split."""
+    path = scratch(spark, "split")
+    d = mf.stratified_split(meta(spark, sf), "sex", "k").withColumn("path", F.concat(F.lit("p"), F.col("k").cast("string")))
+    src.write_splits(d, path, ["k", "sex"], ["k", "path"])
+    a, b = (spark.read.parquet(f"{path}/{n}") for n in ("metadata", "mapping"))
+    both = a.withColumnRenamed("split", "one").join(b.withColumnRenamed("split", "other"), "k", "full")
+    return both.select("k", "sex", "path", (F.col("one") == F.col("other")).alias("same"))
+
+
 @query("snk_masks", vox_sql("SELECT * FROM labels"))
 def snk_masks(spark, sf):
     s = study(spark, sf)
