@@ -1,4 +1,4 @@
-"""Training-data operators: ten text and vector operators and their registered queries.
+"""Training-data operators: thirteen text and vector operators and their registered queries.
 
 Nothing outside this subpackage imports it. Each module holds one operator with a general
 interface; ``queries`` applies them to the given tables.

@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxelmill.llm.common import record_batch, text_batches, without
+from voxelmill.llm.common import record_batch, shared_path, text_batches, without
+from voxelmill.llm.hash_tables import find, load, save, segments, shard_of
 from voxelmill.llm.text import NOT_BLANK, mix, text_buffer, words
 
 # Letters that a digit or sign is used for.
@@ -26,23 +27,27 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou",
 }
 SEPARATORS = "._-~'`^/\\"
-#: Costs in natural-log units.
+#: Costs in natural-log units: a letter for a sign, a sign or a repeated letter left out, and in long or
+#: spaced runs the blank or separator between two letters left out, or kept as the end of a word.
 SWAP, DROP, REPEAT = 1.0, 0.5, 0.7
+JOIN, PART = 0.2, 3.0
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDGE, OTHER, SYMBOLS = 26, 27, 28
-#: Longer runs without blanks are no words and stay as they are.
+#: Bytes of a run without blanks that is read as one word; a longer one may hold several.
 LONGEST = 64
 #: Single letters in a row that are read as one spaced word.
 SPACED = 4
 #: Lengths in bytes of the word beginnings that are evidence besides whole words.
 PREFIXES = (4, 5, 6, 7)
-#: Evidence kept: the strongest FEATURES found in at least MIN_DOCS documents; labelled rows for the logistic model.
-FEATURES, MIN_DOCS, FIT_ROWS = 4_096, 8, 20_000
+#: Evidence is every word with more than these log odds whose rate of toxic documents lies above the average by
+#: a bound of SURE standard deviations (Wilson's), however rare or many they are; labelled rows for the logistic model.
+LEAST_ODDS, SURE, FIT_ROWS = 0.7, 4.0, 20_000
 #: Pseudo-documents of average toxicity added to the counts of each word.
 PRIOR = 10
 #: Labelled rows that may be broadcast; beyond it the join shuffles.
 BROADCAST_LABELS = 2_000_000
 
+_BLANKS = b" \t\n\v\f\r"
 _BYTES = np.arange(256)
 _LETTER = ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _HARD = np.isin(_BYTES, list(b"0123456789@$|+*#%"))
@@ -122,6 +127,48 @@ def decode(word, lm):
     return min((cost + lm[a, b, EDGE], text) for (a, b), (cost, text) in states.items())[1]
 
 
+def decode_run(run, lm):
+    """The words of least cost in a long run without blanks, or in letters parted by blanks.
+
+    As ``decode``, but blanks and separators may also end a word, so bounds of words are restored. Two
+    blanks in a row always do. Of each path only its last letter and the path before are kept, so
+    memory and time grow with the length of the run and no more. Ties go to the path found first.
+    """
+    states = {(EDGE, EDGE): (0.0, None)}
+    before = ""
+    for i, c in enumerate(run):
+        blank = c.isspace()
+        if blank and before.isspace():
+            options = [(" ", 0.0)]
+        elif blank and run[i + 1:i + 2].isspace():
+            options = [(" ", 0.0)]
+        elif blank or c in SEPARATORS:
+            options = [(None, JOIN), (" ", PART)]
+        else:
+            options = lattice(before + c)[-1] if before and not before.isspace() else lattice(c)[0]
+        after = {}
+        for (a, b), (cost, path) in states.items():
+            for letter, channel in options:
+                if letter is None:
+                    key, total, grown = (a, b), cost + channel, path
+                elif letter == " ":
+                    inside = b != EDGE
+                    key, total = (EDGE, EDGE), cost + channel + (lm[a, b, EDGE] if inside else 0.0)
+                    grown = (path, letter) if inside else path
+                else:
+                    k = ord(letter) - 97 if letter in LETTERS else OTHER
+                    key, total, grown = (b, k), cost + channel + lm[a, b, k], (path, letter)
+                if key not in after or total < after[key][0]:
+                    after[key] = (total, grown)
+        states, before = after, c
+    path = min(((cost + (lm[a, b, EDGE] if b != EDGE else 0.0), a, b) for (a, b), (cost, _) in states.items()))
+    path, out = states[path[1], path[2]][1], []
+    while path is not None:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out)).strip()
+
+
 def _disguised(w):
     """Words with a sign or digit where a letter should be, or with a letter three times in a row."""
     buf, n = w.buffer, len(w.buffer)
@@ -138,8 +185,7 @@ def _disguised(w):
         two = next_to[1:] & next_to[:-1]
         spot[1:-1] |= two & letter[:-2] & soft[1:-1] & letter[2:]
         spot[1:-1] |= two & letter[1:-1] & (buf[1:-1] < 128) & (buf[:-2] == buf[1:-1]) & (buf[2:] == buf[1:-1])
-    found = np.unique(owner[spot])
-    return found[(w.end - w.start)[found] <= LONGEST]
+    return np.unique(owner[spot])
 
 
 def _spaced(w):
@@ -156,10 +202,16 @@ def _spaced(w):
 
 
 @lru_cache(maxsize=200_000)
-def _restored(word, lm):
+def _word_restored(word, lm):
     return decode(word.decode(errors="replace"), lm.cost).encode()
 
 
+def _restored(run, lm):
+    if len(run) > LONGEST or any(b in run for b in _BLANKS):
+        return decode_run(run.decode(errors="replace"), lm.cost).encode()
+    return _word_restored(run, lm)
+
+
 class LanguageModel:
     """A character model that can key the cache of restored words."""
 
@@ -175,8 +227,7 @@ def restore(texts: pa.Array, lm: LanguageModel) -> pa.Array:
     edits = [(a, b, data[a:b]) for a, b in zip(*(x[_disguised(w)].tolist() for x in (w.start, w.end)))]
     for x, y in _spaced(w):
         a, b = int(w.start[x]), int(w.end[y - 1])
-        if b - a <= 4 * LONGEST:
-            edits.append((a, b, b"".join(data[a:b].split())))
+        edits.append((a, b, data[a:b]))
     out, at = [], 0
     edits.sort()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -217,25 +268,30 @@ def evidence(texts: pa.Array):
 @dataclass
 class Model:
     lm: LanguageModel
-    features: np.ndarray
-    odds: np.ndarray
+    folder: str
+    shards: int
     weights: np.ndarray
 
+    def odds(self, value):
+        """Log odds of sorted distinct fingerprints; 0 for those that are no evidence."""
+        out = np.zeros(len(value))
+        for s, a, b in segments(shard_of(value, self.shards)):
+            table = load(self.folder, f"odds-{s}")
+            if table:
+                at, there = find(table, value[a:b])
+                out[a:b] = np.where(there, table["odds"][at], 0.0)
+        return out
+
     def strength(self, restored):
         """Per restored text: strongest log odds, sum of the positive log odds (logarithm), any evidence."""
         n = len(restored)
         value, doc = evidence(restored)
-        out = np.zeros((n, 3))
-        if len(self.features):
-            i = np.minimum(np.searchsorted(self.features, value), len(self.features) - 1)
-            hit = self.features[i] == value
-            doc, odds = doc[hit], self.odds[i[hit]]
-            top = np.full(n, -np.inf)
-            np.maximum.at(top, doc, odds)
-            total = np.bincount(doc, np.maximum(odds, 0), n)
-            some = np.isfinite(top)
-            out = np.stack([np.where(some, top, 0), np.log1p(total), some.astype(float)], 1)
-        return out
+        known, place = np.unique(value, return_inverse=True)
+        odds = self.odds(known)[place]
+        doc, odds = doc[odds > 0], odds[odds > 0]
+        top = np.zeros(n)
+        np.maximum.at(top, doc, odds)
+        return np.stack([top, np.log1p(np.bincount(doc, odds, n)), (top > 0).astype(float)], 1)
 
     def score(self, restored):
         x = self.strength(restored)
@@ -253,6 +309,28 @@ def logistic(x, y, ridge=1e-2, steps=30):
     return w
 
 
+def _save_odds(best: DataFrame, folder, shards):
+    """Fingerprints and log odds as sorted arrays in the shared folder, one file a shard."""
+    def deal(batches):
+        for b in batches:
+            yield record_batch(shard=pa.array(shard_of(b.column("f").to_numpy().view(np.uint64), shards), pa.int32()),
+                               f=b.column("f"), odds=b.column("odds"))
+
+    def write(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            shard, key, odds = (t.column(c).to_numpy() for c in ("shard", "f", "odds"))
+            key = key.view(np.uint64)
+            order = np.argsort(key)
+            shard, key, odds = shard[order], key[order], odds[order]
+            for s, a, b in segments(shard):
+                save(folder, f"odds-{s}", key=key[a:b], odds=odds[a:b])
+        yield record_batch(n=pa.array([sum(b.num_rows for b in held)], pa.int64()))
+    dealt = best.mapInArrow(deal, "shard int, f long, odds double").repartition(shards, "shard")
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def fit(docs: DataFrame, labelled: DataFrame, calibration: DataFrame, text="text", toxic="toxic") -> Model:
     """Learns from three tables: all texts (character model), labelled texts, further labelled texts.
 
@@ -282,11 +360,13 @@ def fit(docs: DataFrame, labelled: DataFrame, calibration: DataFrame, text="text
     counted = rows.mapInArrow(count, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     rate = (F.col("t") + PRIOR * base) / (F.col("n") + PRIOR)
     odds = F.log(rate / (1 - rate)) - float(np.log(base / (1 - base)))
-    best = (counted.filter(F.col("n") >= MIN_DOCS).withColumn("odds", odds).filter("odds > 0.7")
-            .orderBy(F.desc("odds"), "f").limit(FEATURES).select("f", "odds").toPandas())
-    features = best["f"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(features)
-    model = Model(lm, features[order], best["odds"].to_numpy(float)[order], np.array([np.log(base / (1 - base)), 0, 0, 0]))
+    share, half = F.col("t") / F.col("n"), SURE ** 2 / (2 * F.col("n"))
+    least = (share + half - SURE * F.sqrt(share * (1 - share) / F.col("n") + half ** 2 / SURE ** 2)) / (1 + 2 * half)
+    best = counted.select("f", odds.alias("odds"), least.alias("least")).filter(
+        (F.col("odds") > LEAST_ODDS) & (F.col("least") > base)).select("f", "odds")
+    model = Model(lm, shared_path(spark, "evidence"), int(spark.conf.get("spark.sql.shuffle.partitions")),
+                  np.array([np.log(base / (1 - base)), 0, 0, 0]))
+    _save_odds(best, model.folder, model.shards)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
