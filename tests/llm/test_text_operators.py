@@ -301,6 +301,62 @@ def test_restoring_and_scoring(spark):
     assert all(0 <= r[0] <= 1 for r in scores)
 
 
+def test_long_and_spaced_runs_are_restored(spark):
+    from voxelmill.llm import toxicity as X
+    docs = documents(spark, random_texts(300, 12, 8) + ["you scoundrel you villain"] * 60)
+    lm = X.LanguageModel(X.language_model([tuple(r) for r in X.trigram_counts(docs).collect()]))
+    words = "scoundrel villain theta omega".split() * 110
+    restore = lambda t: X.restore(pa.array([t]), lm)[0].as_py()
+    spaced = "   ".join(" ".join(w) for w in words)
+    assert len(spaced) > 4_000 and restore(spaced) == " ".join(words)
+    assert restore("xi " + "_".join(w.replace("o", "0").replace("l", "1") for w in words) + " mu") == f"xi {' '.join(words)} mu"
+    # without any wider gap the letters are all kept, parted where the language says so
+    assert restore(" ".join("villain" * 40)).replace(" ", "") == "villain" * 40
+    # plain letters of any length pass unchanged
+    assert restore("theta " + "ab" * 3_000) == "theta " + "ab" * 3_000
+
+
+def test_run_decoding_is_cheapest_path():
+    from itertools import product
+
+    from voxelmill.llm import toxicity as X
+    lm = X.language_model([(i, (i * 7919) % 50) for i in range(X.SYMBOLS ** 3)])
+
+    def cost_of(text):
+        total = 0.0
+        for word in text.split():
+            code = [X.EDGE, X.EDGE, *(ord(c) - 97 for c in word), X.EDGE]
+            total += sum(lm[a, b, k] for a, b, k in zip(code, code[1:], code[2:]))
+        return total
+    for run in ("a b c", "a_b-c", "t 0 p  x", "a1_b b"):
+        options, before = [], ""
+        for i, c in enumerate(run):
+            if c == " " and (before == " " or run[i + 1:i + 2] == " "):
+                options.append([(" ", 0.0)])
+            elif c == " " or c in X.SEPARATORS:
+                options.append([(None, X.JOIN), (" ", X.PART)])
+            else:
+                options.append(X.lattice(before + c)[-1] if before.strip() else X.lattice(c)[0])
+            before = c
+        best = min((sum(c for _, c in path) + cost_of("".join(x for x, _ in path if x)), "".join(x for x, _ in path if x))
+                   for path in product(*options))
+        got = X.decode_run(run, lm)
+        assert got.split() == best[1].split(), run
+
+
+def test_rare_evidence_counts(spark):
+    """A word of three toxic documents is evidence, however many stronger ones there are."""
+    from voxelmill.llm import toxicity as X
+    clean, strong = random_texts(1_500, 12, 8), [f"word{k}" for k in range(30)]
+    toxic = [f"{t} {w}" for k, w in enumerate(strong) for t in random_texts(4, 8, k)] + [f"{t} rarely" for t in random_texts(3, 8, 55)]
+    docs = documents(spark, clean + toxic)
+    labelled = docs.withColumn("toxic", (F.col("doc_id") >= len(clean)).cast("int"))
+    model = X.fit(docs, labelled, labelled)
+    texts = ["pi rho rarely", "pi rho sigma", "pi word7 rho", "pi rho once"]
+    s = [r["score"] for r in X.predict(documents(spark, texts), model).orderBy("doc_id").collect()]
+    assert s[0] > 5 * s[1] and s[2] > 5 * s[1] and s[3] == s[1]
+
+
 def test_viterbi_is_cheapest_path():
     from itertools import product
 
