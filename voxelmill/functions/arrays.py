@@ -95,6 +95,18 @@ def column_distance(at):
     return {"z": z, "y": y, "x": x, "dist": dist}
 
 
+def stacked(at):
+    """Own voxels of a block with the values of the planes before and behind; NaN where there is none."""
+    own = at["own"]
+    low = [int(at[k].min()) for k in "zyx"]
+    a = np.full([int(at[k].max()) - l + 1 for k, l in zip("zyx", low)], np.nan)
+    spot = [at[k] - l for k, l in zip("zyx", low)]
+    a[tuple(spot)] = at["value"]
+    a = np.pad(a, [(1, 1), (0, 0), (0, 0)], constant_values=np.nan)
+    z, y, x = (p[own] for p in spot)
+    return {**{k: at[k][own] for k in "zyx"}, "prev": a[z, y, x], "cur": a[z + 1, y, x], "next": a[z + 2, y, x]}
+
+
 def interpolate(at):
     """Trilinear values at the points (``point``) between two planes of voxels (the other rows)."""
     point = at["point"]

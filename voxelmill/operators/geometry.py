@@ -1,6 +1,6 @@
 """Index geometry: mirror, crop, pad, tiles, patches and resampling."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelmill.functions import arrays
 from voxelmill.functions.grouped import map_groups
@@ -166,11 +166,26 @@ def random_crop2(vox: DataFrame, volumes: DataFrame, size, seed=42) -> DataFrame
 
 # --- stacks, tiles and patches ------------------------------------------------------
 
+#: Planes and rows of a block whose slices are stacked at once.
+STACK = {"z": 16, "y": 64}
+
+
 def stack_slices(vox: DataFrame, volumes: DataFrame, edge="repeat") -> DataFrame:
-    """Values of planes z-1, z, z+1. "repeat" copies the edge plane, "drop" leaves it out."""
-    line = W.partitionBy(CASE, "y", "x").orderBy("z")  # one value a plane
-    near = lambda f, step: F.when(f("z").over(line) == F.col("z") + step, f("value").over(line))
-    d = vox.select(*VOXEL, near(F.lag, -1).alias("prev"), F.col("value").alias("cur"), near(F.lead, 1).alias("next"))
+    """Values of planes z-1, z, z+1. "repeat" copies the edge plane, "drop" leaves it out.
+
+    Blocks of planes and rows are stacked on their own; only their first and last planes are sent
+    to the block beside as well.
+    """
+    n = STACK["z"]
+    block = F.floor(F.col("z") / n).cast("int")
+    beside = F.when(F.col("z") % n == 0, block - 1).when(F.col("z") % n == n - 1, block + 1)
+    d = vox.select(*VOXEL, F.col("value").cast("double").alias("value"), block.alias("own"),
+                   F.explode(F.array_compact(F.array(block, beside))).alias("bz"),
+                   F.floor(F.col("y") / STACK["y"]).cast("int").alias("by"))
+    d = d.withColumn("own", F.col("own") == F.col("bz"))
+    d = map_groups(d, [CASE, "bz", "by"], arrays.stacked, f"{CASE} string, z int, y int, x int, prev double, cur double, next double")
+    # a plane that is not there is NaN in numpy
+    d = d.select(*VOXEL, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("prev", "cur", "next")])
     if edge == "drop":
         return d.filter("prev is not null and next is not null")
     return d.withColumn("prev", F.coalesce("prev", "cur")).withColumn("next", F.coalesce("next", "cur"))
