@@ -90,9 +90,11 @@ def grid_displacement(volumes: DataFrame, steps: DataFrame) -> DataFrame:
 
     A side of n voxels has cells of n div (number of stretches - 1) voxels, one at least. Within a cell
     places are spread evenly from its mapped beginning to its mapped end, both included; a cell cut off
-    by the edge ends at the edge. Planes without a row are not displaced.
+    by the edge ends at the edge. Planes without a row are not displaced. Planes are spread over the
+    tasks before their voxels are made.
     """
     d = steps.select(CASE, "z", "ysteps", "xsteps").join(volumes.select(CASE, "ny", "nx"), CASE)
+    d = python_partitions(d, CASE, "z")
     for a in "yx":
         d = d.withColumn(f"{a}step", F.greatest(F.lit(1), F.expr(f"cast(n{a} div (size({a}steps) - 1) as int)")))
     # nodes are generated columns: computed once a plane, not once a voxel

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelmill.functions import arrays
 from voxelmill.functions.grouped import map_groups
-from voxelmill.model import AXES, CASE, VOXEL, attach
+from voxelmill.model import AXES, CASE, VOXEL, attach, python_partitions
 
 SHAPE = ["nz", "ny", "nx"]
 
@@ -249,8 +249,11 @@ def extract_patches(vox: DataFrame, patches: DataFrame) -> DataFrame:
 # --- resampling -------------------------------------------------------------------------
 
 def target_grid(shapes: DataFrame) -> DataFrame:
-    """Every voxel of shapes(case_id, mz, my, mx): planes are spread before the fan-out."""
-    d = shapes.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("mz") - 1))).repartition(CASE, "z")
+    """Every voxel of shapes(case_id, mz, my, mx): planes are spread before the fan-out.
+
+    Their partitions are a fixed count: by the size of the planes, before their voxels are made, they
+    would be merged into a few tasks."""
+    d = python_partitions(shapes.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("mz") - 1))), CASE, "z")
     return (d.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("my") - 1)))
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mx") - 1))))
 
@@ -270,10 +273,13 @@ def sample_linear(points: DataFrame, vox: DataFrame) -> DataFrame:
 
 
 def sample_nearest(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """Label at the nearest voxel; only points that hit a foreground voxel remain."""
+    """Label at the nearest voxel; only points that hit a foreground voxel remain.
+
+    Points are made from a few rows a case, by whose size they would be taken for small and broadcast,
+    so the join is told to move both sides."""
     d = points.select(*VOXEL, *[F.bround(f"f{a}", 0).cast("int").alias(f"s{a}") for a in AXES])
     src = labels.select(CASE, *[F.col(a).alias(f"s{a}") for a in AXES], "label")
-    return d.join(src, [CASE, "sz", "sy", "sx"]).select(*VOXEL, "label")
+    return d.join(src.hint("merge"), [CASE, "sz", "sy", "sx"]).select(*VOXEL, "label")
 
 
 def resize(vox: DataFrame, volumes: DataFrame, size) -> DataFrame:
@@ -321,12 +327,15 @@ def affine_points(volumes: DataFrame, params: DataFrame) -> DataFrame:
 
     A scale above 1 enlarges about the centre."""
     scaled = ["scale"] if "scale" in params.columns else []
-    d = _same_grid(volumes.join(params, CASE), ("rz", "ry", "rx", "tz", "ty", "tx", *scaled))
+    # the turns are worked out once a case, not once a voxel
+    turns = [f(F.radians(f"r{a}")).alias(f"{n}{a}") for a in AXES for n, f in (("cos_", F.cos), ("sin_", F.sin))]
+    params = params.select(CASE, *turns, "tz", "ty", "tx", *scaled)
+    d = _same_grid(volumes.join(params, CASE), [c for c in params.columns if c != CASE])
     c = {a: (F.col(f"n{a}") - 1) / 2.0 for a in AXES}
     p = {a: F.col(a) - c[a] - F.col(f"t{a}") for a in AXES}
     for axis, (u, v) in (("z", ("y", "x")), ("y", ("z", "x")), ("x", ("z", "y"))):
-        t = F.radians(f"r{axis}")
-        p[u], p[v] = F.cos(t) * p[u] + F.sin(t) * p[v], F.cos(t) * p[v] - F.sin(t) * p[u]
+        cos, sin = F.col(f"cos_{axis}"), F.col(f"sin_{axis}")
+        p[u], p[v] = cos * p[u] + sin * p[v], cos * p[v] - sin * p[u]
     for a in AXES:
         d = d.withColumn(f"f{a}", (p[a] / F.col("scale") if scaled else p[a]) + c[a])
     return d
@@ -347,8 +356,10 @@ def random_affine(volumes: DataFrame, seed=42, p=0.5, max_deg=15.0, max_shift=5.
 
 
 def warp(vox: DataFrame, volumes: DataFrame, displacement: DataFrame, mask=False) -> DataFrame:
-    """Value at voxel + displacement(case_id, z, y, x, dz, dy, dx); missing entries are 0."""
-    d = _same_grid(volumes).join(displacement, VOXEL, "left")
+    """Value at voxel + displacement(case_id, z, y, x, dz, dy, dx); missing entries are 0.
+
+    Both sides of the join are made from a few rows a case and must not be taken for small."""
+    d = _same_grid(volumes).join(displacement.hint("merge"), VOXEL, "left")
     for a in AXES:
         d = d.withColumn(f"f{a}", F.col(a) + F.coalesce(f"d{a}", F.lit(0.0)))
     return sample_nearest(d, vox) if mask else sample_linear(d, vox)
@@ -375,15 +386,20 @@ def resample_nearest(mask: DataFrame, source: DataFrame, reference: DataFrame) -
     """
     from voxelmill.functions.scalars import cross, dot
     ref = reference.select(CASE, *[F.col(n).alias("m" + n[1]) for n in SHAPE], F.col("affine").alias("ra"))
-    d = target_grid(ref.join(source.select(CASE, F.col("affine").alias("sa")), CASE))
+    both = ref.join(source.select(CASE, F.col("affine").alias("sa")), CASE)
     rc, sc = _affine("ra"), _affine("sa")
-    idx = (F.col("z"), F.col("y"), F.col("x"))
-    world = tuple(rc[0][r] * idx[0] + rc[1][r] * idx[1] + rc[2][r] * idx[2] + rc[3][r] - sc[3][r]
-                  for r in range(3))
-    det = dot(sc[0], cross(sc[1], sc[2]))
     inverse = (cross(sc[1], sc[2]), cross(sc[2], sc[0]), cross(sc[0], sc[1]))
-    for a, row in zip(AXES, inverse):
-        d = d.withColumn(f"f{a}", dot(row, world) / det)
+    # what is the same for all voxels of a case is worked out before they are made
+    fixed = {"det": dot(sc[0], cross(sc[1], sc[2]))}
+    for r in range(3):
+        fixed |= {f"move{r}": rc[3][r], f"from{r}": sc[3][r]}
+        for c in range(3):
+            fixed |= {f"step{c}{r}": rc[c][r], f"inv{c}{r}": inverse[c][r]}
+    d = target_grid(both.select(CASE, "mz", "my", "mx", *[v.alias(k) for k, v in fixed.items()]))
+    world = tuple(F.col(f"step0{r}") * F.col("z") + F.col(f"step1{r}") * F.col("y") + F.col(f"step2{r}") * F.col("x")
+                  + F.col(f"move{r}") - F.col(f"from{r}") for r in range(3))
+    for i, a in enumerate(AXES):
+        d = d.withColumn(f"f{a}", dot(tuple(F.col(f"inv{i}{r}") for r in range(3)), world) / F.col("det"))
     return sample_nearest(d, mask)
 
 
