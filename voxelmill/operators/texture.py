@@ -7,6 +7,7 @@ Formulas follow the public IBSI / PyRadiomics documentation. Matrices are small
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxelmill.functions import arrays
+from voxelmill.functions.grouped import map_groups
 from voxelmill.model import AXES, CASE, VOXEL, attach, wide_quantiles
 
 BIN_WIDTH = 25.0
@@ -116,7 +117,8 @@ Idmn Id Idn InverseVariance MaximumProbability SumAverage SumEntropy SumSquares"
 
 def glcm_mcc(matrix: DataFrame) -> DataFrame:
     """Maximal correlation coefficient: second eigenvalue of each small matrix, mean over directions."""
-    per = matrix.groupBy(CASE, "dir").applyInPandas(arrays.second_eigen, f"{CASE} string, dir int, mcc double")
+    per = map_groups(matrix.select(CASE, "dir", "g1", "g2", "p"), [CASE, "dir"], arrays.second_eigen,
+                     f"{CASE} string, dir int, mcc double")
     return per.groupBy(CASE).agg(F.avg("mcc").alias("MCC"))
 
 
