@@ -124,15 +124,17 @@ def find_sidecar(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     else the default name.
 
     Contains-matching becomes an equi join: the substrings of a sidecar name that are as
-    long as some base name of the directory are its keys.
+    long as some base name of the directory, and begin like one, are its keys. Beginnings are
+    two characters, so their list is bounded by the alphabet, and other substrings are not shuffled.
     """
     base = F.replace("name", fn.extension(F.col("name")), F.lit(""))
     f = files.select("dir", "name", base.alias("base"))
-    lens = f.select("dir", F.length("base").alias("_len")).distinct()
+    lens = f.groupBy("dir", F.length("base").alias("_len")).agg(F.collect_set(F.substring("base", 1, 2)).alias("_heads"))
     n = F.length("sidecar")
     mats = sidecars.filter(F.col("name").endswith(".mat")).select("dir", F.col("name").alias("sidecar"))
     keys = (attach(mats, lens, on=["dir"]).filter(n >= F.col("_len"))
             .withColumn("_at", F.explode(F.sequence(F.lit(1), n - F.col("_len") + 1)))
+            .filter(F.array_contains("_heads", F.substring("sidecar", F.col("_at"), F.least(F.lit(2), F.col("_len")))))
             .select("dir", "sidecar", F.substring("sidecar", F.col("_at"), F.col("_len")).alias("base"))
             .groupBy("dir", "base").agg(F.min("sidecar").alias("sidecar")))
     default = F.concat(F.lit("_"), F.col("base"), F.lit("_dicom_header.mat"))
