@@ -6,6 +6,7 @@ from voxelmill.catalog import query
 from voxelmill.catalog.study import study, vox_ctes, vox_sql
 from voxelmill.model import CASE
 from voxelmill.operators import metrics as m
+from voxelmill.session import ensure_checkpoint_dir
 
 
 def r6(*names):
@@ -195,8 +196,10 @@ FOLDS = """rows5 AS (SELECT c.*, v.k % 5 AS fold,
 
 def fold_rows(spark, sf):
     s = study(spark, sf)
+    ensure_checkpoint_dir(spark)
     d = m.dice_per_class(s.labels(), s.preds(), s.volumes)
-    return d.join(s.volumes.select(CASE, (F.col("k") % 5).alias("fold")), CASE)
+    # a row a case and class, read by every round of the quantiles
+    return d.join(s.volumes.select(CASE, (F.col("k") % 5).alias("fold")), CASE).checkpoint()
 
 
 @query("agg_box_stats", vox_ctes(CONF, FOLDS, """q AS (
