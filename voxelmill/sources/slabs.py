@@ -24,6 +24,8 @@ HEADER = ("path string, packed boolean, kind string, offset long, slope double,
 SLAB = "path string, t int, x int, nz int, ny int, nx int, spacing array<double>, affine array<double>, data array<double>, error string"
 #: Bytes of a plain file that one task reads in one go.
 RANGE_BYTES = 32 << 20
+#: Small slabs are handed on together, up to so many rows or values.
+ROWS, VALUES = 1024, 1 << 18
 
 
 def open_file(path):
@@ -101,8 +103,7 @@ def slab_ranges(headers: DataFrame, frames=None, xs=None, range_bytes=RANGE_BYTE
         d = d.withColumn("ts", F.array_intersect("ts", F.array(*[F.lit(int(t)) for t in frames]).cast("array<int>")))
     low, high = (0, None) if xs is None else xs
     d = d.withColumn("x0", F.lit(int(low))).withColumn("x1", F.least(F.col("nx"), F.lit(int(high))) if high is not None else F.col("nx"))
-    broken = d.filter("error is not null").withColumn("first", F.lit(None).cast("long")).withColumn("last", F.lit(None).cast("long"))
-    d = d.filter("error is null and size(ts) > 0 and x0 < x1")
+    d = d.filter("error is not null or (size(ts) > 0 and x0 < x1)")
     per = F.greatest(F.lit(1), F.floor(F.lit(range_bytes) / (F.col("nz").cast("long") * F.col("ny") * F.substring("kind", 3, 1).cast("int"))))
     whole = F.array(F.struct((F.array_min("ts").cast("long") * F.col("nx") + F.col("x0")).alias("first"),
                              (F.array_max("ts").cast("long") * F.col("nx") + F.col("x1")).alias("last")))
@@ -110,8 +111,8 @@ def slab_ranges(headers: DataFrame, frames=None, xs=None, range_bytes=RANGE_BYTE
         F.sequence(F.col("x0").cast("long"), F.col("x1").cast("long") - 1, per),
         lambda x: F.struct((t.cast("long") * F.col("nx") + x).alias("first"),
                            (t.cast("long") * F.col("nx") + F.least(x + per, F.col("x1").cast("long"))).alias("last")))))
-    cut = d.select("*", F.inline(F.when(F.col("packed"), whole).otherwise(parts)))
-    return cut.unionByName(broken)
+    broken = F.array(F.struct(*[F.lit(None).cast("long").alias(n) for n in ("first", "last")]))
+    return d.select("*", F.inline(F.when(F.col("error").isNotNull(), broken).when(F.col("packed"), whole).otherwise(parts)))
 
 
 def _slabs(r):
@@ -141,30 +142,45 @@ def read_slabs(spark, folder, recursive=False, on_error="skip", frames=None, xs=
     A broken file gives a row with ``error`` ("keep"), or none ("skip"). A file that breaks off keeps
     the slabs before.
     """
-    names = [c.split()[0] for c in SLAB.split(", ")]
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype(
-        {k: "Int32" for k in ("t", "x", "nz", "ny", "nx")})
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    fields = list(to_arrow_schema(StructType.fromDDL(SLAB)))
+    failed = lambda r, error: (r["path"], *[None] * (len(fields) - 2), error)
+
+    def rows(r):
+        if r["error"]:
+            yield failed(r, r["error"])
+            return
+        head = r["nz"], r["ny"], r["nx"], r["spacing"], r["affine"]
+        done = 0
+        for last in (False, True):  # a second try goes on behind the slabs handed on
+            try:
+                for t, x, values in _slabs(r | {"first": r["first"] + done}):
+                    yield (r["path"], t, x, *head, values, None)
+                    done = t * r["nx"] + x + 1 - r["first"]
+                break
+            except Exception as e:
+                if last:
+                    yield failed(r, f"{type(e).__name__}: {e}")
+
+    def table(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(fields, zip(*held))], names=[f.name for f in fields])
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                if r["error"]:
-                    yield frame([(r["path"], None, None, None, None, None, None, None, None, r["error"])])
-                    continue
-                shape = int(r["nz"]), int(r["ny"]), int(r["nx"])
-                r |= {k: int(r[k]) for k in ("nz", "ny", "nx", "offset", "first", "last", "x0", "x1")}
-                done = 0
-                for last in (False, True):  # a second try goes on behind the slabs handed on
-                    try:
-                        for t, x, values in _slabs(r | {"first": r["first"] + done}):
-                            yield frame([(r["path"], t, x, *shape, r["spacing"], r["affine"], values, None)])
-                            done = t * shape[2] + x + 1 - r["first"]
-                        break
-                    except Exception as e:
-                        if last:
-                            yield frame([(r["path"], None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")])
+        held, n = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                for row in rows(r):
+                    held.append(row)
+                    n += 0 if row[-2] is None else len(row[-2])
+                    if n >= VALUES or len(held) >= ROWS:
+                        yield table(held)
+                        held, n = [], 0
+        if held:
+            yield table(held)
     ranges = slab_ranges(read_headers(spark, folder, recursive), frames, xs, range_bytes)
-    out = python_partitions(ranges, "path", "first").mapInPandas(run, SLAB)
+    out = python_partitions(ranges, "path", "first").mapInArrow(run, SLAB)
     out = out.withColumn("case_id", case_id(F.element_at(F.split("path", "/"), -1), True))
     return out if on_error == "keep" else out.filter("error is null").drop("error")
 
