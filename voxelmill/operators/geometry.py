@@ -2,9 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelmill.functions import arrays
+from voxelmill.functions import arrays, planes
 from voxelmill.functions.grouped import map_groups
-from voxelmill.model import AXES, CASE, VOXEL, attach, python_partitions
+from voxelmill.model import AXES, CASE, VOXEL, attach, in_grid, python_partitions
 
 SHAPE = ["nz", "ny", "nx"]
 
@@ -221,11 +221,18 @@ def tiles(volumes: DataFrame, roi, overlap=0.5) -> DataFrame:
 
 
 def tile_voxels(vox: DataFrame, volumes: DataFrame, roi, overlap=0.5) -> DataFrame:
-    """Each voxel once per tile that covers it, found by arithmetic on the start lists."""
-    d = attach(vox, tile_starts(volumes, roi, overlap), volumes)
+    """Each voxel once per tile that covers it, found by arithmetic: only the shapes are attached, not the start lists."""
+    cols = vox.columns
+    d = attach(vox, volumes.select(CASE, *[F.col(n).alias(f"_{n}") for n in SHAPE]), volumes)
     for a, r in zip(AXES, roi):
-        d = d.withColumn(f"{a}0", F.explode(F.filter(f"{a}s", _covers(a, r)))).drop(f"{a}s")
-    return d
+        step = max(1, int(r * (1 - overlap)))
+        last = F.greatest(F.col(f"_n{a}") - r, F.lit(0))
+        first = F.greatest(F.floor((F.col(a) - r) / step).cast("int"), F.lit(0))
+        # one beyond the place: the start that is clamped to the end may lie before it
+        final = F.least(F.ceil(last / step), F.floor(F.col(a) / step) + 1).cast("int")
+        d = d.withColumn("_i", F.explode(F.sequence(first, F.greatest(first, final))))
+        d = d.withColumn(f"{a}0", F.least(F.col("_i") * step, last)).filter(_covers(a, r)(F.col(f"{a}0")))
+    return d.select(*cols, "z0", "y0", "x0")
 
 
 def stitch(tile_scores: DataFrame, classes=(0, 1, 2, 3)) -> DataFrame:
@@ -261,15 +268,9 @@ def target_grid(shapes: DataFrame) -> DataFrame:
 def sample_linear(points: DataFrame, vox: DataFrame) -> DataFrame:
     """Trilinear value at (fz, fy, fx) for each point; voxels outside the grid count 0.
 
-    A point is sent once, to the plane below it, a voxel to its own plane and the one before; two
-    planes are interpolated at a time.
+    Points stay where they are made. Voxels are written by plane and looked up.
     """
-    at = points.select(*VOXEL, "fz", "fy", "fx", F.lit(None).cast("double").alias("value"), F.floor("fz").cast("int").alias("plane"))
-    zero = [F.lit(0.0).alias(f"f{a}") for a in AXES]
-    src = vox.select(*VOXEL, *zero, F.col("value").cast("double").alias("value"), F.explode(F.array(F.col("z") - 1, F.col("z"))).alias("plane"))
-    both = at.withColumn("point", F.lit(True)).unionByName(src.withColumn("point", F.lit(False)))
-    return map_groups(both, [CASE, "plane"], arrays.interpolate, f"{CASE} string, z int, y int, x int, value double").select(
-        *VOXEL, "value")
+    return planes.interpolated(points, *planes.save_planes(vox))
 
 
 def sample_nearest(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -322,6 +323,13 @@ def rotate(vox: DataFrame, volumes: DataFrame, degrees, mask=False) -> DataFrame
     return sample_nearest(pts, vox) if mask else sample_linear(pts, vox)
 
 
+def affine(image: DataFrame, labels: DataFrame, volumes: DataFrame, params: DataFrame):
+    """Image and mask under the same movement (see ``affine_points``): the image linearly, the mask by its nearest
+    voxel, zeros (no rows of the mask) outside."""
+    points = affine_points(volumes, params)
+    return sample_linear(points, image), sample_nearest(points, labels)
+
+
 def affine_points(volumes: DataFrame, params: DataFrame) -> DataFrame:
     """Source positions for a rotation rz, ry, rx (degrees), shift tz, ty, tx and, if given, a scale per case.
 
@@ -358,11 +366,24 @@ def random_affine(volumes: DataFrame, seed=42, p=0.5, max_deg=15.0, max_shift=5.
 def warp(vox: DataFrame, volumes: DataFrame, displacement: DataFrame, mask=False) -> DataFrame:
     """Value at voxel + displacement(case_id, z, y, x, dz, dy, dx); missing entries are 0.
 
-    Both sides of the join are made from a few rows a case and must not be taken for small."""
-    d = _same_grid(volumes).join(displacement.hint("merge"), VOXEL, "left")
-    for a in AXES:
-        d = d.withColumn(f"f{a}", F.col(a) + F.coalesce(f"d{a}", F.lit(0.0)))
-    return sample_nearest(d, vox) if mask else sample_linear(d, vox)
+    A mask is joined at its places: both sides of the joins are made from a few rows a case and must not be
+    taken for small. An image is read where the displacements are: only the places of the voxels that have one
+    are sent to their planes, which add the others. The displacement is read twice."""
+    if mask:
+        d = _same_grid(volumes).join(displacement.hint("merge"), VOXEL, "left")
+        for a in AXES:
+            d = d.withColumn(f"f{a}", F.col(a) + F.coalesce(f"d{a}", F.lit(0.0)))
+        return sample_nearest(d, vox)
+    given = attach(displacement, volumes.select(CASE, *SHAPE), volumes).filter(in_grid())
+    given = given.select(*VOXEL, *[(F.col(a) + F.coalesce(f"d{a}", F.lit(0.0))).alias(f"f{a}") for a in AXES])
+    here = volumes.select(CASE, F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("z"), "ny", "nx", F.lit(True).alias("plane"))
+    none = F.lit(0).alias
+    every = here.select(CASE, "z", none("y"), none("x"), "ny", "nx", "plane").unionByName(
+        displacement.select(*[F.col(c) if c == CASE else F.col(c).cast("int").alias(c) for c in VOXEL],
+                            none("ny"), none("nx"), F.lit(False).alias("plane")))
+    left = map_groups(every, [CASE, "z"], arrays.uncovered, f"{CASE} string, z int, y int, x int")
+    still = left.select(*VOXEL, *[F.col(a).cast("double").alias(f"f{a}") for a in AXES])
+    return sample_linear(given.unionByName(still), vox)
 
 
 def random_flip(df: DataFrame, volumes: DataFrame, p=0.5, seed=42, axis="x") -> DataFrame:
