@@ -7,7 +7,7 @@ from voxelmill.catalog.study import study, vox_ctes, vox_sql
 from voxelmill.catalog.volumes import CONTACT, DIAMOND2, NEAREST, voxel_sum
 from voxelmill.model import CASE
 from voxelmill.plans import knee
-from voxelmill.session import ensure_checkpoint_dir
+from voxelmill.session import ensure_checkpoint_dir, stored
 
 
 def rounded(df, digits=5):
@@ -231,8 +231,8 @@ def knee_tortuosity(spark, sf):
 def knee_record(spark, sf):
     from voxelmill.plans.record import record
     s = study(spark, sf)
-    ensure_checkpoint_dir(spark)
-    vox = s.voxels().checkpoint()  # stands for the stored table that every measure scans
+    # stands for the stored table that every measure scans
+    vox = stored(s.voxels().select(CASE, "z", "y", "x", "k", "label", "value"), "voxels")
     img = vox.select(CASE, "z", "y", "x", "value")
     ref = vox.filter(F.col("k") == s.reference()).select(CASE, "z", "y", "x", "value")
     return record(img, vox.filter("label > 0").select(CASE, "z", "y", "x", "label"), ref, s.volumes)

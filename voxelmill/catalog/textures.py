@@ -9,13 +9,13 @@ from voxelmill.catalog.volumes import MATCH, TRAIN
 from voxelmill.model import CASE, VOXEL
 from voxelmill.operators import texture as tx
 from voxelmill.plans.record import acl_region
-from voxelmill.session import ensure_checkpoint_dir
+from voxelmill.session import stored
 
 
 def levels(spark, sf):
     s = study(spark, sf)
-    ensure_checkpoint_dir(spark)
-    vox = s.voxels().checkpoint()  # the image is read for percentiles, landmarks and the region
+    # the image is read for percentiles, landmarks and the region
+    vox = stored(s.voxels().select(*VOXEL, "k", "label", "value"), "voxels")
     img = vox.select(*VOXEL, "value")
     roi = acl_region(img, vox.filter("label > 0"), vox.filter(F.col("k") == s.reference()).select(*VOXEL, "value"), s.volumes)
     return tx.discretise(roi, s.volumes).checkpoint(), s

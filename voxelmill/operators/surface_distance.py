@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from voxelmill.model import CASE
-from voxelmill.session import ensure_checkpoint_dir
+from voxelmill.session import stored
 from voxelmill.operators.morphology import nearest_distance, surface
 
 
@@ -16,8 +16,7 @@ def hd95(labels: DataFrame, pred: DataFrame, volumes: DataFrame, spacing=False,
     """
     wanted = F.col("label").isin(list(classes))
     # both surfaces are read twice, so they are written once
-    ensure_checkpoint_dir(labels.sparkSession)
-    a, b = (surface(m.filter(wanted)).checkpoint() for m in (labels, pred))
+    a, b = (stored(surface(m.filter(wanted)), "surface") for m in (labels, pred))
     there = nearest_distance(a, b, volumes, spacing).withColumn("side", F.lit("ab"))
     back = nearest_distance(b, a, volumes, spacing).withColumn("side", F.lit("ba"))
     both = there.unionByName(back).filter("dist is not null")
